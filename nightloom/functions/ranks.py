@@ -81,7 +81,7 @@ def histogram_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs:
     of the sensor bounds.  For arbitrary doubles use :func:`exact_quantiles`.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    return hist.groupBy(*groups).agg(*[F.percentile(value, F.lit(float(p)), "_n").alias(n) for n, p in probs.items()])
+    return hist.groupBy(*groups).agg(*[F.percentile(value, F.lit(float(p)), F.col("_n")).alias(n) for n, p in probs.items()])
 
 
 def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, first: Column) -> DataFrame:

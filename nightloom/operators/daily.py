@@ -22,7 +22,7 @@ def daily_stats(samples: DataFrame, by: Sequence[str], value: str = "value", cen
     mean = F.sum("_c").cast("double") / F.sum("_n") / 100
     first = hist.groupBy(*by).agg(
         F.sum("_n").alias("n"), mean.alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.percentile(value, F.lit(0.5), "_n").alias("median"),
+        F.percentile(value, F.lit(0.5), F.col("_n")).alias("median"),
         F.sum(n * v).alias("_s"), F.sum(n * v * v).alias("_q"),
     )
     spread = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"), F.lit(0.0))

@@ -2,5 +2,6 @@
 
 from . import (  # noqa: F401
     basics,
+    series,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

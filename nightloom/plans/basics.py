@@ -333,11 +333,11 @@ def _(spark, d):
 
 
 @register("kpi_states", sql("ld", """SELECT entity_id, day, CASE WHEN qty >= 30 THEN 'critical' WHEN qty >= 25 THEN 'warning' ELSE 'good' END AS load_state,
-    CASE WHEN tax <= 3 THEN 'critical' WHEN tax <= 4 THEN 'warning' ELSE 'good' END AS reserve_state, """ + R("(price - 45.0e0)/15.0e0", "norm_z") + " FROM ld"))
+    CASE WHEN tax <= 3 THEN 'critical' WHEN tax <= 4 THEN 'warning' ELSE 'good' END AS reserve_state, (price - 45.0e0)/15.0e0 AS norm_z FROM ld"""))
 def _(spark, d):
     return A.line_daily(spark, d).select(
         "entity_id", "day", S.kpi_status("qty", 25, 30).alias("load_state"), S.kpi_status("tax", 4, 3).alias("reserve_state"),
-        r6(S.norm_range_z("price", 30, 60)).alias("norm_z"))
+        S.norm_range_z("price", 30, 60).alias("norm_z"))
 
 
 # --- sets and top-k ----------------------------------------------------------

@@ -124,3 +124,29 @@ def sql(views: str, body: str, recursive: bool = False) -> str:
     body = body.strip()
     join = " " if body[:6].upper() == "SELECT" else ", "
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}{join}{body}"
+
+
+# Fixed bindings: which sample kind stands for which epoch phase.
+PHASE_OF_METRIC = {"click": 1, "view": 2, "purchase": 3, "error": 4, "signup": 4}
+
+
+def epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """Categorical 5-minute epochs per entity and week."""
+    from ..functions.scalar import code_label
+    from ..operators.nights import slot_epochs
+
+    ev = samples(spark, folder).withColumn("week_no", F.floor(F.unix_date("day") / 7))
+    return slot_epochs(ev, ["entity_id", "week_no"], code_label("metric", PHASE_OF_METRIC).cast("int"), ["ts", "event_id"])
+
+
+SQL_VIEWS["ep"] = """SELECT entity_id, week_no, phase, row_number() OVER (PARTITION BY entity_id, week_no ORDER BY slot) - 1 AS epoch_index FROM (
+    SELECT entity_id, CAST(floor(date_diff('day', DATE '1970-01-01', day)/7.0) AS BIGINT) AS week_no,
+        CAST(floor(epoch_us(ts)/300000000.0) AS BIGINT) AS slot,
+        arg_max(CASE metric WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END, (ts, event_id)) AS phase
+    FROM ev GROUP BY ALL)"""
+_NEEDS["ep"] = ["ev"]
+SQL_VIEWS["se"] = """SELECT entity_id, session, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY entity_id ORDER BY us, event_id) AS session FROM (
+      SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY entity_id ORDER BY us, event_id) > 21600000000 THEN 1 ELSE 0 END AS fresh
+      FROM (SELECT entity_id, event_id, epoch_us(ts) AS us FROM ev))) GROUP BY entity_id, session HAVING count(*) >= 2"""
+_NEEDS["se"] = ["ev"]
