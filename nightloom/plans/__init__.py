@@ -3,5 +3,6 @@
 from . import (  # noqa: F401
     basics,
     series,
+    stats,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
