@@ -136,7 +136,7 @@ def percent_of_self(value: str, by: Sequence[str]) -> Column:
 
 def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str, out: str = "q") -> DataFrame:
     """q-values over the tests of one family (a metric registry, so a small group)."""
-    usable = df.where(F.col(p).isNotNull() & ~F.isnan(p) & (F.col(p) < 1))
+    usable = df.where(F.col(p) < 1)
     w = Window.partitionBy(*by)
     m = F.count("*").over(w)
     rank = F.row_number().over(w.orderBy(F.col(p), "metric"))

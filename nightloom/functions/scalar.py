@@ -127,8 +127,13 @@ def norm_cdf(z: Column | str) -> Column:
 
 
 def norm_p2(z: Column | str) -> Column:
-    """Two-sided normal p-value."""
-    return F.least(erfc(F.abs(col(z)) / F.lit(2.0 ** 0.5)), F.lit(1.0))
+    """Two-sided normal p-value (the tail branch alone: |z| is never negative)."""
+    a = F.abs(col(z).cast("double")) / F.lit(2.0 ** 0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + a * 0.5)
+    poly = F.lit(ERFC_COEF[-1])
+    for c in reversed(ERFC_COEF[:-1]):
+        poly = F.lit(c) + t * poly
+    return F.least(t * F.exp(poly - a * a), F.lit(1.0))
 
 
 def norm_score(x: Column | str, mean: float, sd: float) -> Column:

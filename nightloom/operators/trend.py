@@ -38,7 +38,11 @@ def prediction_band(fit: DataFrame, at: Column, crit: float = 1.959963984540054)
 
 
 def cosinor(df: DataFrame, value: str, hour: Column, by: Sequence[str], period: float = 24.0) -> DataFrame:
-    """MESOR, amplitude, acrophase (hours) and R2 of one cosine, from the sums of its normal equations."""
+    """MESOR, amplitude, hour of the peak, acrophase and R2 of one cosine, from its normal equations.
+
+    ``acrophase_h`` is the negative phase angle as hours on the clock, ``peak_h``
+    the hour at which the fitted curve is highest.
+    """
     th = hour * F.lit(2 * math.pi / period)
     d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("y"), F.cos(th).alias("c"), F.sin(th).alias("s"))
     g = d.groupBy(*by).agg(
@@ -55,7 +59,8 @@ def cosinor(df: DataFrame, value: str, hour: Column, by: Sequence[str], period:
     return g.select(
         *by, "n", (F.col("my") - F.col("beta") * F.col("mc") - F.col("gamma") * F.col("ms")).alias("mesor"),
         F.sqrt(F.col("beta") * F.col("beta") + F.col("gamma") * F.col("gamma")).alias("amplitude"),
-        F.when(phase < 0, phase + period).otherwise(phase).alias("acrophase_h"),
+        F.when(phase < 0, phase + period).otherwise(phase).alias("peak_h"),
+        F.when(phase > 0, period - phase).otherwise(-phase).alias("acrophase_h"),
         ((F.col("beta") * F.col("cy") + F.col("gamma") * F.col("sy")) / F.nullif(F.col("yy"), F.lit(0.0))).alias("r2"),
     )
 

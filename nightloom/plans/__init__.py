@@ -4,5 +4,7 @@ from . import (  # noqa: F401
     basics,
     series,
     stats,
+    signals,
+    detect,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -245,9 +245,9 @@ def _(spark, d):
     g AS (SELECT metric, count(*) AS n, avg(y) AS my, avg(c) AS mc, avg(s) AS ms, var_pop(c) AS cc, var_pop(s) AS ss, covar_pop(c,s) AS cs, covar_pop(c,y) AS cy, covar_pop(s,y) AS sy, var_pop(y) AS yy FROM x GROUP BY 1),
     b AS (SELECT *, (cy*ss - sy*cs)/(cc*ss-cs*cs) AS be, (sy*cc - cy*cs)/(cc*ss-cs*cs) AS ga FROM g)
     SELECT metric, n, """ + ", ".join([R("my - be*mc - ga*ms", "mesor"), R("sqrt(be*be+ga*ga)", "amplitude"),
-    R(f"CASE WHEN atan2(ga,be) < 0 THEN atan2(ga,be)*{24 / (2 * math.pi)!r}e0 + 24 ELSE atan2(ga,be)*{24 / (2 * math.pi)!r}e0 END", "acrophase_h"), R("(be*cy+ga*sy)/yy", "r2")]) + " FROM b"))
+    R(f"CASE WHEN atan2(ga,be) < 0 THEN atan2(ga,be)*{24 / (2 * math.pi)!r}e0 + 24 ELSE atan2(ga,be)*{24 / (2 * math.pi)!r}e0 END", "peak_h"), R("(be*cy+ga*sy)/yy", "r2")]) + " FROM b"))
 def _(spark, d):
-    return rounded(T.cosinor(A.samples(spark, d), "value", S.clock_hour("ts"), ["metric"]), ["metric", "n"], "mesor", "amplitude", "acrophase_h", "r2")
+    return rounded(T.cosinor(A.samples(spark, d), "value", S.clock_hour("ts"), ["metric"]), ["metric", "n"], "mesor", "amplitude", "peak_h", "r2")
 
 
 def _tau_sql():

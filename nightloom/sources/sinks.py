@@ -62,7 +62,7 @@ def merge_into(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequen
     except Exception:
         write_partitions(pick_per_key(incoming, keys, order), path, by)
         return
-    touched = stored.join(F.broadcast(incoming.select(by).distinct()), by, "left_semi")
+    touched = stored.join(incoming.select(by).distinct(), by, "left_semi")
     write_partitions(cut_lineage(upsert_latest(touched, incoming, keys, order)), path, by)
 
 

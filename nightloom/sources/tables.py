@@ -60,8 +60,8 @@ def to_signals(df: DataFrame, metrics: dict[str, str | Column], entity: str = "e
 
 
 def load_metric(df: DataFrame, metric_defs: DataFrame) -> DataFrame:
-    """Registry-driven units: long signals joined to the small metric registry."""
-    return df.join(F.broadcast(metric_defs), "metric").withColumn("value", convert("value", "transform"))
+    """Registry-driven units: long signals joined to the metric registry (Spark broadcasts it while it is small)."""
+    return df.join(metric_defs, "metric").withColumn("value", convert("value", "transform"))
 
 
 def observed_range(frames: dict[str, DataFrame], day: str = "day") -> DataFrame:
