@@ -126,14 +126,27 @@ def norm_cdf(z: Column | str) -> Column:
     return erfc(-col(z) / F.lit(2.0 ** 0.5)) * 0.5
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it.
+
+    Without it a filter on the result is pushed below the projections and copies
+    the whole expression tree of ``value`` into every use.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: fn(v)), 1)
+
+
 def norm_p2(z: Column | str) -> Column:
-    """Two-sided normal p-value (the tail branch alone: |z| is never negative)."""
+    """Two-sided normal p-value, for one row per test."""
+
+    def tail(a: Column) -> Column:
+        t = F.lit(1.0) / (F.lit(1.0) + a * 0.5)
+        poly = F.lit(ERFC_COEF[-1])
+        for c in reversed(ERFC_COEF[:-1]):
+            poly = F.lit(c) + t * poly
+        return F.least(t * F.exp(poly - a * a), F.lit(1.0))
+
     a = F.abs(col(z).cast("double")) / F.lit(2.0 ** 0.5)
-    t = F.lit(1.0) / (F.lit(1.0) + a * 0.5)
-    poly = F.lit(ERFC_COEF[-1])
-    for c in reversed(ERFC_COEF[:-1]):
-        poly = F.lit(c) + t * poly
-    return F.least(t * F.exp(poly - a * a), F.lit(1.0))
+    return bind(a, lambda v: F.when(v.isNotNull(), tail(v)))
 
 
 def norm_score(x: Column | str, mean: float, sd: float) -> Column:

@@ -90,8 +90,11 @@ def _standard(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / (sd if sd > 0 else 1.0)
 
 
-def run_length_probabilities(x: np.ndarray, hazard: float, prune: float = 1e-12) -> np.ndarray:
-    """Posterior mass of run length zero after each value (Normal-Gamma model).
+def run_length_probabilities(x: np.ndarray, hazard: float, recent: int = 0, prune: float = 1e-12) -> np.ndarray:
+    """Posterior mass of runs no longer than ``recent`` after each value (Normal-Gamma model).
+
+    With ``recent=0`` this is the mass of a run that starts now, which under a
+    constant hazard never moves; a positive ``recent`` shows a collapse of the run length.
 
     Runs whose mass falls below ``prune`` are dropped, which bounds the work per
     step without touching the result at double precision.
@@ -111,7 +114,7 @@ def run_length_probabilities(x: np.ndarray, hazard: float, prune: float = 1e-12)
         total = grown.sum() + fresh
         if total > 0:
             grown, fresh = grown / total, fresh / total
-        out[t] = fresh
+        out[t] = fresh + (grown[age + 1 <= recent].sum() if t >= recent else 0.0)
         keep = grown > prune
         nb = beta + kappa * (x[t] - mu) ** 2 / (2 * (kappa + 1))
         nm = (kappa * mu + x[t]) / (kappa + 1)
@@ -164,18 +167,18 @@ def _per_series(signals: DataFrame, by: Sequence[str], day: str, value: str, fn,
     return signals.where(F.col(value).isNotNull()).select(*by, day, value).groupBy(*by).applyInPandas(run, schema)
 
 
-def bayesian_changepoints(signals: DataFrame, by: Sequence[str] = ("entity_id", "metric"), day: str = "day", value: str = "value", hazard: float = 1 / 30, threshold: float = 0.3) -> DataFrame:
+def bayesian_changepoints(signals: DataFrame, by: Sequence[str] = ("entity_id", "metric"), day: str = "day", value: str = "value", hazard: float = 1 / 30, threshold: float = 0.3, recent: int = 0) -> DataFrame:
     def fn(x):
-        p = run_length_probabilities(_standard(x), hazard)
+        p = run_length_probabilities(_standard(x), hazard, recent)
         return [(i, float(v)) for i, v in enumerate(p) if v > threshold]
 
     return _per_series(signals, by, day, value, fn, "probability double")
 
 
-def segmentation(signals: DataFrame, by: Sequence[str] = ("entity_id", "metric"), day: str = "day", value: str = "value", min_size: int = 5) -> DataFrame:
+def segmentation(signals: DataFrame, by: Sequence[str] = ("entity_id", "metric"), day: str = "day", value: str = "value", min_size: int = 5, weight: float = 2.0) -> DataFrame:
     def fn(x):
         z = _standard(x)
-        penalty = 2 * math.log(len(z)) * max(float(z.var()), 0.1)
+        penalty = weight * math.log(len(z)) * max(float(z.var()), 0.1)
         return [(i, i) for i in optimal_segments(z, penalty, min_size)]
 
     return _per_series(signals, by, day, value, fn, "position int")

@@ -1,0 +1,256 @@
+"""Latent-state models of one entity's calendar-bounded daily frame.
+
+The recursions carry a matrix from day to day, so each entity is one grouped
+task over at most one row per day; everything before and after is Spark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# Names, transition and observation matrices of the five-state model.
+STATES = ["autonomic_tone", "cardiac_reserve", "circadian_phase", "inflammation", "sleep_quality"]
+TRANSITION = [
+    [0.95, 0.00, 0.00, -0.05, 0.05],
+    [0.03, 0.98, 0.00, -0.02, 0.00],
+    [0.00, 0.00, 0.97, 0.00, 0.00],
+    [-0.02, 0.00, 0.00, 0.92, -0.03],
+    [0.05, 0.02, 0.03, -0.04, 0.90],
+]
+OBSERVATION = [
+    [0.70, 0.10, 0.00, -0.10, 0.30],
+    [-0.20, -0.50, 0.00, 0.40, -0.10],
+    [0.10, 0.40, 0.00, -0.50, 0.10],
+    [-0.10, 0.00, 0.30, 0.60, 0.00],
+    [0.30, 0.10, 0.10, -0.10, 0.60],
+]
+STATE_NOISE, SENSOR_NOISE, ALERT_SIGMA, EM_STEPS = 0.05, 0.3, 2.0, 15
+
+# Start and transition probabilities of the four regimes.
+REGIMES = ["remission", "pre_flare", "active_flare", "recovery"]
+REGIME_START = [0.6, 0.2, 0.1, 0.1]
+REGIME_TRANSITION = [
+    [0.80, 0.15, 0.02, 0.03],
+    [0.10, 0.60, 0.25, 0.05],
+    [0.02, 0.08, 0.70, 0.20],
+    [0.30, 0.10, 0.05, 0.55],
+]
+
+
+class _Filter:
+    """Linear Gaussian filter and smoother; missing sensors are skipped one by one or by whole day."""
+
+    def __init__(self, a, h, q, r, whole_day: bool):
+        self.a, self.h, self.q, self.r, self.whole_day = a, h, q, r, whole_day
+        self.m0, self.p0 = np.zeros(len(a)), np.eye(len(a))
+
+    def forward(self, z: np.ndarray):
+        n, k = len(z), len(self.a)
+        mp, pp, mf, pf = np.zeros((n, k)), np.zeros((n, k, k)), np.zeros((n, k)), np.zeros((n, k, k))
+        m, p = self.m0, self.p0
+        for t in range(n):
+            if t:
+                m, p = self.a @ m, self.a @ p @ self.a.T + self.q
+            mp[t], pp[t] = m, p
+            ok = np.isfinite(z[t])
+            if ok.any() and not (self.whole_day and not ok.all()):
+                h = self.h[ok]
+                gain = np.linalg.solve(h @ p @ h.T + self.r[np.ix_(ok, ok)], h @ p).T
+                m, p = m + gain @ (z[t, ok] - h @ m), p - gain @ h @ p
+            mf[t], pf[t] = m, p
+        return mp, pp, mf, pf
+
+    def smooth(self, mp, pp, mf, pf):
+        ms, ps = mf.copy(), pf.copy()
+        gains = np.zeros_like(pf)
+        for t in range(len(mf) - 2, -1, -1):
+            gains[t] = np.linalg.solve(pp[t + 1], self.a @ pf[t]).T
+            ms[t] = mf[t] + gains[t] @ (ms[t + 1] - mp[t + 1])
+            ps[t] = pf[t] + gains[t] @ (ps[t + 1] - pp[t + 1]) @ gains[t].T
+        return ms, ps, gains
+
+    def learn(self, z: np.ndarray, steps: int) -> None:
+        """Re-estimate noise covariances and the start by expectation-maximisation."""
+        for _ in range(steps):
+            ms, ps, gains = self.smooth(*self.forward(z))
+            cross = np.einsum("tij,tkj->tik", ps[1:], gains[:-1])
+            e00 = ps[:-1] + np.einsum("ti,tj->tij", ms[:-1], ms[:-1])
+            e11 = ps[1:] + np.einsum("ti,tj->tij", ms[1:], ms[1:])
+            e10 = cross + np.einsum("ti,tj->tij", ms[1:], ms[:-1])
+            s = e11.mean(0) - self.a @ e10.mean(0).T - e10.mean(0) @ self.a.T + self.a @ e00.mean(0) @ self.a.T
+            full = np.isfinite(z).all(axis=1)
+            if full.any():
+                d = z[full] - ms[full] @ self.h.T
+                self.r = (np.einsum("ti,tj->ij", d, d) + np.einsum("ij,tjk,lk->il", self.h, ps[full], self.h)) / full.sum()
+            self.q = (s + s.T) / 2 + 1e-9 * np.eye(len(s))
+            self.r = (self.r + self.r.T) / 2 + 1e-9 * np.eye(len(self.r))
+            self.m0, self.p0 = ms[0], ps[0]
+
+
+def _schema(df: DataFrame, by: Sequence[str], day: str, extra: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in [*by, day]) + ", " + extra
+
+
+def state_filter(daily: DataFrame, sensors: Sequence[str], by: Sequence[str] = ("entity_id",), day: str = "day", em_steps: int = EM_STEPS, whole_day: bool = True, min_n: int = 10) -> DataFrame:
+    """Smoothed and filtered states, their sds, and one-step innovations with their sds, per day.
+
+    Sensors are standardised per entity first.  The order of ``sensors`` is that
+    of the observation matrix: rmssd, heart rate, saturation, temperature, efficiency.
+    """
+    by, sensors = list(by), list(sensors)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day, kind="stable")
+        x = pdf[sensors].to_numpy(dtype=float)
+        if len(x) < min_n:
+            x = x[:0]
+            pdf = pdf.iloc[:0]
+        else:
+            sd = np.nanstd(x, axis=0)
+            x = (x - np.nanmean(x, axis=0)) / np.where(sd > 0, sd, 1.0)
+        k = len(STATES)
+        f = _Filter(np.array(TRANSITION), np.array(OBSERVATION), STATE_NOISE * np.eye(k), SENSOR_NOISE * np.eye(len(sensors)), whole_day)
+        if len(x):
+            f.learn(x, em_steps)
+            mp, pp, mf, pf = f.forward(x)
+            ms, ps, _ = f.smooth(mp, pp, mf, pf)
+            sds = np.sqrt(np.einsum("tii->ti", ps))
+            innov = x - mp @ f.h.T
+            isd = np.sqrt(np.einsum("ij,tjk,ik->ti", f.h, pp, f.h) + np.diag(f.r))
+            innov[0] = np.nan
+        else:
+            ms = sds = mf = innov = isd = np.zeros((0, k))
+        lists = lambda m: [[None if not np.isfinite(v) else float(v) for v in row] for row in m]
+        return pd.DataFrame({**{c: pdf[c] for c in by}, day: pdf[day], "smoothed": lists(ms), "state_sd": lists(sds), "filtered": lists(mf), "innovation": lists(innov), "innovation_sd": lists(isd)})
+
+    extra = ", ".join(f"{c} array<double>" for c in ("smoothed", "state_sd", "filtered", "innovation", "innovation_sd"))
+    return daily.select(*by, day, *sensors).groupBy(*by).applyInPandas(run, _schema(daily, by, day, extra))
+
+
+def state_rows(filtered: DataFrame, by: Sequence[str] = ("entity_id",), day: str = "day") -> DataFrame:
+    """Long (entity, day, metric, value) of the smoothed states with their 95 % interval."""
+    rows = F.array(*[F.struct(F.lit(s).alias("metric"), F.col("smoothed")[i].alias("value"), F.col("state_sd")[i].alias("sd")) for i, s in enumerate(STATES)])
+    d = filtered.select(*by, day, F.inline(rows))
+    return d.withColumn("lo", F.col("value") - 1.96 * F.col("sd")).withColumn("hi", F.col("value") + 1.96 * F.col("sd"))
+
+
+def innovation_alerts(filtered: DataFrame, sensors: Sequence[str], by: Sequence[str] = ("entity_id",), day: str = "day", sigma: float = ALERT_SIGMA) -> DataFrame:
+    """Days on which a sensor misses its one-step prediction by more than ``sigma`` sds."""
+    rows = F.array(*[F.struct(F.lit(s).alias("sensor"), F.col("innovation")[i].alias("innovation"), F.col("innovation_sd")[i].alias("sd")) for i, s in enumerate(sensors)])
+    d = filtered.select(*by, day, F.inline(rows)).where(F.col("innovation").isNotNull() & (F.col("sd") > 0))
+    return d.withColumn("ratio", F.abs("innovation") / F.col("sd")).where(F.col("ratio") > sigma)
+
+
+def state_forecast(filtered: DataFrame, by: Sequence[str] = ("entity_id",), day: str = "day", horizon: int = 7) -> DataFrame:
+    """States of the next days from each entity's last filtered state: powers of the fixed transition, in Spark."""
+    last = filtered.groupBy(*by).agg(F.max_by("filtered", day).alias("x"), F.max(day).alias("_d"))
+    powers = [np.linalg.matrix_power(np.array(TRANSITION), s) for s in range(1, horizon + 1)]
+    cells = []
+    for step, m in enumerate(powers, 1):
+        for i, name in enumerate(STATES):
+            v = sum((F.col("x")[j] * float(m[i, j]) for j in range(len(STATES))), F.lit(0.0))
+            cells.append(F.struct(F.lit(step).alias("step"), F.lit(name).alias("state"), v.alias("value")))
+    return last.select(*by, "_d", F.inline(F.array(*cells))).withColumn(day, F.date_add("_d", F.col("step"))).drop("_d")
+
+
+def sensor_information(noise: DataFrame) -> DataFrame:
+    """Share of information per sensor: squared norm of its observation row over its residual variance."""
+    rows = F.array(*[F.struct(F.lit(i).alias("sensor_no"), F.lit(float(sum(v * v for v in row))).alias("_h")) for i, row in enumerate(OBSERVATION)])
+    d = noise.select("*", F.inline(rows)).where("sensor_no = sensor_index").withColumn("information", F.col("_h") / F.nullif(F.col("variance"), F.lit(0.0)))
+    w = Window.partitionBy("entity_id")
+    return d.withColumn("share_pct", F.col("information") / F.sum("information").over(w) * 100).drop("_h", "sensor_no")
+
+
+def regimes(daily: DataFrame, columns: Sequence[str], severity: str, by: Sequence[str] = ("entity_id",), day: str = "day", iterations: int = 50, min_n: int = 20) -> DataFrame:
+    """Four Gaussian regimes with fixed transitions: emissions are learned, the path is decoded,
+    and regimes are named by the mean of ``severity`` (lowest first).
+
+    Out: regime, p_pre (second most severe), p_active (most severe) and the posterior of the day's regime.
+    """
+    by, columns = list(by), list(columns)
+    start, trans = np.array(REGIME_START), np.array(REGIME_TRANSITION)
+    k = len(start)
+
+    def density(x, mu, cov):
+        out = np.empty((len(x), k))
+        for j in range(k):
+            d = x - mu[j]
+            sign, logdet = np.linalg.slogdet(cov[j])
+            out[:, j] = -0.5 * (np.einsum("ti,ij,tj->t", d, np.linalg.inv(cov[j]), d) + logdet + x.shape[1] * np.log(2 * np.pi))
+        return out
+
+    def posteriors(logb):
+        b = np.exp(logb - logb.max(axis=1, keepdims=True))
+        n = len(b)
+        fwd, bwd = np.empty((n, k)), np.ones((n, k))
+        fwd[0] = start * b[0]
+        fwd[0] /= fwd[0].sum()
+        for t in range(1, n):
+            v = (fwd[t - 1] @ trans) * b[t]
+            fwd[t] = v / v.sum()
+        for t in range(n - 2, -1, -1):
+            v = trans @ (b[t + 1] * bwd[t + 1])
+            bwd[t] = v / v.sum()
+        g = fwd * bwd
+        return g / g.sum(axis=1, keepdims=True)
+
+    def viterbi(logb):
+        n = len(logb)
+        lt = np.log(trans)
+        score, back = np.log(start) + logb[0], np.zeros((n, k), dtype=int)
+        for t in range(1, n):
+            step = score[:, None] + lt
+            back[t] = step.argmax(axis=0)
+            score = step.max(axis=0) + logb[t]
+        path = np.empty(n, dtype=int)
+        path[-1] = score.argmax()
+        for t in range(n - 1, 0, -1):
+            path[t - 1] = back[t, path[t]]
+        return path
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day, kind="stable")
+        if len(pdf) < min_n:
+            pdf = pdf.iloc[:0]
+            return pd.DataFrame({**{c: pdf[c] for c in by}, day: pdf[day], "regime": pd.Series([], dtype="int32"), "p_pre": [], "p_active": [], "confidence": []})
+        x = pdf[columns].to_numpy(dtype=float)
+        x = np.where(np.isfinite(x), x, np.nanmean(x, axis=0))
+        sev = pdf[severity].to_numpy(dtype=float)
+        sd = x.std(axis=0)
+        x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+        rank = np.argsort(np.argsort(sev, kind="stable"), kind="stable") * k // len(sev)
+        resp = np.eye(k)[rank]
+        eye = np.eye(x.shape[1])
+        for _ in range(iterations):
+            w = resp.sum(axis=0) + 1e-9
+            mu = (resp.T @ x) / w[:, None]
+            cov = np.stack([((x - mu[j]).T * resp[:, j]) @ (x - mu[j]) / w[j] + 1e-2 * eye for j in range(k)])
+            logb = density(x, mu, cov)
+            new = posteriors(logb)
+            if np.abs(new - resp).max() < 1e-6:
+                resp = new
+                break
+            resp = new
+        path = viterbi(logb)
+        mean_sev = np.array([np.average(sev, weights=resp[:, j] + 1e-12) for j in range(k)])
+        place = np.empty(k, dtype=int)
+        place[np.argsort(mean_sev, kind="stable")] = np.arange(k)
+        order = np.argsort(place)
+        return pd.DataFrame({
+            **{c: pdf[c] for c in by}, day: pdf[day], "regime": place[path].astype("int32"), "p_pre": resp[:, order[k - 2]],
+            "p_active": resp[:, order[k - 1]], "confidence": resp[np.arange(len(path)), path],
+        })
+
+    d = daily.select(*by, day, *dict.fromkeys([*columns, severity]))
+    return d.groupBy(*by).applyInPandas(run, _schema(daily, by, day, "regime int, p_pre double, p_active double, confidence double"))
+
+
+def regime_distribution(r: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    g = r.groupBy(*by, "regime").agg(F.count("*").alias("n"))
+    return g.withColumn("pct", F.col("n") / F.sum("n").over(Window.partitionBy(*by)) * 100)

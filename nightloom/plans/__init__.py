@@ -6,5 +6,8 @@ from . import (  # noqa: F401
     stats,
     signals,
     detect,
+    scores,
+    models,
+    audit,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -283,12 +283,12 @@ def _(spark, d):
 
 @register("bocpd")
 def _(spark, d):
-    return CP.bayesian_changepoints(A.line_signals(spark, d), threshold=0.05)
+    return CP.bayesian_changepoints(A.line_signals(spark, d), recent=3, threshold=0.5)
 
 
 @register("segmentation")
 def _(spark, d):
-    return CP.segmentation(A.line_signals(spark, d))
+    return CP.segmentation(A.line_signals(spark, d), weight=1.0)
 
 
 @register("four_method_consensus")
@@ -298,5 +298,5 @@ def _(spark, d):
 
     sig = A.line_signals(spark, d)
     shift = spc.rolling_shift(sig, "value", EM).where((norm_p2("t") < 0.01) & (F.col("d") > 0.5))
-    found = CP.battery({"segmentation": CP.segmentation(sig), "cusum": spc.cusum_inflection(sig, "value", EM), "run_length": CP.bayesian_changepoints(sig), "rolling": shift})
+    found = CP.battery({"segmentation": CP.segmentation(sig, weight=1.0), "cusum": spc.cusum_inflection(sig, "value", EM), "run_length": CP.bayesian_changepoints(sig, recent=3), "rolling": shift})
     return CP.consensus(found)

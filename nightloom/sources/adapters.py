@@ -150,3 +150,20 @@ SQL_VIEWS["se"] = """SELECT entity_id, session, min(us) AS start_us, max(us) AS
       SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY entity_id ORDER BY us, event_id) > 21600000000 THEN 1 ELSE 0 END AS fresh
       FROM (SELECT entity_id, event_id, epoch_us(ts) AS us FROM ev))) GROUP BY entity_id, session HAVING count(*) >= 2"""
 _NEEDS["se"] = ["ev"]
+
+
+#: Physiological stand-ins computed from the dense daily series.
+BIO = {
+    "rmssd": "qty", "sleep_hr": "40 + price*0.75e0", "efficiency": "80 + tax*2", "temp_deviation": "(disc - 5)/2",
+    "spo2": "CASE WHEN n >= 6 THEN 94 + tax*0.75e0 END", "deep_pct": "qty/2", "rem_pct": "price/2", "awake_pct": "disc",
+    "hr_dip_pct": "tax*3", "awake_hr": "60 + price/2", "cv_age_delta": "CASE WHEN n >= 4 THEN disc END", "dfa_alpha1": "tax/4",
+    "strain_ratio": "disc/3", "total_hours": "4 + tax*0.75e0", "steps": "price*100",
+}
+
+
+def bio_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return line_daily(spark, folder).select("entity_id", "day", *[F.expr(e.replace("e0", "D")).cast("double").alias(c) for c, e in BIO.items()])
+
+
+SQL_VIEWS["bd"] = "SELECT entity_id, day, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in BIO.items()) + " FROM ld"
+_NEEDS["bd"] = ["ld"]
