@@ -26,12 +26,11 @@ def battery(frames: dict[str, DataFrame], by: Sequence[str] = ("entity_id", "met
 def consensus(detections: DataFrame, by: Sequence[str] = ("entity_id",), day: str = "day", tolerance: int = 3) -> DataFrame:
     """Clusters of detection days at most ``tolerance`` apart: middle day, and score = methods + metrics involved."""
     by = list(by)
-    days = islands(detections.select(*by, day).distinct(), by, day, tolerance)
-    w = Window.partitionBy(*by, "island").orderBy(day)
-    size = F.count("*").over(Window.partitionBy(*by, "island"))
-    numbered = days.withColumn("_k", F.row_number().over(w) - 1).withColumn("_mid", F.floor(size / 2))
-    full = detections.join(numbered, [*by, day])
-    g = full.groupBy(*by, "island").agg(
+    d = islands(detections, by, day, tolerance)
+    inside = Window.partitionBy(*by, "island")
+    d = d.withColumn("_k", F.dense_rank().over(inside.orderBy(day)) - 1)
+    d = d.withColumn("_mid", F.floor((F.max("_k").over(inside) + 1) / 2))
+    g = d.groupBy(*by, "island").agg(
         F.max(F.when(F.col("_k") == F.col("_mid"), F.col(day))).alias("date"), F.count_distinct("method").alias("n_methods"), F.count_distinct("metric").alias("n_metrics"),
         F.min(day).alias("first_day"), F.max(day).alias("last_day"),
     )

@@ -9,5 +9,6 @@ from . import (  # noqa: F401
     scores,
     models,
     audit,
+    streams,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -58,8 +58,9 @@ def _(spark, d):
 
 @register("claim_match", sql("ev", _NUM + """, cl AS (SELECT page_id, 'p_value' AS stat_type, p1 AS value, p1 AS a, p1 + (n%3)*0.02e0 AS b FROM nu UNION ALL SELECT page_id, 'p_value', p2, p1, p1 + (n%3)*0.02e0 FROM nu
     UNION ALL SELECT page_id, 'correlation', r, r + (n%4)*0.03e0, r + (n%4)*0.03e0 FROM nu UNION ALL SELECT page_id, 'r_squared', r2, r2, r2 FROM nu UNION ALL SELECT page_id, 'cohens_d', dd, dd, dd FROM nu),
-    de AS (SELECT *, least(abs(value-a), abs(value-b)) AS delta FROM cl)
-    SELECT stat_type, CASE WHEN delta <= 0.005 THEN 'matched' WHEN delta >= 0.5 THEN 'unmatched' WHEN delta > 0.05 THEN 'error' ELSE 'warning' END AS verdict, count(*) AS n FROM de GROUP BY ALL"""))
+    dc AS (SELECT *, CASE WHEN value = round(value, 0) THEN 0 WHEN value = round(value, 1) THEN 1 WHEN value = round(value, 2) THEN 2 ELSE 3 END AS k FROM cl),
+    de AS (SELECT *, least(abs(value-a), abs(value-b)) AS delta, abs(round(a, k) - value) < 1e-10 OR abs(round(b, k) - value) < 1e-10 AS exact FROM dc)
+    SELECT stat_type, CASE WHEN exact OR delta <= 0.005 THEN 'matched' WHEN delta >= 0.5 THEN 'unmatched' WHEN delta > 0.05 THEN 'error' ELSE 'warning' END AS verdict, count(*) AS n FROM de GROUP BY ALL"""))
 def _(spark, d):
     rep = reports(spark, d)
     m = AU.cross_reference(AU.extract_claims(rep), AU.extract_references(rep.select("page_id", "doc")))
