@@ -70,8 +70,8 @@ def _(spark, d):
     return part(good, True).unionByName(part(bad, False))
 
 
-@register("stream_spc", sql("ev", f"""h AS (SELECT metric, CAST(floor(epoch_us(ts)/3600000000.0) AS BIGINT) AS h, CAST(sum(cents) AS DOUBLE)/count(*)/100 AS x FROM ev GROUP BY ALL HAVING (CAST(floor(epoch_us(ts)/3600000000.0) AS BIGINT)+1)*3600000000 <= {WM}),
-    r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY h) AS rn FROM h),
+@register("stream_spc", sql("ev", f"""h AS (SELECT metric, CAST(floor(epoch_us(ts)/3600000000.0) AS BIGINT) AS h, CAST(sum(cents) AS DOUBLE)/count(*)/100 AS x FROM ev GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY h) AS rn FROM h WHERE (h+1)*3600000000 <= {WM}),
     b AS (SELECT *, avg(x) FILTER (WHERE rn <= 14) OVER (PARTITION BY metric) AS mu, stddev_pop(x) FILTER (WHERE rn <= 14) OVER (PARTITION BY metric) AS sg FROM r),
     d AS (SELECT *, sum(CASE WHEN rn > 14 THEN x - mu - 0.5e0*sg ELSE 0 END) OVER w AS u, sum(CASE WHEN rn > 14 THEN mu - x - 0.5e0*sg ELSE 0 END) OVER w AS v FROM b WINDOW w AS (PARTITION BY metric ORDER BY h)),
     c AS (SELECT *, u - least(min(u) OVER w, 0) AS pos, v - least(min(v) OVER w, 0) AS neg FROM d WINDOW w AS (PARTITION BY metric ORDER BY h))

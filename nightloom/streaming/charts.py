@@ -20,12 +20,13 @@ _STATE = "n BIGINT, total DOUBLE, squares DOUBLE, mu DOUBLE, sigma DOUBLE, pos D
 _OUT = "at_us BIGINT, value DOUBLE, cusum_pos DOUBLE, cusum_neg DOUBLE, ewma DOUBLE, level STRING"
 
 
-def control_chart(slots: DataFrame, by: Sequence[str], ts: str = "ts", value: str = "value", baseline: int = 14, timeout_ms: int = 30 * 86_400_000) -> DataFrame:
+def control_chart(slots: DataFrame, by: Sequence[str], ts: str = "ts", value: str = "value", baseline: int = 14, delay: str = "3 days", forget_days: int = 30) -> DataFrame:
     """CUSUM and EWMA per entity and metric with a baseline learned from the first values.
 
     Rows of a micro-batch are ordered by time; rows older than the last one seen
     are skipped, since the recursion has moved past them.  RED marks a CUSUM
-    alarm, YELLOW an EWMA beyond its limit.
+    alarm, YELLOW an EWMA beyond its limit.  State is forgotten once event time is
+    ``forget_days`` past the last row.
     """
     by = list(by)
     kinds = dict(slots.dtypes)
@@ -57,10 +58,10 @@ def control_chart(slots: DataFrame, by: Sequence[str], ts: str = "ts", value: st
             level = "RED" if max(pos, neg) > CUSUM_H * sigma else "YELLOW" if abs(ewma - mu) > spread else "OK"
             out.append((*key, int(at), float(x), pos, neg, float(ewma), level))
         state.update((n, total, squares, mu, sigma, pos, neg, ewma, last))
-        state.setTimeoutDuration(timeout_ms)
+        state.setTimeoutTimestamp(max(last // 1000 + forget_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[*by, *[c.split()[0] for c in _OUT.split(", ")]])
 
     keyed = ", ".join(f"{k} {kinds[k]}" for k in by)
-    rows = slots.select(*by, F.unix_micros(ts).alias("at_us"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy(*by).applyInPandasWithState(run, f"{keyed}, {_OUT}", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = slots.withWatermark(ts, delay).select(*by, ts, F.unix_micros(ts).alias("at_us"), F.col(value).cast("double").alias("value"))
+    return rows.groupBy(*by).applyInPandasWithState(run, f"{keyed}, {_OUT}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
