@@ -122,7 +122,7 @@ def kruskal(df: DataFrame, groups: Sequence[str], value: str, klass: str) -> Dat
     )
     n = F.col("n").cast("double")
     out = h.join(ties, groups) if groups else h.crossJoin(ties)  # one row each
-    fix = F.lit(1.0) - F.col("tie_term") / (n * n * n - n)
+    fix = F.lit(1.0) - F.col("tie_term") / F.nullif(n * n * n - n, F.lit(0.0))
     return out.select(*groups, "n", "df", F.when(fix > 0, (F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / fix).alias("h"))
 
 

@@ -347,7 +347,7 @@ def naive_ts(raw: Column | str) -> Column:
 def day_key(raw: Column | str, mode: str = "utc", zone: str = "UTC") -> Column:
     """The three day keys of a stamped text: ``wall``, ``utc`` or ``zone``."""
     if mode == "wall":
-        return F.to_date(F.substring(col(raw), 1, 10))
+        return F.substring(col(raw), 1, 10).try_cast("date")
     if mode == "utc":
         # the session clock may be any zone: shift the instant's clock to UTC explicitly
         return F.to_date(F.convert_timezone(None, F.lit("UTC"), F.to_timestamp_ntz(lenient_ts(raw).cast("string"))))

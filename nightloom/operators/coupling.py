@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.ranks import kruskal
+from .windows import pearson
 
 Z975 = 1.959963984540054
 
@@ -45,7 +46,7 @@ def pair_corr(pairs: DataFrame, by: Sequence[str], method: str = "spearman", min
     if method == "spearman":
         pairs = mid_ranks(mid_ranks(pairs, by, "x", "_rx"), by, "y", "_ry")
         x, y = "_rx", "_ry"
-    g = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("_r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"))
+    g = pairs.groupBy(*by).agg(F.count("*").alias("n"), pearson(x, y).alias("_r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"))
     ok = (F.col("n") >= min_n) & (F.col("_sx") > 0) & (F.col("_sy") > 0)
     return g.select(*by, "n", F.when(ok, F.col("_r")).alias("r"))
 

@@ -31,7 +31,7 @@ def effect_sizes(m: DataFrame) -> DataFrame:
     """Second sample against the first: pooled d, average-variance d, shift in SDs, percent change."""
     n1, n2, v1, v2 = (F.col(c) for c in ("n1", "n2", "v1", "v2"))
     diff = F.col("m2") - F.col("m1")
-    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / F.nullif(n1 + n2 - 2, F.lit(0)))
     nz = lambda c: F.nullif(c, F.lit(0.0))
     return (
         m.withColumn("d", diff / nz(pooled)).withColumn("d_avg", diff / nz(F.sqrt((v1 + v2) / 2)))
@@ -41,9 +41,9 @@ def effect_sizes(m: DataFrame) -> DataFrame:
 
 
 def welch(m: DataFrame) -> DataFrame:
-    q1, q2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
+    q1, q2 = F.col("v1") / F.nullif(F.col("n1"), F.lit(0)), F.col("v2") / F.nullif(F.col("n2"), F.lit(0))
     t = (F.col("m1") - F.col("m2")) / F.nullif(F.sqrt(q1 + q2), F.lit(0.0))
-    df = (q1 + q2) * (q1 + q2) / F.nullif(q1 * q1 / (F.col("n1") - 1) + q2 * q2 / (F.col("n2") - 1), F.lit(0.0))
+    df = (q1 + q2) * (q1 + q2) / F.nullif(q1 * q1 / F.nullif(F.col("n1") - 1, F.lit(0)) + q2 * q2 / F.nullif(F.col("n2") - 1, F.lit(0)), F.lit(0.0))
     return m.withColumn("t", t).withColumn("df", df)
 
 
@@ -68,7 +68,7 @@ def levene(signals: DataFrame, by: Sequence[str], klass: str, value: str = "valu
     )
     between = F.col("q") - F.col("s") * F.col("s") / F.col("n")
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
-    return t.select(*by, df1.alias("df1"), df2.alias("df2"), ((between / df1) / (F.col("inside") / df2)).alias("f"), (F.col("_hi") / F.col("_lo")).alias("variance_ratio"))
+    return t.select(*by, df1.alias("df1"), df2.alias("df2"), ((between / F.nullif(df1, F.lit(0))) / F.nullif(F.col("inside") / F.nullif(df2, F.lit(0)), F.lit(0.0))).alias("f"), (F.col("_hi") / F.nullif(F.col("_lo"), F.lit(0.0))).alias("variance_ratio"))
 
 
 def rank_battery(signals: DataFrame, by: Sequence[str], first: Column, family: Sequence[str], value: str = "value") -> DataFrame:

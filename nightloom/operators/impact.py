@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import norm_p2
-from .windows import series
+from .windows import pearson, series
 
 Z975 = 1.959963984540054
 
@@ -120,13 +120,14 @@ def lagged_links(daily: DataFrame, metrics: Sequence[str], by: Sequence[str], ma
     long = lagged.select(*by, "source", "lag", "x", "b", F.inline("_t")).where(F.col("source") != F.col("target"))
     long = long.na.drop(subset=["x", "y", "a", "b"])
     pairs = ("xy", "xa", "xb", "ya", "yb", "ab")
-    g = long.groupBy(*by, "source", "target", "lag").agg(F.count("*").alias("n"), *[F.corr(p[0], p[1]).alias(p) for p in pairs])
+    g = long.groupBy(*by, "source", "target", "lag").agg(F.count("*").alias("n"), *[pearson(p[0], p[1]).alias(p) for p in pairs])
 
     def part(r: Column, p: Column, q: Column) -> Column:
-        return (r - p * q) / F.sqrt((1 - p * p) * (1 - q * q))
+        free = (1 - p * p) * (1 - q * q)
+        return (r - p * q) / F.sqrt(F.when(free > 1e-15, free))
 
     g = g.withColumn("_xy", part(F.col("xy"), F.col("xa"), F.col("ya"))).withColumn("_xb", part(F.col("xb"), F.col("xa"), F.col("ab"))).withColumn("_yb", part(F.col("yb"), F.col("ya"), F.col("ab")))
-    g = g.withColumn("r", part(F.col("_xy"), F.col("_xb"), F.col("_yb"))).withColumn("t", F.col("r") * F.sqrt((F.col("n") - 4) / (1 - F.col("r") * F.col("r"))))
+    g = g.withColumn("r", part(F.col("_xy"), F.col("_xb"), F.col("_yb"))).withColumn("t", F.col("r") * F.sqrt((F.col("n") - 4) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))))
     return g.select(*by, "source", "target", "lag", "n", "r", "t", norm_p2("t").alias("p"))
 
 

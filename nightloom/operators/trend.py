@@ -136,6 +136,6 @@ def residual_acf(df: DataFrame, value: str, by: Sequence[str], lags: int = 7, da
         F.count("*").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_v"), *[F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"_c{k}") for k in range(1, lags + 1)]
     ).where(F.col("_v") > 0)
     r = [F.col(f"_c{k}") / F.col("_v") for k in range(1, lags + 1)]
-    lb = sum((r[k - 1] * r[k - 1] / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
+    lb = sum((F.when(F.col("n") > k, r[k - 1] * r[k - 1] / (F.col("n") - k)).otherwise(0.0) for k in range(1, lags + 1)), F.lit(0.0))
     rows = F.array(*[F.struct(F.lit(k).alias("lag"), r[k - 1].alias("r")) for k in range(1, lags + 1)])
     return g.withColumn("ljung_box", F.col("n") * (F.col("n") + 2) * lb).select(*by, "n", "ljung_box", F.inline(rows))

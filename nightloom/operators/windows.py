@@ -65,7 +65,17 @@ def roll_corr(x: str, y: str, w: WindowSpec, n: int) -> Column:
     both = _c(x).isNotNull() & _c(y).isNotNull()
     a, b = F.when(both, _c(x)), F.when(both, _c(y))
     vary = (F.stddev_pop(a).over(w) > 1e-12) & (F.stddev_pop(b).over(w) > 1e-12)
-    return F.when((F.count(a).over(w) == n) & vary, F.corr(a, b).over(w))
+    return F.when((F.count(a).over(w) == n) & vary, pearson(a, b, w))
+
+
+def pearson(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Correlation from population moments; NULL without variation (``corr`` fails on it in ANSI mode)."""
+    x, y = _c(x), _c(y)
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    run = (lambda c: c) if over is None else (lambda c: c.over(over))
+    scale = run(F.stddev_pop(a)) * run(F.stddev_pop(b))
+    return run(F.covar_pop(a, b)) / F.when(scale > 1e-300, scale)
 
 
 def unit_sd(sd: Column) -> Column:

@@ -125,7 +125,7 @@ def _(spark, d):
     x = F.datediff("day", F.lit(date(1995, 1, 1)))
     g = A.bio_daily(spark, d).groupBy("entity_id").agg(
         F.regr_slope(F.col("spo2"), x).alias("slope"), (F.stddev_samp("spo2") / F.avg("spo2") * 100).alias("cv_pct"), (F.avg((F.col("spo2") < 95).cast("double")) * 100).alias("desat_pct"),
-        F.avg("awake_pct").alias("mean_bdi"), F.corr("spo2", "sleep_hr").alias("r"), F.avg("spo2").alias("spo2_mean"), (F.avg("strain_ratio") * 20).alias("systemic"))
+        F.avg("awake_pct").alias("mean_bdi"), W.pearson("spo2", "sleep_hr").alias("r"), F.avg("spo2").alias("spo2_mean"), (F.avg("strain_ratio") * 20).alias("systemic"))
     out = C.combined_risk(C.airway_risk(g))
     return out.select("entity_id", r6("airway_risk").alias("airway_risk"), "level", r6("combined").alias("combined"))
 
@@ -138,7 +138,7 @@ def _(spark, d):
     sig = A.line_signals(spark, d)
     post = F.col("day") >= F.lit(CUT)
     mi = X.mutual_information(sig, "value", post, by)
-    r = sig.join(comp, ["entity_id", "day"]).groupBy(*by).agg(F.corr("value", post.cast("double")).alias("r_flag"), F.corr("value", "composite").alias("r_composite"))
+    r = sig.join(comp, ["entity_id", "day"]).groupBy(*by).agg(W.pearson("value", post.cast("double")).alias("r_flag"), W.pearson("value", "composite").alias("r_composite"))
     dd = E.effect_sizes(E.two_sample(sig, by, ~post)).select(*by, "d")
     return C.feature_importance(r.join(mi, by).join(dd, by))
 

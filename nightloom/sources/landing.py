@@ -45,7 +45,7 @@ def unpack_digits(df: DataFrame, text: str, index: str, value: str, keep: list[s
 
 def period_tables(landed: DataFrame) -> dict[str, DataFrame]:
     """The five tables hidden in one landed period object."""
-    df = landed.withColumnRenamed("id", "period_id").withColumn("day", F.to_date("day"))
+    df = landed.withColumnRenamed("id", "period_id").withColumn("day", F.col("day").try_cast("date"))
     keep = ["entity_id", "period_id", "imported_at"]
     periods = df.select(
         *[c for c in df.columns if c not in {"hrv", "heart_rate", "sleep_phase_5_min", "movement_30_sec", "bedtime_start", "bedtime_end"}],
@@ -97,5 +97,5 @@ def typed_table(landed: DataFrame, stream: str) -> DataFrame:
             c = F.lit(None)
         else:
             c = F.col(src)
-        out.append(c.cast(kind).alias(name))
+        out.append(c.try_cast(kind).alias(name))
     return landed.select(*out, "imported_at")

@@ -31,7 +31,7 @@ def declared(df: DataFrame, layout: str) -> DataFrame:
     have, out = set(df.columns), []
     for field in layout.split(","):
         name, kind = field.strip().split(" ", 1)
-        out.append((F.col(name) if name in have else F.lit(None)).cast(kind).alias(name))
+        out.append((F.col(name) if name in have else F.lit(None)).try_cast(kind).alias(name))
     return df.select(*out)
 
 
