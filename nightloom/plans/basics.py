@@ -15,6 +15,11 @@ from .registry import R, register
 sql, r6 = A.sql, S.r6
 
 
+def whole(spark, d):
+    """Samples in whole hundredths: their sums are exact in any order."""
+    return A.samples(spark, d).withColumn("value", F.col("cents").cast("double"))
+
+
 # --- scans and filters -------------------------------------------------------
 
 @register("scan_sentinel_filter", sql("ev", "SELECT entity_id, metric, day, cents FROM ev WHERE cents > 1000 AND metric IS NOT NULL"))
@@ -209,13 +214,14 @@ def _(spark, d):
     R("CAST(sum(cents) AS DOUBLE)/count(*)/100", "mean"), R("stddev_samp(value)", "sd"), R("min(value)", "low"), R("max(value)", "high")])
     + " FROM ev GROUP BY ALL"))
 def _(spark, d):
-    return D.hour_profile(A.samples(spark, d), ["metric"]).select("metric", "hour", "n", *[r6(c).alias(c) for c in ("mean", "sd", "low", "high")])
+    p = D.hour_profile(whole(spark, d), ["metric"])
+    return p.select("metric", "hour", "n", *[r6(F.col(c) / 100).alias(c) for c in ("mean", "sd", "low", "high")])
 
 
 @register("hourly_min_count", sql("ev", """SELECT metric, CAST(floor(epoch_us(ts)/3600000000.0) AS BIGINT) AS hour_no, count(*) AS n, """
     + R("CAST(sum(cents) AS DOUBLE)/count(*)/100", "value") + " FROM ev GROUP BY ALL HAVING count(*) >= 3"))
 def _(spark, d):
-    return D.hourly_bins(A.samples(spark, d), ["metric"], min_count=3).select("metric", "hour_no", "n", r6("value").alias("value"))
+    return D.hourly_bins(whole(spark, d), ["metric"], min_count=3).select("metric", "hour_no", "n", r6(F.col("value") / 100).alias("value"))
 
 
 @register("describe", sql("ls", "SELECT entity_id, metric, count(value) AS n, " + ", ".join([
@@ -257,12 +263,12 @@ def _(spark, d):
 
 
 @register("epoch_profile", sql("ev", """SELECT CASE WHEN day < DATE '2024-01-16' THEN 'pre' ELSE 'post' END AS phase,
-    CAST((hour(ts)+2)%24 AS INTEGER) AS night_hour, count(*) AS n, """ + R("avg(value)", "mean") + ", " + R("stddev_samp(value)", "sd")
+    CAST((hour(ts)+2)%24 AS INTEGER) AS night_hour, count(*) AS n, """ + R("CAST(sum(cents) AS DOUBLE)/count(*)/100", "mean") + ", " + R("stddev_samp(value)", "sd")
     + " FROM ev WHERE (hour(ts)+2)%24 < 10 GROUP BY ALL"))
 def _(spark, d):
     ev = A.samples(spark, d).withColumn("phase", S.phase_label("day", date(2024, 1, 16))).withColumn("night_hour", S.night_hour("ts"))
     return ev.where("night_hour IS NOT NULL").groupBy("phase", "night_hour").agg(
-        F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("sd"))
+        F.count("*").alias("n"), r6(F.avg("cents") / 100).alias("mean"), r6(F.stddev_samp("value")).alias("sd"))
 
 
 # --- scalars -----------------------------------------------------------------

@@ -154,8 +154,8 @@ BT = """h AS (SELECT metric, CAST(floor(epoch_us(ts)/3600000000.0) AS BIGINT) AS
 
 @register("backtest", sql("ev", BT + " SELECT metric, hn AS hour_no, n AS n_context, " + R("coalesce(p, m)", "pred") + ", " + R("sd", "sd") + ", abs(y - coalesce(p, m)) > 1.2815515655446004e0*sd AS outside FROM s JOIN c USING (metric, d) WHERE n >= 24"))
 def _(spark, d):
-    ev = A.samples(spark, d).withColumn("value", F.col("cents") / F.lit(100.0))
-    h = D.hourly_bins(ev, ["metric"], min_count=2)
+    ev = A.samples(spark, d).withColumn("value", F.col("cents").cast("double"))
+    h = D.hourly_bins(ev, ["metric"], min_count=2).withColumn("value", F.col("value") / 100)
     return I.hourly_backtest(h, ["metric"]).select("metric", "hour_no", "n_context", r6("pred").alias("pred"), r6("sd").alias("sd"), "outside")
 
 
