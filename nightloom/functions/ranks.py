@@ -110,6 +110,8 @@ def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, first: Column
 def kruskal(df: DataFrame, groups: Sequence[str], value: str, klass: str) -> DataFrame:
     """H over the levels of ``klass`` with tie correction, and its degrees of freedom."""
     groups = list(groups)
+    if not groups:
+        return kruskal(df.withColumn("_all", F.lit(1)), ["_all"], value, klass).drop("_all")
     t = tie_table(df, groups, value)
     per = (
         df.where(F.col(value).isNotNull()).groupBy(*groups, klass, (F.col(value) + F.lit(0.0)).alias(value)).agg(F.count("*").alias("_c"))
@@ -121,7 +123,7 @@ def kruskal(df: DataFrame, groups: Sequence[str], value: str, klass: str) -> Dat
         F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), (F.count("*") - 1).alias("df")
     )
     n = F.col("n").cast("double")
-    out = h.join(ties, groups) if groups else h.crossJoin(ties)  # one row each
+    out = h.join(ties, groups)
     fix = F.lit(1.0) - F.col("tie_term") / F.nullif(n * n * n - n, F.lit(0.0))
     return out.select(*groups, "n", "df", F.when(fix > 0, (F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / fix).alias("h"))
 

@@ -328,6 +328,11 @@ def phase_label(day: Column | str, first: date | Column, second: date | Column |
     return out.otherwise("post")
 
 
+def zone_clock(ts: Column | str, zone: str) -> Column:
+    """Local wall clock of a UTC timestamp; hour, minute and day parts follow from it."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), col(ts).cast("timestamp_ntz"))
+
+
 # --- text keys ---------------------------------------------------------------
 
 OFFSET = r"([+-]\d{2}:?\d{2}|Z)$"

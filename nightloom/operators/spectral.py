@@ -14,20 +14,21 @@ TWO_PI = 2 * math.pi
 def lomb_scargle(df: DataFrame, value: str, seconds: Column, by: Sequence[str], freqs: Sequence[float], min_n: int = 20) -> DataFrame:
     """Normalised power of irregular samples at each frequency (Hz).
 
-    The time offset of the method is a rotation of five plain sums, so one
-    aggregate over (series, frequency) suffices.
+    Centring and the time offset of the method are algebra on nine plain sums,
+    so one combining aggregate over (series, frequency) is the whole job: no
+    window, and no series has to meet in one task.  ``seconds`` should count from
+    a nearby origin to keep the phases precise.
     """
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_y"), seconds.alias("_t"))
-    d = d.withColumn("_y", F.col("_y") - F.avg("_y").over(w)).withColumn("_t", F.col("_t") - F.min("_t").over(w)).withColumn("_n", F.count("*").over(w))
     grid = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(f)).alias("freq")) for i, f in enumerate(freqs)])
-    d = d.where(F.col("_n") >= min_n).select(*by, "_y", "_t", F.inline(grid))
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_y"), seconds.alias("_t")).select(*by, "_y", "_t", F.inline(grid))
     ang = F.lit(TWO_PI) * F.col("freq") * F.col("_t")
     d = d.select(*by, "k", "freq", "_y", F.cos(ang).alias("c"), F.sin(ang).alias("s"))
     c, s, y = F.col("c"), F.col("s"), F.col("_y")
     g = d.groupBy(*by, "k", "freq").agg(
-        F.sum(y * c).alias("yc"), F.sum(y * s).alias("ys"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"), F.sum(y * y).alias("yy")
-    )
+        F.count("*").alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy"), F.sum(c).alias("sc"), F.sum(s).alias("ss1"),
+        F.sum(y * c).alias("yc"), F.sum(y * s).alias("ys"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"),
+    ).where(F.col("n") >= min_n)
+    g = g.withColumn("yc", F.col("yc") - F.col("my") * F.col("sc")).withColumn("ys", F.col("ys") - F.col("my") * F.col("ss1")).withColumn("yy", F.col("n") * F.col("vy"))
     th = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
     g = g.withColumn("u", F.cos(th)).withColumn("v", F.sin(th))
     u, v = F.col("u"), F.col("v")

@@ -79,6 +79,16 @@ def _(spark, d):
     return rounded(X.net_flow(te, ["entity_id"]), ["entity_id", "source", "target"], "te", "net")
 
 
+@register("transfer_change")
+def _(spark, d):
+    """Transfer entropy of the whole series, of the pre-event part, and their difference."""
+    line, keys = A.line_daily(spark, d), ["entity_id", "source", "target"]
+    full = X.transfer_entropy(line, A.LINE_METRICS, ["entity_id"])
+    pre = X.transfer_entropy(line.where(F.col("day") < F.lit("1998-06-01").cast("date")), A.LINE_METRICS, ["entity_id"])
+    j = full.join(pre.withColumnRenamed("te", "te_pre"), keys)
+    return j.withColumn("diff", F.col("te") - F.col("te_pre"))
+
+
 @register("perm_entropy", sql("ls", """a AS (SELECT entity_id, metric, value AS a, lead(value,1) OVER w AS b, lead(value,2) OVER w AS c FROM ls WINDOW w AS (PARTITION BY entity_id, metric ORDER BY day)),
     g AS (SELECT entity_id, metric, (a>b)::INT*4 + (a>c)::INT*2 + (b>c)::INT AS k, CAST(count(*) AS DOUBLE) AS n FROM a WHERE c IS NOT NULL GROUP BY ALL),
     p AS (SELECT *, n/sum(n) OVER (PARTITION BY entity_id, metric) AS p FROM g)
@@ -151,7 +161,8 @@ def _lomb_sql() -> str:
 
 
 def lomb(spark, d):
-    hours = S.epoch_us("ts") / F.lit(3_600_000_000.0)
+    start = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    hours = (S.epoch_us("ts") - start) / F.lit(3_600_000_000.0)
     return P.lomb_scargle(A.samples(spark, d), "value", hours, ["entity_id"], FREQS)
 
 
