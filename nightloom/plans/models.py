@@ -35,28 +35,35 @@ def _(spark, d):
     return rounded(I.impact(A.line_signals(spark, d), EM, F.lit(CUT)), [*EM, "n_pre", "n_post"], "actual", "predicted", "effect", "se", "p")
 
 
-@register("impact_series")
+@register("impact_series", sql("ls", _impact_sql("ls") + """, o AS (SELECT b.entity_id, b.metric, b.day, b.value, yw + slope*(b.t-tw) AS pred, 1.959963984540054e0*sqrt(s2*(1 + 1.0e0/nw + (b.t-tw)*(b.t-tw)/f.sxx)) AS half
+    FROM b JOIN lw ON lw.entity_id = b.entity_id AND lw.metric = b.metric AND lw.wd = b.wd JOIN f ON f.entity_id = b.entity_id AND f.metric = b.metric)
+    SELECT entity_id, metric, day, """ + ", ".join([R("pred", "pred"), R("pred-half", "lo"), R("pred+half", "hi")]) + " FROM o"))
 def _(spark, d):
-    return I.impact_series(A.line_signals(spark, d), EM, F.lit(CUT))
+    return rounded(I.impact_series(A.line_signals(spark, d), EM, F.lit(CUT)), [*EM, "day"], "pred", "lo", "hi")
 
 
-@register("placebo", sql("ls", """r AS (SELECT *, min(day) OVER w AS a, max(day) OVER w AS b FROM ls WHERE day < DATE '1998-06-01' WINDOW w AS (PARTITION BY entity_id, metric)),
-    pl AS (SELECT entity_id, metric, day, value, a + CAST(floor(date_diff('day', a, b)*s) AS INTEGER) AS pd FROM r, (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS s)), """
-    + _impact_sql("pl", ", pd", "pd") + " SELECT entity_id, metric, pd AS placebo_date, n_pre, n_post, " + R("actual-predicted", "effect") + ", " + R("se", "se") + " FROM g"))
+PLACEBO = """r AS (SELECT *, min(day) OVER w AS a, max(day) OVER w AS b FROM ls WHERE day < DATE '1998-06-01' WINDOW w AS (PARTITION BY entity_id, metric)),
+    pl AS (SELECT entity_id, metric, day, value, a + CAST(floor(date_diff('day', a, b)*s) AS INTEGER) AS pd FROM r, (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS s)), """ \
+    + _impact_sql("pl", ", pd", "pd")
+
+
+@register("placebo", sql("ls", PLACEBO + " SELECT entity_id, metric, pd AS placebo_date, n_pre, n_post, " + R("actual-predicted", "effect") + ", " + R("se", "se") + " FROM g"))
 def _(spark, d):
     return rounded(I.placebo(A.line_signals(spark, d), EM, F.lit(CUT)), [*EM, "placebo_date", "n_pre", "n_post"], "effect", "se")
 
 
-@register("placebo_verdict")
+@register("placebo_verdict", sql("ls", PLACEBO + ", v AS (SELECT entity_id, " + S.norm_p2_sql("((actual-predicted)/se)") + """ < 0.05 AS s FROM g WHERE n_pre >= 14 AND n_post >= 3)
+    SELECT entity_id, count(*) AS n_tests, count(*) FILTER (WHERE s) AS n_significant, CASE count(*) FILTER (WHERE s) WHEN 0 THEN 'PASS' WHEN 1 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM v GROUP BY 1"""))
 def _(spark, d):
     return I.placebo_verdict(I.placebo(A.line_signals(spark, d), EM, F.lit(CUT)), ["entity_id"])
 
 
-@register("effect_forest")
+@register("effect_forest", sql("ls", _impact_sql("ls") + ", v AS (SELECT entity_id, metric, actual, predicted, " + S.norm_p2_sql("((actual-predicted)/se)") + " AS p FROM g) SELECT entity_id, metric, " + R("p", "p")
+    + ", CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS tier, " + R("greatest(-80, least(80, (actual-predicted)/abs(predicted)*100))", "effect") + " FROM v"))
 def _(spark, d):
     """Impact effects in one table with tiers and capped relative effects."""
     imp = I.impact(A.line_signals(spark, d), EM, F.lit(CUT)).withColumnsRenamed({"relative_pct": "pct_change", "predicted": "m1", "actual": "m2"})
-    return E.forest_table(imp).select(*EM, "p", "tier", "effect")
+    return E.forest_table(imp).select(*EM, r6("p").alias("p"), "tier", r6("effect").alias("effect"))
 
 
 _LM = ["disc", "price", "qty"]
@@ -76,11 +83,21 @@ def _(spark, d):
     return rounded(I.lagged_links(A.line_daily(spark, d), _LM, ["entity_id"], 3), ["entity_id", "source", "target", "lag", "n"], "r", "t")
 
 
-@register("link_changes")
+def _side(where: str, name: str) -> str:
+    text = _links_sql(where)
+    for c in ("pa", "ce", "co", "p1", "li"):
+        text = text.replace(f"{c} AS (", f"{c}_{name} AS (").replace(f"FROM {c} ", f"FROM {c}_{name} ").replace(f"FROM {c})", f"FROM {c}_{name})")
+    return text
+
+
+@register("link_changes", sql("ld", _side("", "full") + ", " + _side("WHERE day < DATE '1998-06-01'", "pre") + ", " + ", ".join(
+    f"s_{n} AS (SELECT entity_id, source, target, lag FROM li_{n} WHERE {S.norm_p2_sql('(r*sqrt((n-4)/(1-r*r)))')} < 0.05)" for n in ("full", "pre"))
+    + """ SELECT entity_id, source, target, CAST(lag AS INTEGER) AS lag, 'new' AS change FROM (SELECT * FROM s_full EXCEPT SELECT * FROM s_pre)
+    UNION ALL SELECT entity_id, source, target, CAST(lag AS INTEGER), 'lost' FROM (SELECT * FROM s_pre EXCEPT SELECT * FROM s_full)"""))
 def _(spark, d):
     line = A.line_daily(spark, d)
-    full = I.lagged_links(line, A.LINE_METRICS, ["entity_id"])
-    pre = I.lagged_links(line.where(F.col("day") < F.lit(CUT)), A.LINE_METRICS, ["entity_id"])
+    full = I.lagged_links(line, _LM, ["entity_id"], 3)
+    pre = I.lagged_links(line.where(F.col("day") < F.lit(CUT)), _LM, ["entity_id"], 3)
     return I.link_changes(full, pre, ["entity_id"])
 
 
@@ -137,13 +154,18 @@ def _(spark, d):
     return f.select(*EM, "step", "day", r6("pred").alias("pred"), r6("lo90").alias("lo90"))
 
 
-@register("retrospective_forecast")
+@register("retrospective_forecast", sql("ls", """p AS (SELECT *, row_number() OVER (PARTITION BY entity_id, metric ORDER BY day DESC) AS k FROM ls WHERE day <= DATE '1998-05-31'),
+    s AS (SELECT *, value - lag(value) OVER (PARTITION BY entity_id, metric ORDER BY day) AS st FROM p WHERE k <= 55),
+    g AS (SELECT entity_id, metric, arg_max(value, day) AS l, max(day) AS d, avg(st) AS dr, stddev_samp(st) AS sd FROM s GROUP BY ALL), h AS (SELECT *, unnest(range(1, 15)) AS k FROM g),
+    f AS (SELECT entity_id, metric, k, d + CAST(k AS INTEGER) AS day, l + dr*(1-pow(0.9e0,k))/0.1e0*0.9e0 AS pred, 1.6448536269514722e0*sd*sqrt(k) AS w FROM h)
+    SELECT f.entity_id, f.metric, f.day, CAST(k AS INTEGER) AS step, """ + R("pred", "pred") + ", v.value < pred-w OR v.value > pred+w AS outside FROM f JOIN ls v ON v.entity_id = f.entity_id AND v.metric = f.metric AND v.day = f.day"))
 def _(spark, d):
     """Forecast made the day before the known event against what followed, with scores of both sides."""
     sig = A.line_signals(spark, d)
     f = I.horizon_forecast(sig, EM, F.lit(date(1998, 5, 31)))
     j = f.join(sig.withColumnRenamed("value", "actual"), [*EM, "day"])
-    return j.withColumn("outside", (F.col("actual") < F.col("lo90")) | (F.col("actual") > F.col("hi90")))
+    out = j.withColumn("outside", (F.col("actual") < F.col("lo90")) | (F.col("actual") > F.col("hi90")))
+    return out.select(*EM, "day", "step", r6("pred").alias("pred"), "outside")
 
 
 BT = """h AS (SELECT metric, CAST(floor(epoch_us(ts)/3600000000.0) AS BIGINT) AS hn, CAST(sum(cents) AS DOUBLE)/count(*)/100 AS y FROM ev GROUP BY ALL HAVING count(*) >= 2),

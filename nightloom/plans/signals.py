@@ -171,9 +171,12 @@ def _(spark, d):
     return lomb(spark, d).select("entity_id", r6("freq", 9).alias("freq"), r6("power", 5).alias("power"))
 
 
-@register("band_shares")
+@register("band_shares", sql("ev", _lomb_sql() + """, bd AS (SELECT *, CASE WHEN freq < 0.002 THEN 'vlf' WHEN freq < 0.0035 THEN 'lf' ELSE 'hf' END AS band FROM p),
+    ar AS (SELECT entity_id, band, (power + lag(power) OVER w)/2*(freq - lag(freq) OVER w) AS a FROM bd WINDOW w AS (PARTITION BY entity_id, band ORDER BY freq)),
+    sm AS (SELECT entity_id, sum(a) FILTER (WHERE band='vlf') AS v, sum(a) FILTER (WHERE band='lf') AS l, sum(a) FILTER (WHERE band='hf') AS h FROM ar GROUP BY 1)
+    SELECT entity_id, """ + ", ".join([R("v/(v+l+h)*100", "vlf_pct", 4), R("l/(v+l+h)*100", "lf_pct", 4), R("h/(v+l+h)*100", "hf_pct", 4), R("l/h", "lf_hf", 4)]) + " FROM sm"))
 def _(spark, d):
-    return P.band_shares(lomb(spark, d), ["entity_id"])
+    return rounded(P.band_shares(lomb(spark, d), ["entity_id"]), ["entity_id"], "vlf_pct", "lf_pct", "hf_pct", "lf_hf", digits=4)
 
 
 PER = f"""e0 AS (SELECT entity_id, CASE phase WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS depth, week_no*10000 + epoch_index AS o FROM ep),
