@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import bind
+
 # Named character references that occur around statistics.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "plusmn": "±", "minus": "−", "times": "×",
@@ -39,7 +41,8 @@ def strip_markup(html: Column | str) -> Column:
     """Tags become blanks, escaped angle brackets of embedded JSON count as tags, references are decoded."""
     html = F.col(html) if isinstance(html, str) else html
     opened = F.replace(F.replace(html, F.lit("\\u003c"), F.lit("<")), F.lit("\\u003e"), F.lit(">"))
-    return unescape(F.regexp_replace(opened, "<[^>]+>", " "))
+    # the text is bound once: decoding looks at it several times
+    return bind(F.regexp_replace(opened, "<[^>]+>", " "), unescape)
 
 
 def matches_with_position(text: Column, pattern: str) -> Column:

@@ -236,11 +236,15 @@ def _(spark, d):
 @register("executive_summary", """SELECT 'events' AS source, count(*) AS n, """ + R("avg(value)", "mean") + ", " + R("max(value)", "high")
     + """, count(*) FILTER (WHERE value > 50) AS n_above, bool_and(value > 0) AS all_positive FROM events
     UNION ALL SELECT 'orders', count(*), """ + R("avg(o_totalprice/100000)", "mean") + ", " + R("max(o_totalprice/100000)", "high")
-    + ", count(*) FILTER (WHERE o_totalprice/100000 > 2.5), bool_and(o_totalprice > 0) FROM orders")
+    + ", count(*) FILTER (WHERE o_totalprice/100000 > 2.5), bool_and(o_totalprice > 0) FROM orders UNION ALL SELECT 'lineitem', count(*), " + R("avg(l_quantity)", "mean") + ", " + R("max(l_quantity)", "high")
+    + ", count(*) FILTER (WHERE l_quantity > 25), bool_and(l_quantity > 0) FROM lineitem UNION ALL SELECT 'customer', count(*), " + R("avg(c_acctbal/1000)", "mean") + ", " + R("max(c_acctbal/1000)", "high")
+    + ", count(*) FILTER (WHERE c_acctbal/1000 > 5), bool_and(c_acctbal > 0) FROM customer")
 def _(spark, d):
     ev = D.summary_line(A.table(spark, d, "events"), "events", F.col("value"), 50)
     od = D.summary_line(A.table(spark, d, "orders"), "orders", F.col("o_totalprice") / 100000, 2.5)
-    out = ev.unionAll(od)
+    li = D.summary_line(A.table(spark, d, "lineitem"), "lineitem", F.col("l_quantity"), 25)
+    cu = D.summary_line(A.table(spark, d, "customer"), "customer", F.col("c_acctbal") / 1000, 5)
+    out = ev.unionAll(od).unionAll(li).unionAll(cu)
     return out.select("source", "n", r6("mean").alias("mean"), r6("high").alias("high"), "n_above", "all_positive")
 
 

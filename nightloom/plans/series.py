@@ -462,3 +462,25 @@ def _(spark, d):
         F.max(F.least(F.abs("z") / 3, F.lit(1.5))).alias("score"), F.max("mean7").alias("top_mean7"))
     place = F.rank().over(Window.partitionBy("entity_id").orderBy(F.round("score", 9).desc())).cast("bigint")
     return s.withColumn("place", place).where("place <= 5").select("entity_id", "day", "n_metrics", "n_flagged", r6("score").alias("score"), r6("top_mean7").alias("top_mean7"), "place")
+
+
+@register("epoch_period_join", sql("ep", """p AS (SELECT user_id AS entity_id, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))/7.0) AS BIGINT) AS week_no, count(*) AS n_rows FROM events GROUP BY ALL)
+    SELECT week_no, phase, count(*) AS n_epochs, CAST(sum(n_rows) AS BIGINT) AS period_rows FROM ep JOIN p USING (entity_id, week_no) GROUP BY ALL"""))
+def _(spark, d):
+    """Epoch rows with columns of their period."""
+    periods = A.samples(spark, d).groupBy("entity_id", F.floor(F.unix_date("day") / 7).alias("week_no")).agg(F.count("*").alias("n_rows"))
+    j = A.epochs(spark, d).join(periods, ["entity_id", "week_no"])
+    return j.groupBy("week_no", "phase").agg(F.count("*").alias("n_epochs"), F.sum("n_rows").alias("period_rows"))
+
+
+@register("zone_hours", sql("ev", "SELECT CAST((hour(ts)+1)%24 AS INTEGER) AS local_hour, count(*) AS n FROM ev GROUP BY 1"))
+def _(spark, d):
+    local = S.zone_clock("ts", "Europe/Oslo")
+    return A.samples(spark, d).groupBy(F.hour(local).alias("local_hour")).agg(F.count("*").alias("n"))
+
+
+@register("resting_level", sql("ev", "SELECT entity_id, metric, " + R("quantile_cont(value, 0.1)", "resting") + " FROM ev GROUP BY ALL"))
+def _(spark, d):
+    from ..operators.daily import resting_level
+
+    return resting_level(A.samples(spark, d), ["entity_id", "metric"], "value").select("entity_id", "metric", r6("resting").alias("resting"))
