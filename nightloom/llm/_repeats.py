@@ -45,7 +45,8 @@ def repeated_pieces(
     reps: array of (key, piece, start, n)) and returns key, piece, hits for those with repeats.
     """
     names = docs.mapInArrow(partial(anchors, names_only=True), "key long")
-    shared = names.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    # written first: a join of two plain shuffles lets Spark split the rows of a hot name
+    shared = cut(names.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
     rows = docs.mapInArrow(partial(anchors, names_only=False), ANCHOR)
     found = cut(rows.join(shared, "key", "left_semi"))
     pieces = found.groupBy("key", "piece").agg(

@@ -39,15 +39,22 @@ def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
-def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A long that names a row: its id where ids are unique and never null, else a hash of id and text.
+def ids_unique(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether no id is null and none occurs twice; reads the id column only."""
+    twice = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(doc_id).isNull())
+    return not has_rows(twice)
 
-    Equal rows share a key then, which is right for every use here: what holds for one holds for the other.
+
+def keyed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Column]:
+    """(rid, text) or (rid, doc_id, text), and the id as a column of it.
+
+    rid is a long that names a row: its id where ids are unique and never null, else a hash of id and text.  Equal rows
+    share a key then, which is right for every use here: what holds for one holds for the other.
     """
-    ids = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(doc_id).isNull())
-    if has_rows(ids):
-        return F.xxhash64(F.col(doc_id), F.col(text))
-    return F.col(doc_id).cast("long")
+    if ids_unique(docs, doc_id):
+        return docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text")), F.col("rid")
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    return docs.select(key.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), F.col("doc_id")
 
 
 def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], out: str, slots: int = 512) -> DataFrame:

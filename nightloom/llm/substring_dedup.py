@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _words as T
 from ._repeats import anchor_batch, covered, repeated_pieces
-from ._shared import row_key
+from ._shared import keyed_rows
 from .registry import register, table
 
 ROUNDS = 7
@@ -181,9 +181,9 @@ def substring_dedup(docs: DataFrame, span: int = 35, doc_id: str = "doc_id", tex
     count, so a long run of one word goes; repeated rows are copies of each other and lose all their windows; rows may
     share a doc_id or have none; other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    rows = docs.select(row_key(docs, doc_id, text).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows, own_id = keyed_rows(docs, doc_id, text)
     found = repeated_pieces(rows.select("rid", "text"), partial(_anchors, span=span), partial(_resolve, span=span))
-    return rows.join(found, "rid", "left").select("doc_id", "text", "pieces").mapInArrow(
+    return rows.join(found, "rid", "left").select(own_id.alias("doc_id"), "text", "pieces").mapInArrow(
         partial(_removed, span=span), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _words as T
 from ._repeats import anchor_batch, covered, repeated_pieces
-from ._shared import row_key
+from ._shared import keyed_rows
 from .registry import register, table
 
 GRAM = 100
@@ -336,9 +336,9 @@ def suffix_dedup(docs: DataFrame, span: int = 200, gram: int = GRAM, doc_id: str
     """
     if not 1 <= gram <= span:
         raise ValueError("gram must be between 1 and span")
-    rows = docs.select(row_key(docs, doc_id, text).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows, own_id = keyed_rows(docs, doc_id, text)
     found = repeated_pieces(rows.select("rid", "text"), partial(_anchors, span=span, gram=gram), partial(_resolve, span=span))
-    return rows.join(found, "rid", "left").select("doc_id", "text", "pieces").mapInArrow(
+    return rows.join(found, "rid", "left").select(own_id.alias("doc_id"), "text", "pieces").mapInArrow(
         partial(_removed, span=span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
     )
 
