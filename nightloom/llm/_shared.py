@@ -52,7 +52,8 @@ def keyed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> t
     share a key then, which is right for every use here: what holds for one holds for the other.
     """
     if ids_unique(docs, doc_id):
-        return docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text")), F.col("rid")
+        rows = docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text"))
+        return rows.filter("rid is not null"), F.col("rid")  # as inner joins ask too, so that shuffles are reused
     key = F.xxhash64(F.col(doc_id), F.col(text))
     return docs.select(key.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), F.col("doc_id")
 
