@@ -1,5 +1,8 @@
 """Importing this module registers every query of the subpackage."""
 from . import (  # noqa: F401
+    exact_dedup,
+    quality,
+    sharding,
     substring_dedup,
     suffix_dedup,
 )
