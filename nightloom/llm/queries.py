@@ -1,9 +1,13 @@
 """Importing this module registers every query of the subpackage."""
 from . import (  # noqa: F401
+    decontaminate,
     exact_dedup,
+    packing,
     quality,
     sharding,
     substring_dedup,
     suffix_dedup,
+    token_counts,
+    url_filter,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
