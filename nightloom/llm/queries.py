@@ -2,6 +2,7 @@
 from . import (  # noqa: F401
     decontaminate,
     exact_dedup,
+    near_dedup,
     packing,
     quality,
     sharding,
