@@ -7,10 +7,11 @@ mutual near-copies, is cut into blocks that share the node's first document.  Wi
 0.8 meets in a tree with probability of at least 0.9375 whatever the depth, so the number of trees follows from the
 wanted recall.
 
-Comparison inside a node has two steps.  Sketches (bytes of SKETCH minwise tokens) leave pairs that can reach the
-threshold at seven standard deviations; of those a spanning forest is confirmed on the full sets first.  Pairs between
-different components of the confirmed links come second, and between a large node's blocks too, so that no pair within
-a component is ever listed, and no link between components is left out.
+Inside a node, sketches (bytes of SKETCH minwise tokens) leave pairs that can reach the threshold at seven standard
+deviations; only a spanning forest of them leaves the task, so nodes never list their pairs.  The forests of all nodes
+make clusters, and every link lies within one.  Clusters are confirmed on full sets, in blocks of bounded size: first
+each block with some documents that all blocks of a cluster share, then what is not in a cluster's commonest component
+against all its blocks.  Again a task gives back a spanning forest of the links it finds, never the pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from . import _words as T
 from ._shared import cut, has_rows, keyed_rows
 from .registry import register, table
 
-LEVELS, BRANCHES, SKETCH = 3, 2, 64
+LEVELS, BRANCHES, SKETCH = 3, 2, 128
 #: Chance that a pair at the threshold is missed by all trees.
 MISS = 1e-9
 #: Documents in a node that is compared as it is.
 SMALL = 64
+#: Documents of a cluster in one block, and about how many of them all blocks share.
+BLOCK, SHARED = 512, 16
+#: Columns of the incidence matrix that is multiplied at once.
+COLUMNS = 4096
 
 
 def trees_for(share: float, miss: float = MISS) -> int:
@@ -95,7 +100,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         for lo, hi, data, offsets in T.slices(batch, "text"):
             row, shingle = shingle_sets(data, offsets, width)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("rid").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), T.longs(shingle))], ["rid", "set"])
+            own = batch.slice(lo, hi - lo)
+            sets = pa.ListArray.from_arrays(pa.array(ends), T.longs(shingle))
+            yield pa.RecordBatch.from_arrays([own.column("rid"), own.column("path"), sets], ["rid", "path", "set"])
 
 
 def least_agreement(share: float) -> int:
@@ -103,52 +110,83 @@ def least_agreement(share: float) -> int:
     return max(1, math.floor(SKETCH * share - 7 * math.sqrt(SKETCH * share * (1 - share))))
 
 
-def _node(rows: list[tuple], percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of a node that may be links: a spanning forest of them, or all between different components.
+class Forest:
+    """Union-find over the rows of one task's group."""
 
-    rows: (rid, n, sketch, component); a row that came in twice, as a first document of a node can, counts once.
-    """
-    if len(rows) < 2:
-        return []
-    rid = np.array([r[0] for r in rows])
-    order = np.argsort(rid, kind="stable")
-    order = order[np.append(True, rid[order][1:] != rid[order][:-1])]
-    if len(order) < 2:
-        return []
-    rows, rid = [rows[i] for i in order], rid[order]
-    sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH)
-    n, part = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
-    least = least_agreement(percent / 100)
-    first, second, agree = [], [], []
-    for i in range(len(rows) - 1):
-        same = (sketch[i + 1 :] == sketch[i]).sum(1)
-        lo, hi = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-        ok = (same >= least) & (100 * lo >= percent * hi) & (part[i + 1 :] != part[i])
-        j = np.flatnonzero(ok)
-        first += [i] * len(j)
-        second += (i + 1 + j).tolist()
-        agree += same[j].tolist()
-    if not forest:
-        return [(int(rid[i]), int(rid[j])) for i, j in zip(first, second)]
-    root = list(range(len(rows)))
-
-    def find(x: int) -> int:
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    out = []
-    for _, i, j in sorted(zip([-(s // 8) for s in agree], first, second)):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(rid[i]), int(rid[j])))
-    return out
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _once(rows: list[tuple]) -> list[tuple]:
+    """Rows by rid; one that came in twice, as a document that all blocks share does, counts once."""
+    return sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (path, block); a block has a bounded number of rows besides strays, which are streamed with it."""
+def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of a node's pairs that may be links; rows: (rid, n, sketch)."""
+    rows = _once(rows)
+    if len(rows) < 2:
+        return []
+    rid, n = [r[0] for r in rows], np.array([r[1] for r in rows])
+    sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH)
+    least = least_agreement(percent / 100)
+    found = []
+    for i in range(len(rows) - 1):
+        same = (sketch[i + 1 :] == sketch[i]).sum(1)
+        lo, hi = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+        found += [(-int(same[j]) // 8, i, i + 1 + int(j)) for j in np.flatnonzero((same >= least) & (100 * lo >= percent * hi))]
+    forest = Forest(len(rows))
+    return [(rid[i], rid[j]) for _, i, j in sorted(found) if forest.join(i, j)]
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of the incidence matrix, some columns at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # tokens of one set only add nothing between two
+    keep = count[token] > 1
+    row, token = row[keep], column[token[keep]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, [lo, lo + COLUMNS])
+        part = np.zeros((len(sets), min(COLUMNS, int(token[-1]) + 1 - lo)), np.float32)
+        part[row[a:b], token[a:b] - lo] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _linked(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of a block's links between different components; rows: (rid, set, part, stray)."""
+    rows = _once(rows)
+    if len(rows) < 2:
+        return []
+    sets = [r[1] for r in rows]
+    size = np.array([len(x) for x in sets])
+    both = intersections(sets)
+    first, second = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    forest = Forest(len(rows))
+    at: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        forest.join(at.setdefault(r[2], i), i)
+    return [(rows[i][0], rows[j][0]) for i, j in zip(first.tolist(), second.tolist()) if forest.join(i, j)]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], pairs_of, percent: int) -> Iterator[pa.RecordBatch]:
+    """Calls pairs_of on the rows of each (path, block); rows come sorted by those, and a group's number is bounded."""
     held: list[tuple] = []
     last = None
     pairs: set[tuple[int, int]] = set()
@@ -159,22 +197,29 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int, forest: bool) -> I
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     for batch in batches:
-        for path, block, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        columns = []
+        for c in batch.columns:
+            if pa.types.is_list(c.type):
+                ends, flat = np.asarray(c.offsets), c.values.to_numpy()
+                columns.append([flat[a:b].copy() for a, b in zip(ends[:-1], ends[1:])])
+            else:
+                columns.append(c.to_pylist())
+        for path, block, *row in zip(*columns):
             if (path, block) != last:
-                pairs.update(_node(held, percent, forest))
+                pairs.update(pairs_of(held, percent))
                 held, last = [], (path, block)
                 if len(pairs) > 50_000:
                     yield batch_of()
             held.append(tuple(row))
-    pairs.update(_node(held, percent, forest))
+    pairs.update(pairs_of(held, percent))
     if pairs:
         yield batch_of()
 
 
-def _within(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (u, v), u < v, of the nodes in rows (path, block, rid, n, sketch, part)."""
-    dealt = rows.select("path", "block", "rid", "n", "sketch", "part").repartition("path", "block").sortWithinPartitions("path", "block")
-    return dealt.mapInArrow(partial(_compare, percent=percent, forest=forest), "u long, v long").distinct()
+def _within(rows: DataFrame, pairs_of, percent: int) -> DataFrame:
+    """Pairs (u, v), u < v, that pairs_of finds in each (path, block); the other columns are its rows."""
+    dealt = rows.repartition("path", "block").sortWithinPartitions("path", "block")
+    return dealt.mapInArrow(partial(_by_group, pairs_of=pairs_of, percent=percent), "u long, v long").distinct()
 
 
 def tree_nodes(groups: DataFrame, trees: int) -> DataFrame:
@@ -203,16 +248,6 @@ def tree_nodes(groups: DataFrame, trees: int) -> DataFrame:
     return every.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    both = (
-        pairs.join(sets.select(F.col("rid").alias("u"), F.col("set").alias("s")), "u")
-        .join(sets.select(F.col("rid").alias("v"), F.col("set").alias("t")), "v")
-        .withColumn("i", F.size(F.array_intersect("s", "t")).cast("long"))
-    )
-    return both.filter(100 * F.col("i") >= percent * (F.size("s") + F.size("t") - F.col("i"))).select("u", "v")
-
-
 def components(links: DataFrame) -> DataFrame:
     """rid, label: the least rid reachable, for every end of a link; labels spread to neighbours and then jump."""
     ways = cut(links.select("u", "v").union(links.select("v", "u")).distinct().toDF("rid", "other"))
@@ -227,6 +262,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """rid, label of the components that the links in clusters make; sets: rid, path (the cluster), set."""
+    sizes = sets.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
+    large = cut(
+        sets.select("path", "rid").join(sizes, "path").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    )
+    if not has_rows(large):
+        own = sets.select("path", F.lit(0).alias("block"), "rid", "set", F.col("rid").alias("part"))
+        return components(cut(_within(own, _linked, percent)))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    to_all = large.filter(F.pmod(F.xxhash64("rid", F.lit(1)), F.ceil(F.col("m") / SHARED)) == 0)
+    placed = large.select("rid", "block").unionByName(to_all.select("rid", every)).distinct()
+    own = sets.join(placed, "rid", "left").select("path", F.coalesce("block", F.lit(0)).alias("block"), "rid", "set", F.col("rid").alias("part"))
+    links = cut(_within(own, _linked, percent))
+    labels = components(links)
+    member = cut(large.join(labels, "rid", "left").select("path", "rid", "block", "blocks", F.coalesce("label", "rid").alias("part")))
+    parts = member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"))
+    common = parts.groupBy("path").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("m"))
+    rest = common.select("path", F.col("top.part").alias("common"), F.ceil((F.col("m") - F.col("top.size")) / BLOCK).cast("int").alias("chunks"))
+    member = member.join(rest.filter("chunks > 0"), "path")
+    # a group is one block of the cluster and one chunk of the rows outside its commonest component
+    stray = member.filter("part <> common").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("chunks")).cast("int"))
+    at_blocks = stray.select("path", "rid", "part", "chunks", "chunk", every)
+    at_chunks = member.select("path", "rid", "part", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block")
+    groups = at_blocks.unionByName(at_chunks).select("path", (F.col("block") * F.col("chunks") + F.col("chunk")).alias("block"), "rid", "part")
+    more = cut(_within(groups.join(sets.select("rid", "set"), "rid").select("path", "block", "rid", "set", "part"), _linked, percent))
+    return components(links.unionByName(more)) if has_rows(more) else labels
+
+
 def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each input row.
 
@@ -248,18 +313,17 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     full = signed.filter("n > 0")
     groups = cut(full.groupBy("a", "b", "n").agg(F.min("rid").alias("rid"), F.first("tokens").alias("tokens")))
     nodes = cut(tree_nodes(groups, trees))
-    sketch = groups.select("rid", "n", _sketch("tokens").alias("sketch"))
     leaders = nodes.filter("blocks > 1").groupBy("path", "blocks").agg(F.min("rid").alias("rid"))
-    spread = leaders.select("path", "rid", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocks = nodes.select("path", "block", "rid").unionByName(spread.select("path", "block", "rid"))
-    tried = cut(_within(blocks.join(sketch, "rid").withColumn("part", F.col("rid")), percent, forest=True))
-    wanted = tried.select(F.col("u").alias("rid")).union(tried.select("v")).union(nodes.filter("blocks > 1").select("rid")).distinct()
-    sets = cut(rows.select("rid", "text").join(wanted, "rid", "left_semi").mapInArrow(partial(_sets, width=width), "rid long, set array<long>"))
-    links = cut(confirm(tried, sets, percent))
-    labels = components(links)
-    more = cut(confirm(between(nodes, sketch, labels, wanted, percent).join(tried, ["u", "v"], "left_anti"), sets, percent))
-    if has_rows(more):
-        labels = components(links.unionByName(more))
+    spread = leaders.select("path", "rid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    placed = nodes.select("path", "block", "rid").unionByName(spread.select("path", "block", "rid"))
+    sketch = groups.select("rid", "n", _sketch("tokens").alias("sketch"))
+    near = cut(_within(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch"), _node, percent))
+    clusters = components(near)
+    sets = cut(
+        rows.select("rid", "text").join(clusters.withColumnRenamed("label", "path"), "rid")
+        .mapInArrow(partial(_sets, width=width), "rid long, path long, set array<long>")
+    )
+    labels = confirmed(sets, percent)
     vertex = (
         groups.select("a", "b", "n", "rid").join(labels, "rid", "left")
         .select("a", "b", "n", F.coalesce("label", "rid").alias("label"))
@@ -279,23 +343,6 @@ def _sketch(tokens: str):
     return F.unhex(F.array_join(F.transform(F.slice(tokens, 1, SKETCH), lambda t: F.lpad(F.hex(t.bitwiseAND(255)), 2, "0")), ""))
 
 
-def between(nodes: DataFrame, sketch: DataFrame, labels: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may be links between different components, in nodes that hold several.
-
-    In a node of several blocks the documents outside its commonest component go to every block.
-    """
-    member = nodes.join(wanted, "rid", "left_semi").join(labels, "rid", "left").withColumn("part", F.coalesce("label", "rid"))
-    parts = member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"))
-    split = parts.groupBy("path").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("top")).filter("parts > 1")
-    mixed = cut(member.join(split.select("path", F.col("top.part").alias("common")), "path").select("path", "block", "blocks", "rid", "part", "common"))
-    strays = (
-        mixed.filter("blocks > 1 and part <> common")
-        .select("path", "rid", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    )
-    rows = mixed.select("path", "block", "rid", "part").unionByName(strays.select("path", "block", "rid", "part"))
-    return _within(rows.join(sketch, "rid"), percent, forest=False)
-
-
 @register(
     "op7_near_dedup",
     r"""
