@@ -49,9 +49,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def _level(paths: DataFrame, k: int) -> DataFrame:
     """Extends column node by the branch that segment s{k} falls into."""
-    child = paths.groupBy("node", f"s{k}").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-    whole = child.groupBy("node").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad")
+    child = cut(paths.groupBy("node", f"s{k}").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad")))
+    # written, so that the join below is one of plain shuffles and Spark can split a node with very many children
+    whole = cut(
+        child.groupBy("node").agg(
+            F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad")
+        )
     )
     lab, bad, rest_lab, rest_bad = F.col("lab"), F.col("bad"), F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
     share = F.col("all_bad") / F.col("all_lab")
