@@ -19,6 +19,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _words as T
@@ -231,30 +232,30 @@ def shard_repeats(pieces: list[np.ndarray], span: int) -> tuple[np.ndarray, np.n
     return piece, off, own, np.bincount(own, minlength=1)[own]
 
 
-HIT = "key long, piece long, off int, found boolean, a long, b long"
+HIT = "key long, piece long, hits array<int>, a long, b long"
 
 
 def _emit(rows: list, span: int) -> pa.RecordBatch:
-    """Repeats of the gathered pieces; of shards cut from a large anchor also one row for each class, with its name."""
+    """A row for each piece with repeats; of shards cut from a large anchor also one for each class, with its name."""
     pieces = [np.frombuffer(r[2], np.uint8) for r in rows]
     piece, off, own, size = shard_repeats(pieces, span)
     key, code, cut = (np.array([r[i] for r in rows]) for i in (0, 1, 3))
-    first = np.zeros(len(own), bool)
-    first[np.unique(own, return_index=True)[1]] = True
     found = size > 1
-    keep = found | (cut[piece] & first)
-    piece, off, found, lead = piece[keep], off[keep], found[keep], (cut[piece] & first)[keep]
-    a, b = np.zeros(len(piece), np.int64), np.zeros(len(piece), np.int64)
-    if lead.any():
-        data = np.concatenate(pieces)
-        begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
-        s = begin[piece[lead]] + off[lead]
-        a[lead] = T.Rolling(T.table_of(11)[data], T.BASES[0]).range(s, s + span).view(np.int64)
-        b[lead] = T.Rolling(T.table_of(12)[data], T.BASES[1]).range(s, s + span).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[piece]), pa.array(code[piece]), pa.array(off.astype(np.int32)), pa.array(found), pa.array(a, mask=~lead), pa.array(b, mask=~lead)],
-        ["key", "piece", "off", "found", "a", "b"],
-    )
+    with_hits, per_piece = np.unique(piece[found], return_counts=True)
+    lead = np.zeros(len(own), bool)
+    lead[np.unique(own, return_index=True)[1]] = True
+    lead &= cut[piece]
+    data = np.concatenate(pieces)
+    begin = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
+    s = begin[piece[lead]] + off[lead]
+    names = [np.zeros(0, np.int64)] * 2
+    if len(s):
+        names = [T.Rolling(T.table_of(11 + k)[data], T.BASES[k]).range(s, s + span).view(np.int64) for k in (0, 1)]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([per_piece, np.ones(len(s), np.int64)]))]).astype(np.int32)
+    hits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([off[found], off[lead]]).astype(np.int32)))
+    at = np.concatenate([with_hits, piece[lead]])
+    a, b = (pa.array(np.concatenate([np.zeros(len(with_hits), np.int64), x]), mask=np.arange(len(at)) < len(with_hits)) for x in names)
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(code[at]), hits, a, b], ["key", "piece", "hits", "a", "b"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -302,11 +303,10 @@ def _resolve(reps: DataFrame, span: int) -> DataFrame:
         .repartition("key", "part").sortWithinPartitions("key", "part")
     )
     rows = dealt.mapInArrow(partial(_shards, span=span), HIT)
-    inside = rows.filter("found").select("key", "piece", "off")
-    names = rows.filter("a is not null")
-    across = names.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a", "b")
-    outside = names.filter("not found").join(across, ["a", "b"], "left_semi").select("key", "piece", "off")
-    return inside.unionByName(outside).groupBy("key", "piece").agg(F.collect_list("off").alias("hits"))
+    # one pass over the shards: pieces' own hits stand alone, a class meets its equals of other shards by its name
+    meet = W.partitionBy(F.coalesce("a", "key"), F.coalesce("b", "piece"))
+    counted = rows.withColumn("shards", F.count("a").over(meet)).filter("a is null or shards > 1")
+    return counted.groupBy("key", "piece").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
