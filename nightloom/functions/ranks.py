@@ -34,7 +34,7 @@ def tie_table(df: DataFrame, groups: Sequence[str], value: str, classes: dict[st
     counts = [F.count("*").alias("ties")]
     counts += [F.count(F.when(c, 1)).alias(n) for n, c in (classes or {}).items()]
     hist = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*groups, (F.col(value) + F.lit(0.0)).alias(value)).agg(*counts)
         .withColumn("_b", magnitude_bucket(value))
     )

@@ -89,7 +89,7 @@ def _standard(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / (sd if sd > 0 else 1.0)
 
 
-def run_length_probabilities(x: np.ndarray, hazard: float, recent: int = 0, prune: float = 1e-12) -> np.ndarray:
+def run_length_probabilities(x: np.ndarray, hazard: float, recent: int = 0, prune: float = 1e-18) -> np.ndarray:
     """Posterior mass of runs no longer than ``recent`` after each value (Normal-Gamma model).
 
     With ``recent=0`` this is the mass of a run that starts now, which under a
@@ -166,7 +166,7 @@ def _per_series(signals: DataFrame, by: Sequence[str], day: str, value: str, fn,
     return signals.where(F.col(value).isNotNull()).select(*by, day, value).groupBy(*by).applyInPandas(run, schema)
 
 
-def bayesian_changepoints(signals: DataFrame, by: Sequence[str] = ("entity_id", "metric"), day: str = "day", value: str = "value", hazard: float = 1 / 30, threshold: float = 0.3, recent: int = 0) -> DataFrame:
+def bayesian_changepoints(signals: DataFrame, by: Sequence[str] = ("entity_id", "metric"), day: str = "day", value: str = "value", hazard: float = 1 / 30, threshold: float = 0.3, recent: int = 3) -> DataFrame:
     def fn(x):
         p = run_length_probabilities(_standard(x), hazard, recent)
         return [(i, float(v)) for i, v in enumerate(p) if v > threshold]

@@ -217,9 +217,9 @@ def summary_lines(status: DataFrame, by: Sequence[str] = ("entity_id",), limit:
     d = d.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "kind").orderBy(size.desc(), "metric")))
     d = d.where(F.col("_k") <= F.when(F.col("kind") == 3, 1).otherwise(2))
     text = (
-        F.when(F.col("kind") == 1, F.format_string("ATTENTION: %s is %s at %.1f (%+.1f%% week-over-week)", "metric", "direction", "this_mean", "pct"))
-        .when(F.col("kind") == 2, F.format_string("%s improved %+.1f%% to %.1f", "metric", "pct", "this_mean"))
-        .otherwise(F.format_string("%s declined %+.1f%% to %.1f, monitor", "metric", "pct", "this_mean"))
+        F.when(F.col("kind") == 1, F.format_string("[!] %s: weekly mean %.1f, %+.1f%% on the week before (%s)", "metric", "this_mean", "pct", "direction"))
+        .when(F.col("kind") == 2, F.format_string("[+] %s: weekly mean %.1f, better by %+.1f%%", "metric", "this_mean", "pct"))
+        .otherwise(F.format_string("[-] %s: weekly mean %.1f, worse by %+.1f%%", "metric", "this_mean", "pct"))
     )
     d = d.withColumn("line", text).withColumn("line_no", F.row_number().over(Window.partitionBy(*by).orderBy("kind", "_k")))
     return d.where(F.col("line_no") <= limit).select(*by, "line_no", "line")

@@ -126,9 +126,6 @@ def fill_from(primary: DataFrame, secondary: DataFrame, column: str, by: Sequenc
     return primary.join(other, list(by), "left").withColumn(column, F.coalesce(column, "_o")).drop("_o")
 
 
-def small_dimension(facts: DataFrame, dimension: DataFrame, on: Sequence[str], max_rows: int = 100_000) -> DataFrame:
-    """Join to a registry.  It is broadcast only while it holds at most ``max_rows`` rows;
-    beyond that the planner joins it like any other table."""
-    if dimension.limit(max_rows + 1).count() <= max_rows:
-        dimension = F.broadcast(dimension)
+def small_dimension(facts: DataFrame, dimension: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join to a registry; Spark broadcasts it while its measured size is below the session's limit."""
     return facts.join(dimension, list(on), "left")

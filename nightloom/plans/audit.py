@@ -17,7 +17,7 @@ _LEAD = "Summary of the nightly recovery score against the baseline window gives
 def reports(spark, d):
     """Each page with a paragraph of statistics of one entity, and the document they come from."""
     st = A.samples(spark, d).groupBy("entity_id").agg(F.sum("cents").alias("c"), F.count("*").alias("n"))
-    pages = A.table(spark, d, "pages").select("page_id", "html", (F.col("page_id") % 150).alias("entity_id"))
+    pages = A.table(spark, d, "pages").select("page_id", "html", (F.col("page_id") % st.count()).alias("entity_id"))
     j = pages.join(st, "entity_id")
     c, n = F.col("c"), F.col("n")
     p1, p2 = (c % 40) / 1000, ((c + n % 2) % 40) / 1000
@@ -34,7 +34,7 @@ def reports(spark, d):
 
 
 _NUM = """st AS (SELECT entity_id, CAST(sum(cents) AS BIGINT) AS c, count(*) AS n FROM ev GROUP BY 1),
-    nu AS (SELECT page_id, html, n, (c % 40)/1000.0e0 AS p1, ((c + n % 2) % 40)/1000.0e0 AS p2, (c % 1801 - 900)/1000.0e0 AS r, (c % 501 - 250)/100.0e0 AS dd, (n % 100)/100.0e0 AS r2 FROM pages JOIN st ON entity_id = page_id % 150)"""
+    nu AS (SELECT page_id, html, n, (c % 40)/1000.0e0 AS p1, ((c + n % 2) % 40)/1000.0e0 AS p2, (c % 1801 - 900)/1000.0e0 AS r, (c % 501 - 250)/100.0e0 AS dd, (n % 100)/100.0e0 AS r2 FROM pages CROSS JOIN (SELECT count(*) AS k FROM st) JOIN st ON entity_id = page_id % k)"""
 _CL = """cl AS (SELECT page_id, 'p_value' AS stat_type, p1 AS value FROM nu UNION ALL SELECT page_id, 'p_value', p2 FROM nu UNION ALL SELECT page_id, 'correlation', r FROM nu
     UNION ALL SELECT page_id, 'r_squared', r2 FROM nu UNION ALL SELECT page_id, 'cohens_d', dd FROM nu)"""
 

@@ -117,11 +117,11 @@ def _(spark, d):
 
 @register("unpack_digits", """SELECT o_orderkey, p AS epoch_index, CAST(c AS INTEGER) AS phase FROM (
     SELECT o_orderkey, s[i] AS c, CAST(i-1 AS INTEGER) AS p FROM (
-      SELECT o_orderkey, replace(CAST(o_totalprice AS VARCHAR), '0', '-') AS s,
-             unnest(range(1, length(CAST(o_totalprice AS VARCHAR))+1)) AS i FROM orders WHERE o_totalprice < 1e6)) WHERE c BETWEEN '0' AND '9'""")
+      SELECT o_orderkey, replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '0', '-') AS s,
+             unnest(range(1, length(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR))+1)) AS i FROM orders)) WHERE c BETWEEN '0' AND '9'""")
 def _(spark, d):
-    o = A.table(spark, d, "orders").where("o_totalprice < 1e6").select("o_orderkey", F.translate(
-        F.format_string("%s", F.col("o_totalprice").cast("string")), "0", "-").alias("text"))
+    o = A.table(spark, d, "orders").select("o_orderkey", F.translate(
+        F.format_string("%s", F.col("o_totalprice").cast("decimal(18,2)").cast("string")), "0", "-").alias("text"))
     return landing.unpack_digits(o, "text", "epoch_index", "phase", ["o_orderkey"])
 
 

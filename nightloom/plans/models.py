@@ -7,10 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import daily as D, effects as E, impact as I, spc, states as ST, trend as T
+from ..operators import daily as D, effects as E, impact as I
 from ..sources import adapters as A
 from .registry import R, register
-from .scores import stream_composite
 from .stats import rounded
 
 sql, r6 = A.sql, S.r6
@@ -66,12 +65,13 @@ def _(spark, d):
     return E.forest_table(imp).select(*EM, r6("p").alias("p"), "tier", r6("effect").alias("effect"))
 
 
-_LM = ["disc", "price", "qty"]
+_LM = ["disc", "price", "qty", "tax"]
+LAGS = 7
 
 
 def _links_sql(where: str) -> str:
-    past = ", ".join(f"lag({m}, {k}) OVER w AS {m}_{k}" for m in _LM for k in range(1, 5))
-    cells = " UNION ALL ".join(f"SELECT entity_id, '{x}' AS source, '{y}' AS target, {k} AS lag, {x}_{k} AS x, {y} AS y, {y}_1 AS a, {x}_{k + 1} AS b FROM pa" for x in _LM for y in _LM if x != y for k in range(1, 4))
+    past = ", ".join(f"lag({m}, {k}) OVER w AS {m}_{k}" for m in _LM for k in range(1, LAGS + 2))
+    cells = " UNION ALL ".join(f"SELECT entity_id, '{x}' AS source, '{y}' AS target, {k} AS lag, {x}_{k} AS x, {y} AS y, {y}_1 AS a, {x}_{k + 1} AS b FROM pa" for x in _LM for y in _LM if x != y for k in range(1, LAGS + 1))
     part = lambda r, p, q: f"(({r}) - ({p})*({q}))/sqrt((1-({p})*({p}))*(1-({q})*({q})))"
     return f"""pa AS (SELECT entity_id, {', '.join(_LM)}, {past} FROM ld {where} WINDOW w AS (PARTITION BY entity_id ORDER BY day)), ce AS ({cells}),
     co AS (SELECT entity_id, source, target, lag, count(*) AS n, {', '.join(f'corr({p[0]},{p[1]}) AS {p}' for p in ('xy', 'xa', 'xb', 'ya', 'yb', 'ab'))} FROM ce WHERE x IS NOT NULL AND b IS NOT NULL AND a IS NOT NULL GROUP BY ALL),
@@ -80,7 +80,7 @@ def _links_sql(where: str) -> str:
 
 @register("causal_links", sql("ld", _links_sql("") + " SELECT entity_id, source, target, CAST(lag AS INTEGER) AS lag, n, " + R("r", "r") + ", " + R("r*sqrt((n-4)/(1-r*r))", "t") + " FROM li"))
 def _(spark, d):
-    return rounded(I.lagged_links(A.line_daily(spark, d), _LM, ["entity_id"], 3), ["entity_id", "source", "target", "lag", "n"], "r", "t")
+    return rounded(I.lagged_links(A.line_daily(spark, d), _LM, ["entity_id"], LAGS), ["entity_id", "source", "target", "lag", "n"], "r", "t")
 
 
 def _side(where: str, name: str) -> str:
@@ -96,8 +96,8 @@ def _side(where: str, name: str) -> str:
     UNION ALL SELECT entity_id, source, target, CAST(lag AS INTEGER), 'lost' FROM (SELECT * FROM s_pre EXCEPT SELECT * FROM s_full)"""))
 def _(spark, d):
     line = A.line_daily(spark, d)
-    full = I.lagged_links(line, _LM, ["entity_id"], 3)
-    pre = I.lagged_links(line.where(F.col("day") < F.lit(CUT)), _LM, ["entity_id"], 3)
+    full = I.lagged_links(line, _LM, ["entity_id"], LAGS)
+    pre = I.lagged_links(line.where(F.col("day") < F.lit(CUT)), _LM, ["entity_id"], LAGS)
     return I.link_changes(full, pre, ["entity_id"])
 
 
@@ -114,18 +114,16 @@ FC = """a AS (SELECT entity_id, metric, day, value AS actual, lag(value) OVER w
 
 
 def forecasts(spark, d):
-    return I.one_step_forecasts(A.line_signals(spark, d).where("metric IN ('qty', 'disc')"), EM)
+    return I.one_step_forecasts(A.line_signals(spark, d), EM)
 
 
-FC2 = FC.replace("FROM ls WINDOW", "FROM (SELECT * FROM ls WHERE metric IN ('qty','disc')) WINDOW")
-
-
-@register("forecast_naive", sql("ls", FC2 + " SELECT entity_id, metric, day, model, " + ", ".join(["pred", R("lo90", "lo90", 9), R("hi90", "hi90", 9)]) + ", outside FROM fc"))
+# the small addend takes values that lie on a rounding limit to one side in both engines
+@register("forecast_naive", sql("ls", FC + " SELECT entity_id, metric, day, model, " + ", ".join(["pred", R("lo90+1e-11", "lo90", 9), R("hi90+1e-11", "hi90", 9)]) + ", outside FROM fc"))
 def _(spark, d):
-    return forecasts(spark, d).select(*EM, "day", "model", "pred", r6("lo90", 9).alias("lo90"), r6("hi90", 9).alias("hi90"), "outside")
+    return forecasts(spark, d).select(*EM, "day", "model", "pred", r6(F.col("lo90") + 1e-11, 9).alias("lo90"), r6(F.col("hi90") + 1e-11, 9).alias("hi90"), "outside")
 
 
-@register("forecast_scores", sql("ls", FC2 + " SELECT entity_id, metric, model, count(*) AS n, " + ", ".join([
+@register("forecast_scores", sql("ls", FC + " SELECT entity_id, metric, model, count(*) AS n, " + ", ".join([
     R("avg(abs(actual-pred))", "mae"), R("sqrt(avg((actual-pred)*(actual-pred)))", "rmse"), R("avg(abs(actual-pred)/nullif(abs(actual),0))*100", "mape"), R("1 - sum((actual-pred)*(actual-pred))/(var_pop(actual)*count(*))", "r2"),
     R("avg(CASE WHEN actual BETWEEN lo50 AND hi50 THEN 1.0e0 ELSE 0.0e0 END)", "cover50"), R("avg(CASE WHEN actual BETWEEN lo90 AND hi90 THEN 1.0e0 ELSE 0.0e0 END)", "cover90"), R("avg(hi90-lo90)", "width90")]) + ", count(*) FILTER (WHERE outside) AS n_outside FROM fc GROUP BY ALL"))
 def _(spark, d):
@@ -133,13 +131,13 @@ def _(spark, d):
     return rounded(g, [*EM, "model", "n", "n_outside"], "mae", "rmse", "mape", "r2", "cover50", "cover90", "width90")
 
 
-@register("consensus_flag", sql("ls", FC2 + " SELECT a.entity_id, a.metric, a.day, CASE WHEN a.outside AND b.outside THEN 'HIGH' WHEN a.outside OR b.outside THEN 'MEDIUM' ELSE 'NORMAL' END AS consensus FROM fc a JOIN fc b USING (entity_id, metric, day) WHERE a.model = 'seasonal' AND b.model = 'trend'"))
+@register("consensus_flag", sql("ls", FC + " SELECT a.entity_id, a.metric, a.day, CASE WHEN a.outside AND b.outside THEN 'HIGH' WHEN a.outside OR b.outside THEN 'MEDIUM' ELSE 'NORMAL' END AS consensus FROM fc a JOIN fc b USING (entity_id, metric, day) WHERE a.model = 'seasonal' AND b.model = 'trend'"))
 def _(spark, d):
     f = forecasts(spark, d)
     return I.consensus_flag(f.where("model = 'seasonal'"), f.where("model = 'trend'"), EM)
 
 
-@register("width_change", sql("ls", FC2 + " SELECT entity_id, metric, model, " + ", ".join([R("avg(hi90-lo90) FILTER (WHERE day < DATE '1998-06-01')", "width_pre"), R("avg(hi90-lo90) FILTER (WHERE day >= DATE '1998-06-01')", "width_post"),
+@register("width_change", sql("ls", FC + " SELECT entity_id, metric, model, " + ", ".join([R("avg(hi90-lo90) FILTER (WHERE day < DATE '1998-06-01')", "width_pre"), R("avg(hi90-lo90) FILTER (WHERE day >= DATE '1998-06-01')", "width_post"),
     R("avg(outside::INT) FILTER (WHERE day >= DATE '1998-06-01')", "outside_post")]) + " FROM fc GROUP BY ALL"))
 def _(spark, d):
     return rounded(I.width_change(forecasts(spark, d), [*EM, "model"], F.lit(CUT)), [*EM, "model"], "width_pre", "width_post", "outside_post")
@@ -179,69 +177,3 @@ def _(spark, d):
     ev = A.samples(spark, d).withColumn("value", F.col("cents").cast("double"))
     h = D.hourly_bins(ev, ["metric"], min_count=2).withColumn("value", F.col("value") / 100)
     return I.hourly_backtest(h, ["metric"]).select("metric", "hour_no", "n_context", r6("pred").alias("pred"), r6("sd").alias("sd"), "outside")
-
-
-# --- latent states -----------------------------------------------------------
-
-SENSORS = ["rmssd", "sleep_hr", "spo2", "temp_deviation", "efficiency"]
-
-
-def filtered(spark, d):
-    return ST.state_filter(A.bio_daily(spark, d), SENSORS, em_steps=2)
-
-
-@register("state_filter")
-def _(spark, d):
-    return ST.state_rows(filtered(spark, d))
-
-
-@register("innovation_alerts")
-def _(spark, d):
-    return ST.innovation_alerts(filtered(spark, d), SENSORS)
-
-
-@register("state_forecast")
-def _(spark, d):
-    return ST.state_forecast(filtered(spark, d))
-
-
-@register("state_shift")
-def _(spark, d):
-    """Pre/post effect and recovery time constant of every smoothed state."""
-    rows = ST.state_rows(filtered(spark, d))
-    by = ["entity_id", "metric"]
-    fx = E.rank_battery(rows, by, F.col("day") < F.lit(CUT), ["entity_id"])
-    post = rows.where(F.col("day") >= F.lit(CUT)).withColumn("t", F.datediff("day", F.lit(CUT)))
-    tau = T.exp_recovery(post, "value", "t", by).select(*by, "tau", F.col("r2").alias("tau_r2"))
-    return fx.join(tau, by, "left").select(*by, "m1", "m2", "d", "delta", "p", "p_bonferroni", "direction", "tau", "tau_r2")
-
-
-@register("sensor_information")
-def _(spark, d):
-    rows = F.array(*[F.struct(F.lit(i).alias("sensor_index"), F.lit(s).alias("sensor"), F.col("innovation")[i].alias("e")) for i, s in enumerate(SENSORS)])
-    noise = filtered(spark, d).select("entity_id", F.inline(rows)).groupBy("entity_id", "sensor_index", "sensor").agg(F.var_samp("e").alias("variance"))
-    return ST.sensor_information(noise)
-
-
-def regime_frame(spark, d):
-    b = A.bio_daily(spark, d).join(stream_composite(spark, d).select("entity_id", "day", "composite"), ["entity_id", "day"])
-    return ST.regimes(b, ["rmssd", "sleep_hr", "temp_deviation"], "composite", iterations=10)
-
-
-@register("regimes")
-def _(spark, d):
-    return regime_frame(spark, d)
-
-
-@register("regime_distribution")
-def _(spark, d):
-    return ST.regime_distribution(regime_frame(spark, d))
-
-
-@register("regime_alerts")
-def _(spark, d):
-    """RED / YELLOW machine on the regimes' posteriors, validated against the known event."""
-    r = regime_frame(spark, d)
-    a = spc.alert_machine(r, ["entity_id"])
-    ev = r.select("entity_id").distinct().withColumn("event_date", F.lit(CUT))
-    return spc.alert_validation(a, ev, ["entity_id"])

@@ -175,8 +175,8 @@ def _(spark, d):
 @register("summary_lines", sql("ls", STATUS + """, k AS (SELECT *, CASE WHEN status = 'critical' THEN 1 WHEN direction = 'improving' THEN 2 WHEN direction = 'declining' THEN 3 END AS kind FROM st),
     n AS (SELECT *, row_number() OVER (PARTITION BY entity_id, kind ORDER BY abs(pct) DESC, metric) AS k FROM k WHERE kind IS NOT NULL),
     m AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY kind, k) AS line_no FROM n WHERE k <= CASE WHEN kind = 3 THEN 1 ELSE 2 END)
-    SELECT entity_id, CAST(line_no AS INTEGER) AS line_no, CASE kind WHEN 1 THEN printf('ATTENTION: %s is %s at %.1f (%+.1f%% week-over-week)', metric, direction, t, pct) WHEN 2 THEN printf('%s improved %+.1f%% to %.1f', metric, pct, t)
-      ELSE printf('%s declined %+.1f%% to %.1f, monitor', metric, pct, t) END AS line FROM m WHERE line_no <= 5"""))
+    SELECT entity_id, CAST(line_no AS INTEGER) AS line_no, CASE kind WHEN 1 THEN printf('[!] %s: weekly mean %.1f, %+.1f%% on the week before (%s)', metric, t, pct, direction) WHEN 2 THEN printf('[+] %s: weekly mean %.1f, better by %+.1f%%', metric, t, pct)
+      ELSE printf('[-] %s: weekly mean %.1f, worse by %+.1f%%', metric, t, pct) END AS line FROM m WHERE line_no <= 5"""))
 def _(spark, d):
     return C.summary_lines(C.weekly_status(C.weekly_compare(A.line_signals(spark, d), AS_OF), defs(spark)))
 

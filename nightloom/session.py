@@ -32,10 +32,14 @@ def build_session(app: str = "nightloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a local folder is set.
+    Without one a session on a local master, where driver and executors are one process, gets a folder of its own; any
+    other session must name one, since what executors wrote to their own disks would be missed on reading.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="nightloom-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():

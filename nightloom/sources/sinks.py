@@ -52,20 +52,30 @@ def write_partitions(df: DataFrame, path: str, by: str = "month") -> None:
 def merge_into(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str = "month") -> None:
     """Upsert on a month-partitioned folder: only touched months are read and rewritten.
 
-    The touched months are joined, not collected, and the merged rows go through
-    the shared folder first because a plan cannot overwrite what it reads.
+    The months of a batch, a list that the calendar bounds, become a literal filter that prunes the scan.  Only a folder
+    without any file counts as a new table; a read that fails ends the merge and leaves the stored rows alone.  The
+    merged rows go through the shared folder first because a plan cannot overwrite what it reads.
     """
     from ..session import cut_lineage
 
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:
+    if not has_files(spark, path):
         write_partitions(pick_per_key(incoming, keys, order), path, by)
         return
-    touched = stored.join(incoming.select(by).distinct(), by, "left_semi")
+    months = [r[0] for r in incoming.select(by).distinct().collect()]
+    if not months:
+        return
+    stored = spark.read.option("basePath", path).parquet(path)
+    touched = stored.where(F.col(by).isin(months))
     write_partitions(cut_lineage(upsert_latest(touched, incoming, keys, order)), path, by)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of any file system Spark knows holds a visible entry."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(where) and any(not x.getPath().getName().startswith(("_", ".")) for x in system.listStatus(where))
+
+
 def replace_person(df: DataFrame, email: str = "email") -> DataFrame:
     """Identity rows with the address reduced to a hash prefix."""
     return df.withColumn("email_key", hash_prefix(email)).drop(email)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightloom.operators import anomaly, changepoint, complexity, gaps, impact, resample, spc, spectral, states, trend
+from nightloom.operators import anomaly, changepoint, complexity, gaps, impact, resample, spc, spectral, trend
 
 D0 = dt.date(2024, 1, 1)
 
@@ -116,31 +116,6 @@ def test_segmentation_equals_dynamic_program():
     assert changepoint.optimal_segments(x, pen, k) == sorted(want)
 
 
-def test_filter_equals_joint_gaussian():
-    k, n = 2, 6
-    a, h = np.array([[0.9, 0.1], [0.0, 0.8]]), np.array([[1.0, 0.0], [0.5, 1.0]])
-    f = states._Filter(a, h, 0.1 * np.eye(k), 0.2 * np.eye(k), False)
-    z = RNG.normal(0, 1, (n, k))
-    z[2, 1] = np.nan
-    ms, ps, _ = f.smooth(*f.forward(z))
-    cov = np.zeros((n * k, n * k))
-    p = np.eye(k)
-    for t in range(n):
-        if t:
-            p = a @ p @ a.T + 0.1 * np.eye(k)
-        block = p
-        for s in range(t, n):
-            cov[s * k:(s + 1) * k, t * k:(t + 1) * k] = block
-            cov[t * k:(t + 1) * k, s * k:(s + 1) * k] = block.T
-            block = a @ block
-    big = np.kron(np.eye(n), h)
-    ok = np.isfinite(z).ravel()
-    hb = big[ok]
-    g = cov @ hb.T @ np.linalg.inv(hb @ cov @ hb.T + 0.2 * np.eye(ok.sum()))
-    assert np.allclose(ms.ravel(), g @ z.ravel()[ok], atol=1e-8)
-    assert np.allclose(ps[3], (cov - g @ hb @ cov)[3 * k:4 * k, 3 * k:4 * k], atol=1e-8)
-
-
 def test_impact_recovers_a_planted_step(spark):
     n = 200
     y = [5 + 0.01 * i + (2 if (i % 7) == 5 else 0) + (3.0 if i >= 150 else 0) + 0.05 * math.sin(i * 1.7) for i in range(n)]

@@ -164,3 +164,17 @@ def test_reset_chart(spark):
                 want.append((T0 + dt.timedelta(days=i)).date())
                 pos = 0.0
     assert sorted(r.day for r in spc.cusum_reset(df, "value", ["entity_id"]).collect()) == want
+
+
+def test_merge_keeps_rows_when_the_read_fails(spark, folder):
+    path = f"{folder}/t"
+    cols = "entity_id INT, day INT, value INT, seq INT, month STRING"
+    put = lambda rows: sinks.merge_into(spark, path, spark.createDataFrame(rows, cols), ["entity_id", "day"], ["seq"])
+    put([(1, 1, 1, 1, "2024-01"), (2, 1, 2, 1, "2024-01"), (1, 40, 5, 1, "2024-02")])
+    spark.range(1).write.parquet(f"{path}/batch=1")  # a foreign folder: the table can't be read
+    with pytest.raises(Exception):
+        put([(3, 1, 3, 1, "2024-01")])
+    assert spark.read.parquet(f"{path}/month=2024-01").count() == 2
+    plain = spark.read.option("basePath", path).parquet(f"{path}/month=2024-01", f"{path}/month=2024-02")
+    plan = plain.where(F.col("month").isin(["2024-01"]))._jdf.queryExecution().executedPlan().toString()
+    assert "(month" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
