@@ -8,10 +8,10 @@ mutual near-copies, is cut into blocks that share the node's first document.  Wi
 wanted recall.
 
 Inside a node, sketches (bytes of SKETCH minwise tokens) leave pairs that can reach the threshold at seven standard
-deviations; only a spanning forest of them leaves the task, so nodes never list their pairs.  The forests of all nodes
-make clusters, and every link lies within one.  Clusters are confirmed on full sets, in blocks of bounded size: first
+deviations; only what they connect leaves the task, as stars of one row for each document, so nodes never list their pairs.  The
+stars of all nodes make clusters, and every link lies within one.  Clusters are confirmed on full sets, in blocks of bounded size: first
 each block with some documents that all blocks of a cluster share, then what is not in a cluster's commonest component
-against all its blocks.  Again a task gives back a spanning forest of the links it finds, never the pairs.
+against all its blocks.  Again a task gives back stars of what its links connect, never the pairs.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def _once(rows: list[tuple]) -> list[tuple]:
 
 
 def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of a node's pairs that may be links; rows: (rid, n, sketch)."""
+    """What a node's pairs that may be links connect, as stars around least ids; rows: (rid, n, sketch)."""
     rows = _once(rows)
     if len(rows) < 2:
         return []
@@ -146,9 +146,11 @@ def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     for i in range(len(rows) - 1):
         same = (sketch[i + 1 :] == sketch[i]).sum(1)
         lo, hi = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-        found += [(-int(same[j]) // 8, i, i + 1 + int(j)) for j in np.flatnonzero((same >= least) & (100 * lo >= percent * hi))]
+        found += [(i, i + 1 + int(j)) for j in np.flatnonzero((same >= least) & (100 * lo >= percent * hi))]
     forest = Forest(len(rows))
-    return [(rid[i], rid[j]) for _, i, j in sorted(found) if forest.join(i, j)]
+    for i, j in found:
+        forest.join(i, j)
+    return [(rid[forest.find(i)], rid[i]) for i in range(len(rows)) if forest.find(i) != i]
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -170,7 +172,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of a block's links between different components; rows: (rid, set, part, stray)."""
+    """What a block's links connect, as stars of one row of each part; rows: (rid, set, part)."""
     rows = _once(rows)
     if len(rows) < 2:
         return []
@@ -182,7 +184,9 @@ def _linked(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     at: dict[int, int] = {}
     for i, r in enumerate(rows):
         forest.join(at.setdefault(r[2], i), i)
-    return [(rows[i][0], rows[j][0]) for i, j in zip(first.tolist(), second.tolist()) if forest.join(i, j)]
+    for i, j in zip(first.tolist(), second.tolist()):
+        forest.join(i, j)
+    return [(rows[forest.find(i)][0], rows[i][0]) for i in at.values() if forest.find(i) != i]
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], pairs_of, percent: int) -> Iterator[pa.RecordBatch]:
