@@ -6,12 +6,18 @@ and can be replayed elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .complexity import _types
+
 PRIME = 2147483647
+#: Replicates that are computed from one copy of a series.
+CHUNK = 50
 
 
 def draw(rep: Column, i: Column, seed: int) -> Column:
@@ -30,11 +36,36 @@ def draw_sql(rep: str, i: str, seed: int) -> str:
     return f"(({x2}*{x2}+{x1})%{PRIME})"
 
 
-def resampled_sum(values: str, rep: Column, seed: int) -> Column:
-    """Sum of as many draws with replacement as the array holds."""
-    n = F.size(values)
-    idx = lambda i: F.pmod(draw(rep, i, seed), n).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + F.get(F.col(values), idx(i)))
+def draws(reps: np.ndarray, i: np.ndarray, seed: int) -> np.ndarray:
+    """The same integers as ``draw``, one row for each replicate; no product leaves 64 bits."""
+    x0 = (reps[:, None] * 1000003 + i[None, :] * 7919 + seed * 104729) % PRIME
+    x1 = (x0 * 48271 + 11) % PRIME
+    x2 = (x1 * x1 + x0) % PRIME
+    return (x2 * x2 + x1) % PRIME
+
+
+def _drawn(x: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """As many draws with replacement as the series holds, a row for each replicate."""
+    return x[draws(reps, np.arange(len(x)), seed) % len(x)]
+
+
+def _replicates(series: DataFrame, by: Sequence[str], reps: int, stat: Callable[..., np.ndarray], kind: str = "double") -> DataFrame:
+    """One row (by, rep, stat) for each replicate; ``stat`` gets the numbers of CHUNK replicates and the array columns.
+
+    A series is copied once per CHUNK replicates, not once for each.
+    """
+    start = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(CHUNK)))
+    blocks = series.withColumn("_from", start).repartition(*by, "_from")
+    arrays = [c for c in series.columns if c not in by]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                numbers = np.arange(row["_from"], min(row["_from"] + CHUNK, reps))
+                out = stat(numbers, *(np.asarray(row[c], dtype=float) for c in arrays))
+                yield pd.DataFrame({**{k: [row[k]] * len(numbers) for k in by}, "rep": numbers, "stat": list(out)})
+
+    return blocks.mapInPandas(run, f"{_types(series, by)}, rep int, stat {kind}")
 
 
 def _interval(reps: DataFrame, by: Sequence[str], stat: str, level: float) -> DataFrame:
@@ -53,33 +84,30 @@ def _ordered(value: str, day: str, keep: Column) -> Column:
 def bootstrap_mean_diff(signals: DataFrame, by: Sequence[str], first: Column, reps: int = 1000, level: float = 0.95, seed: int = 42, value: str = "value", day: str = "day") -> DataFrame:
     """Percentile interval of mean(others) - mean(first).
 
-    One series (one value per day) travels as an array to its replicates, which
-    are plain rows: no index join and no shuffle of resampled values.
+    One series (one value per day) travels as an array, once per block of replicates, which are
+    computed in place: no index join and no shuffle of resampled values.
     """
     g = signals.groupBy(*by).agg(_ordered(value, day, first).alias("_a"), _ordered(value, day, ~first).alias("_b"))
-    r = g.where((F.size("_a") > 1) & (F.size("_b") > 1)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    r = r.repartition(*by, "rep").withColumn(
-        "stat", resampled_sum("_b", F.col("rep"), seed + 1) / F.size("_b") - resampled_sum("_a", F.col("rep"), seed) / F.size("_a")
-    )
-    return _interval(r, by, "stat", level)
+    stat = lambda reps, a, b: _drawn(b, reps, seed + 1).mean(axis=1) - _drawn(a, reps, seed).mean(axis=1)
+    return _interval(_replicates(g.where((F.size("_a") > 1) & (F.size("_b") > 1)), by, reps, stat), by, "stat", level)
 
 
 def block_bootstrap(signals: DataFrame, by: Sequence[str], block: int = 7, reps: int = 1000, level: float = 0.95, seed: int = 42, value: str = "value", day: str = "day") -> DataFrame:
     """Moving-block interval of the mean: whole blocks are drawn, so autocorrelation survives."""
     g = signals.groupBy(*by).agg(_ordered(value, day, F.lit(True)).alias("_a"))
-    r = g.where(F.size("_a") > block).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*by, "rep")
-    n = F.size("_a")
-    start = lambda i: F.pmod(draw(F.col("rep"), F.floor(i / block), seed), n - block + 1)
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + F.get(F.col("_a"), (start(i) + i % block).cast("int")))
-    return _interval(r.withColumn("stat", total / n), by, "stat", level)
+
+    def stat(reps: np.ndarray, x: np.ndarray) -> np.ndarray:
+        i = np.arange(len(x))
+        return x[draws(reps, i // block, seed) % (len(x) - block + 1) + i % block].mean(axis=1)
+
+    return _interval(_replicates(g.where(F.size("_a") > block), by, reps, stat), by, "stat", level)
 
 
 def bootstrap_stat(signals: DataFrame, by: Sequence[str], stat: Callable[[Column], Column], reps: int = 1000, level: float = 0.95, seed: int = 42, value: str = "value", day: str = "day") -> DataFrame:
     """Interval of any aggregate Column, e.g. ``F.median``: draws become rows of (series, replicate)."""
     g = signals.groupBy(*by).agg(_ordered(value, day, F.lit(True)).alias("_a"))
-    r = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(*by, "rep")
-    idx = lambda i: F.pmod(draw(F.col("rep"), i, seed), F.size("_a")).cast("int")
-    drawn = r.select(*by, "rep", F.explode(F.transform(F.sequence(F.lit(0), F.size("_a") - 1), lambda i: F.get(F.col("_a"), idx(i)))).alias("_v"))
+    values = _replicates(g.where(F.size("_a") > 0), by, reps, lambda reps, x: _drawn(x, reps, seed), "array<double>")
+    drawn = values.select(*by, "rep", F.explode("stat").alias("_v"))
     return _interval(drawn.groupBy(*by, "rep").agg(stat(F.col("_v")).alias("stat")), by, "stat", level)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import scalar as S
 from ..operators import anomaly as AN, changepoint as CP, joins as J, spc, windows as W
@@ -67,16 +69,41 @@ def _(spark, d):
     return AN.vote_ensemble(v.join(f, ["entity_id", "day"]), 4).select("entity_id", "day", "votes", "score", "anomaly")
 
 
-@register("matrix_profile", sql("ld", """x AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, qty AS a FROM ld),
-    t AS (SELECT entity_id, i, a, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c FROM x WINDOW w AS (PARTITION BY entity_id ORDER BY i)),
-    m AS (SELECT entity_id, i, (a+b+c)/3 AS mu, a, b, c FROM t WHERE c IS NOT NULL), s AS (SELECT *, sqrt(((a-mu)*(a-mu)+(b-mu)*(b-mu)+(c-mu)*(c-mu))/3) AS sd FROM m),
-    z AS (SELECT entity_id, i, sd < 1e-12 AS flat, (a-mu)/(CASE WHEN sd < 1e-12 THEN 1 ELSE sd END) AS a, (b-mu)/(CASE WHEN sd < 1e-12 THEN 1 ELSE sd END) AS b, (c-mu)/(CASE WHEN sd < 1e-12 THEN 1 ELSE sd END) AS c FROM s),
-    p AS (SELECT x.entity_id, x.i, min(CASE WHEN x.flat <> y.flat THEN 3.0e0 WHEN x.flat THEN 0.0e0 ELSE greatest(2*(3 - (x.a*y.a+x.b*y.b+x.c*y.c)), 0) END) AS d2
-      FROM z x JOIN z y ON x.entity_id = y.entity_id AND abs(x.i-y.i) > 1 GROUP BY ALL)
-    SELECT entity_id, CAST(i AS INTEGER) AS pos, """ + R("sqrt(d2)", "distance", 4) + " FROM p"))
+WINDOWS = (3, 5, 7)
+
+
+def _profile_sql(m: int) -> str:
+    """Profile of window m: subsequences as lists, zone of ceil(m / 4) on both sides."""
+    dev = "list_transform(v, lambda e: (e - mu)/(CASE WHEN sd < 1e-12 THEN 1 ELSE sd END))"
+    return f"""t{m} AS (SELECT entity_id, i, list(a) OVER (PARTITION BY entity_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING) AS v FROM x),
+    u{m} AS (SELECT entity_id, i, v, list_avg(v) AS mu FROM t{m} WHERE len(v) = {m}),
+    s{m} AS (SELECT *, sqrt(list_sum(list_transform(v, lambda e: (e - mu)*(e - mu)))/{m}) AS sd FROM u{m}),
+    y{m} AS (SELECT entity_id, i, sd < 1e-12 AS flat, CAST({dev} AS DOUBLE[{m}]) AS z FROM s{m}),
+    p{m} AS (SELECT a.entity_id, a.i, min(CASE WHEN a.flat <> b.flat THEN {m}.0e0 WHEN a.flat THEN 0.0e0 ELSE greatest(2*({m} - array_inner_product(a.z, b.z)), 0) END) AS d2
+      FROM y{m} a JOIN y{m} b ON a.entity_id = b.entity_id AND abs(a.i - b.i) > {math.ceil(m / 4)} GROUP BY ALL)"""
+
+
+PROFILE = "x AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, qty AS a FROM ld), " + ", ".join(_profile_sql(m) for m in WINDOWS) \
+    + ", pr AS (" + " UNION ALL ".join(f"SELECT {m} AS width, entity_id, CAST(i AS INTEGER) AS pos, round(sqrt(d2), 4) AS distance FROM p{m}" for m in WINDOWS) + ")"
+
+
+def profiles(spark, d):
+    line = A.line_daily(spark, d)
+    parts = [AN.matrix_profile(line, "qty", ["entity_id"], m).select(F.lit(m).alias("width"), "entity_id", "pos", r6("distance", 4).alias("distance")) for m in WINDOWS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("matrix_profile", sql("ld", PROFILE + " SELECT width, entity_id, pos, " + R("distance", "distance", 4) + " FROM pr"))
+def _(spark, d):
+    return profiles(spark, d)
+
+
+@register("top_discords", sql("ld", PROFILE + ", k AS (SELECT *, row_number() OVER (PARTITION BY width, entity_id ORDER BY distance DESC, pos) AS rank FROM pr) SELECT width, entity_id, pos, " + R("distance", "distance", 4)
+    + ", CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5"))
 def _(spark, d):
-    mp = AN.matrix_profile(A.line_daily(spark, d), "qty", ["entity_id"], 3)
-    return mp.select("entity_id", "pos", r6("distance", 4).alias("distance"))
+    """The five subsequences of each window farthest from their nearest neighbour."""
+    w = Window.partitionBy("width", "entity_id").orderBy(F.desc("distance"), "pos")
+    return profiles(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
 @register("window_recon")
@@ -120,9 +147,9 @@ def _(spark, d):
 
 
 @register("fingerprint_cosine", sql("ld", ZW + ", " + ANOM + ", f AS (" + " UNION ALL ".join(f"SELECT entity_id, '{m}' AS metric, avg(z_{m}) AS z FROM an GROUP BY entity_id" for m in LM)
-    + ") SELECT a.entity_id AS left_id, b.entity_id AS right_id, " + R("sum(a.z*b.z)/sqrt(sum(a.z*a.z)*sum(b.z*b.z))", "cosine") + " FROM f a JOIN f b USING (metric) WHERE (a.entity_id, b.entity_id) IN (('A','R'), ('A','N')) GROUP BY ALL"))
+    + ") SELECT a.entity_id AS left_id, b.entity_id AS right_id, " + R("sum(a.z*b.z)/sqrt(sum(a.z*a.z)*sum(b.z*b.z))", "cosine") + " FROM f a JOIN f b USING (metric) WHERE (a.entity_id, b.entity_id) IN (('A','R'), ('A','N'), ('N','R')) GROUP BY ALL"))
 def _(spark, d):
-    pairs = spark.createDataFrame([("A", "R"), ("A", "N")], "left_id STRING, right_id STRING")
+    pairs = spark.createDataFrame([("A", "R"), ("A", "N"), ("N", "R")], "left_id STRING, right_id STRING")
     return AN.cosine(AN.fingerprint(marked(spark, d), LM), pairs).select("left_id", "right_id", r6("cosine").alias("cosine"))
 
 

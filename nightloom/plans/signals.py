@@ -148,7 +148,7 @@ def _(spark, d):
     return rounded(X.recurrence(A.line_daily(spark, d), "qty", ["entity_id"]), ["entity_id", "m", "recurrences"], "rate", "determinism", "laminarity", "diagonal_entropy")
 
 
-FREQS = P.linspace(0.001, 0.005, 60)
+FREQS = P.linspace(0.001, 0.005, 500)
 
 
 def _lomb_sql() -> str:

@@ -300,25 +300,34 @@ def _(spark, d):
 
 # --- resampling --------------------------------------------------------------
 
-@register("bootstrap_mean_diff", sql("od", f"""b AS (SELECT entity_id, {PRE} AS a, list(value ORDER BY day) AS v FROM od GROUP BY ALL),
-    d AS (SELECT entity_id, a, rep, len(v) AS n, v, unnest(range(len(v))) AS i FROM b, (SELECT unnest(range(40)) AS rep)),
-    s AS (SELECT entity_id, rep, sum(v[1 + {RS.draw_sql('rep', 'i', 43)} % n]) FILTER (WHERE NOT a) / max(n) FILTER (WHERE NOT a) - sum(v[1 + {RS.draw_sql('rep', 'i', 42)} % n]) FILTER (WHERE a) / max(n) FILTER (WHERE a) AS stat FROM d GROUP BY ALL)
+@register("bootstrap_mean_diff", sql("od", f"""v AS (SELECT entity_id, {PRE} AS a, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY entity_id, {PRE}) AS n FROM od WINDOW w AS (PARTITION BY entity_id, {PRE} ORDER BY day)),
+    d AS (SELECT entity_id, a, rep, CASE WHEN a THEN {RS.draw_sql('rep', 'i', 42)} ELSE {RS.draw_sql('rep', 'i', 43)} END % n AS i FROM v, (SELECT unnest(range(1000)) AS rep)),
+    m AS (SELECT entity_id, a, rep, sum(value)/count(*) AS m FROM d JOIN v USING (entity_id, a, i) GROUP BY ALL),
+    s AS (SELECT entity_id, rep, sum(CASE WHEN a THEN -m ELSE m END) AS stat FROM m GROUP BY ALL HAVING count(*) = 2)
     SELECT entity_id, """ + ", ".join([R("quantile_cont(stat, 0.025)", "ci_lo"), R("quantile_cont(stat, 0.975)", "ci_hi")]) + " FROM s GROUP BY 1"))
 def _(spark, d):
-    return rounded(RS.bootstrap_mean_diff(A.order_daily(spark, d), ["entity_id"], pre(), reps=40), ["entity_id"], "ci_lo", "ci_hi")
+    return rounded(RS.bootstrap_mean_diff(A.order_daily(spark, d), ["entity_id"], pre()), ["entity_id"], "ci_lo", "ci_hi")
 
 
-@register("block_bootstrap", sql("od", f"""b AS (SELECT entity_id, list(value ORDER BY day) AS v FROM od GROUP BY ALL),
-    d AS (SELECT entity_id, rep, len(v) AS n, v, unnest(range(len(v))) AS i FROM b, (SELECT unnest(range(40)) AS rep)),
-    s AS (SELECT entity_id, rep, sum(v[1 + {RS.draw_sql('rep', '(i//7)', 42)} % (n - 6) + i % 7]) / max(n) AS stat FROM d GROUP BY ALL)
+@register("block_bootstrap", sql("od", f"""v AS (SELECT entity_id, value, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM od),
+    d AS (SELECT entity_id, rep, {RS.draw_sql('rep', '(i//7)', 42)} % (n - 6) + i % 7 AS i FROM v, (SELECT unnest(range(1000)) AS rep)),
+    s AS (SELECT entity_id, rep, sum(value)/count(*) AS stat FROM d JOIN v USING (entity_id, i) GROUP BY ALL)
     SELECT entity_id, """ + ", ".join([R("quantile_cont(stat, 0.025)", "ci_lo"), R("quantile_cont(stat, 0.975)", "ci_hi")]) + " FROM s GROUP BY 1"))
 def _(spark, d):
-    return rounded(RS.block_bootstrap(A.order_daily(spark, d), ["entity_id"], reps=40), ["entity_id"], "ci_lo", "ci_hi")
+    return rounded(RS.block_bootstrap(A.order_daily(spark, d), ["entity_id"]), ["entity_id"], "ci_lo", "ci_hi")
 
 
-@register("poisson_bootstrap", sql("ev", f"""d AS (SELECT metric, value, rep, {RS.draw_sql('rep', 'event_id', 42)} AS d FROM ev, (SELECT unnest(range(20)) AS rep)),
+@register("bootstrap_median", sql("od", f"""v AS (SELECT entity_id, value, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM od),
+    d AS (SELECT entity_id, rep, {RS.draw_sql('rep', 'i', 42)} % n AS i FROM v, (SELECT unnest(range(1000)) AS rep)),
+    s AS (SELECT entity_id, rep, quantile_cont(value, 0.5) AS stat FROM d JOIN v USING (entity_id, i) GROUP BY ALL)
+    SELECT entity_id, """ + ", ".join([R("quantile_cont(stat, 0.025)", "ci_lo"), R("quantile_cont(stat, 0.975)", "ci_hi")]) + " FROM s GROUP BY 1"))
+def _(spark, d):
+    return rounded(RS.bootstrap_stat(A.order_daily(spark, d), ["entity_id"], lambda v: F.percentile(v, F.lit(0.5))), ["entity_id"], "ci_lo", "ci_hi")
+
+
+@register("poisson_bootstrap", sql("ev", f"""d AS (SELECT metric, value, rep, {RS.draw_sql('rep', 'event_id', 42)} AS d FROM ev, (SELECT unnest(range(200)) AS rep)),
     w AS (SELECT metric, rep, value, {" + ".join(f"(d >= {t})::INT" for t in RS._POISSON)} AS w FROM d),
     s AS (SELECT metric, rep, sum(w*value)/sum(w) AS stat FROM w GROUP BY ALL)
     SELECT metric, """ + ", ".join([R("quantile_cont(stat, 0.025)", "ci_lo"), R("quantile_cont(stat, 0.975)", "ci_hi")]) + " FROM s GROUP BY 1"))
 def _(spark, d):
-    return rounded(RS.poisson_bootstrap_mean(A.samples(spark, d), ["metric"], "event_id", reps=20), ["metric"], "ci_lo", "ci_hi")
+    return rounded(RS.poisson_bootstrap_mean(A.samples(spark, d), ["metric"], "event_id"), ["metric"], "ci_lo", "ci_hi")
