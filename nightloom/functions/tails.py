@@ -10,8 +10,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_Z = 1.959963984540054
+#: Terms of Student's 97.5 % point in powers of 1 / df.
+T975 = [
+    _Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384,
+    (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160,
+]
+
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta through its continued fraction (Lentz)."""
@@ -111,6 +119,24 @@ def t_p2(t, df):
     return _udf2(t_p2_value)(t, df)
 
 
+def t_p2_sql(t: str, df: str, panels: int = 8000) -> str:
+    """The same as SQL text, by Simpson's rule: under t = sqrt(df) tan(x) the density is a power of cos(x)."""
+    area = lambda a: (
+        f"(({math.pi / 2!r}e0 - {a}) * list_sum(list_transform(range({panels + 1}), lambda k: "
+        f"(CASE WHEN k IN (0, {panels}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({a} + ({math.pi / 2!r}e0 - {a}) * k / {panels}.0e0), ({df}) - 1))))"
+    )
+    return f"({area(f'atan(abs({t})/sqrt({df}))')} / {area('0.0e0')})"
+
+
+def t975(df: Column) -> Column:
+    """Upper 2.5 % point of Student's t by its expansion around the normal point; off by 1.2e-4 at df = 6, less above."""
+    return sum((F.lit(c) / F.pow(df, F.lit(k)) for k, c in enumerate(T975)), F.lit(0.0))
+
+
+def t975_sql(df: str) -> str:
+    return "(" + " + ".join(f"{c!r}e0/pow({df}, {k})" for k, c in enumerate(T975)) + ")"
+
+
 def chi2_sf(x, df):
     return _udf2(lambda x, k: gamma_sf(k / 2, x / 2))(x, df)
 

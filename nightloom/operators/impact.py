@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import norm_p2
+from ..functions.tails import t975, t_p2
 from .windows import pearson, series
 
-Z975 = 1.959963984540054
-
 
 def _pre_fit(d: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Trend and weekday levels of the pre-period from sums per weekday.
@@ -30,8 +28,9 @@ def _pre_fit(d: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     slope = F.col("sxy") / F.col("sxx")
     sse = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
-    return tot.where((F.col("sxx") > 0) & (F.col("n_pre") > F.col("k") + 1)).select(
-        *keys, "n_pre", "sxx", slope.alias("slope"), (sse / (F.col("n_pre") - F.col("k") - 1)).alias("s2"), "levels"
+    dof = F.col("n_pre") - F.col("k") - 1
+    return tot.where((F.col("sxx") > 0) & (dof > 0)).select(
+        *keys, "n_pre", "sxx", dof.alias("dof"), slope.alias("slope"), (sse / dof).alias("s2"), "levels"
     )
 
 
@@ -45,7 +44,7 @@ def _prepare(signals: DataFrame, by: Sequence[str], extra: Sequence[str]) -> Dat
 def impact(signals: DataFrame, by: Sequence[str], event: Column, min_pre: int = 14, min_post: int = 3, wide_ratio: float = 5.0, extra: Sequence[str] = ()) -> DataFrame:
     """Average effect after ``event`` against the projected pre-period: effect, relative effect, p, interval.
 
-    The relative effect is NULL where it means nothing (prediction near 0, sign
+    p and interval are Student's on the degrees of freedom of the pre-period's fit.  The relative effect is NULL where it means nothing (prediction near 0, sign
     flip, effect as large as the prediction); ``low_confidence`` marks an interval
     much wider than the effect.
     """
@@ -60,17 +59,17 @@ def impact(signals: DataFrame, by: Sequence[str], event: Column, min_pre: int =
     pred = F.col("y_w") + F.col("slope") * (F.col("t_post") - F.col("t_w"))
     g = j.groupBy(*keys).agg(
         F.max("n_pre").alias("n_pre"), F.sum("m_w").alias("n_post"), (F.sum("y_sum") / F.sum("m_w")).alias("actual"),
-        (F.sum(F.col("m_w") * pred) / F.sum("m_w")).alias("predicted"), F.max("s2").alias("s2"), F.max("sxx").alias("sxx"),
+        (F.sum(F.col("m_w") * pred) / F.sum("m_w")).alias("predicted"), F.max("s2").alias("s2"), F.max("sxx").alias("sxx"), F.max("dof").alias("dof"),
         F.sum(F.col("m_w") * F.col("m_w") / F.col("n_w")).alias("_lv"), F.sum(F.col("m_w") * (F.col("t_post") - F.col("t_w"))).alias("_far"),
     )
     m = F.col("n_post")
     var = F.col("s2") * (1 / m + F.col("_lv") / (m * m) + F.pow(F.col("_far") / m, 2) / F.col("sxx"))
     g = g.where((F.col("n_pre") >= min_pre) & (m >= min_post)).withColumn("effect", F.col("actual") - F.col("predicted")).withColumn("se", F.sqrt(var))
     ok = (F.abs("predicted") > 1e-10) & (F.col("actual") * F.col("predicted") > 0) & (F.abs("effect") < F.abs("predicted"))
-    half = Z975 * F.col("se")
+    half = t975(F.col("dof")) * F.col("se")
     return g.select(
         *keys, "n_pre", "n_post", "actual", "predicted", "effect", F.when(ok, F.col("effect") / F.col("predicted") * 100).alias("relative_pct"),
-        "se", norm_p2(F.col("effect") / F.nullif(F.col("se"), F.lit(0.0))).alias("p"), (F.col("effect") - half).alias("ci_lo"), (F.col("effect") + half).alias("ci_hi"),
+        "se", "dof", t_p2(F.col("effect") / F.nullif(F.col("se"), F.lit(0.0)), F.col("dof")).alias("p"), (F.col("effect") - half).alias("ci_lo"), (F.col("effect") + half).alias("ci_hi"),
         ((F.abs("effect") >= 1e-10) & (2 * half > wide_ratio * F.abs("effect"))).alias("low_confidence"),
     )
 
@@ -82,7 +81,7 @@ def impact_series(signals: DataFrame, by: Sequence[str], event: Column) -> DataF
     fit = _pre_fit(d, keys)
     j = d.join(fit.select(*keys, F.inline("levels")), [*keys, "wd"]).join(fit.drop("levels"), keys)
     pred = F.col("y_w") + F.col("slope") * (F.col("t") - F.col("t_w"))
-    half = Z975 * F.sqrt(F.col("s2") * (1 + 1 / F.col("n_w") + F.pow(F.col("t") - F.col("t_w"), 2) / F.col("sxx")))
+    half = t975(F.col("dof")) * F.sqrt(F.col("s2") * (1 + 1 / F.col("n_w") + F.pow(F.col("t") - F.col("t_w"), 2) / F.col("sxx")))
     return j.select(*keys, "day", F.col("value").alias("actual"), pred.alias("pred"), (pred - half).alias("lo"), (pred + half).alias("hi"))
 
 
@@ -128,7 +127,7 @@ def lagged_links(daily: DataFrame, metrics: Sequence[str], by: Sequence[str], ma
 
     g = g.withColumn("_xy", part(F.col("xy"), F.col("xa"), F.col("ya"))).withColumn("_xb", part(F.col("xb"), F.col("xa"), F.col("ab"))).withColumn("_yb", part(F.col("yb"), F.col("ya"), F.col("ab")))
     g = g.withColumn("r", part(F.col("_xy"), F.col("_xb"), F.col("_yb"))).withColumn("t", F.col("r") * F.sqrt((F.col("n") - 4) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0))))
-    return g.select(*by, "source", "target", "lag", "n", "r", "t", norm_p2("t").alias("p"))
+    return g.select(*by, "source", "target", "lag", "n", "r", "t", t_p2("t", F.col("n") - 4).alias("p"))
 
 
 def link_changes(full: DataFrame, pre: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFrame:

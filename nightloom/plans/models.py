@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import scalar as S
+from ..functions import scalar as S, tails
 from ..operators import daily as D, effects as E, impact as I
 from ..sources import adapters as A
 from .registry import R, register
@@ -21,20 +21,22 @@ def _impact_sql(src: str, extra: str = "", event: str = "DATE '1998-06-01'") ->
     k = "entity_id, metric" + extra
     return f"""b AS (SELECT {k}, day, value, CAST(date_diff('day', DATE '1970-01-01', day) AS DOUBLE) AS t, isodow(day) AS wd, day < {event} AS pre FROM {src}),
     lw AS (SELECT {k}, wd, count(*) AS nw, avg(t) AS tw, avg(value) AS yw, regr_sxx(value,t) AS sxx, regr_sxy(value,t) AS sxy, regr_syy(value,t) AS syy FROM b WHERE pre GROUP BY {k}, wd),
-    f AS (SELECT {k}, sum(nw) AS n_pre, sum(sxy)/sum(sxx) AS slope, sum(sxx) AS sxx, (sum(syy) - sum(sxy)*sum(sxy)/sum(sxx))/(sum(nw) - count(*) - 1) AS s2 FROM lw GROUP BY {k}),
+    f AS (SELECT {k}, sum(nw) AS n_pre, sum(sxy)/sum(sxx) AS slope, sum(sxx) AS sxx, (sum(syy) - sum(sxy)*sum(sxy)/sum(sxx))/(sum(nw) - count(*) - 1) AS s2, CAST(sum(nw) AS BIGINT) - count(*) - 1 AS dof FROM lw GROUP BY {k}),
     pw AS (SELECT {k}, wd, count(*) AS mw, avg(t) AS tp, sum(value) AS ys FROM b WHERE NOT pre GROUP BY {k}, wd),
-    j AS (SELECT {k}, pw.mw, ys, nw, yw + f.slope*(tp-tw) AS pred, tp - tw AS far, f.n_pre, f.sxx, f.s2 FROM pw JOIN lw USING ({k}, wd) JOIN f USING ({k})),
-    g AS (SELECT {k}, CAST(max(n_pre) AS BIGINT) AS n_pre, CAST(sum(mw) AS BIGINT) AS n_post, sum(ys)/sum(mw) AS actual, sum(mw*pred)/sum(mw) AS predicted,
+    j AS (SELECT {k}, pw.mw, ys, nw, yw + f.slope*(tp-tw) AS pred, tp - tw AS far, f.n_pre, f.sxx, f.s2, f.dof FROM pw JOIN lw USING ({k}, wd) JOIN f USING ({k})),
+    g AS (SELECT {k}, CAST(max(n_pre) AS BIGINT) AS n_pre, CAST(max(dof) AS BIGINT) AS dof, CAST(sum(mw) AS BIGINT) AS n_post, sum(ys)/sum(mw) AS actual, sum(mw*pred)/sum(mw) AS predicted,
       sqrt(max(s2)*(1.0e0/sum(mw) + sum(mw*mw/CAST(nw AS DOUBLE))/(CAST(sum(mw) AS DOUBLE)*sum(mw)) + pow(sum(mw*far)/sum(mw), 2)/max(sxx))) AS se FROM j GROUP BY {k})"""
 
 
 @register("impact", sql("ls", _impact_sql("ls") + " SELECT entity_id, metric, n_pre, n_post, " + ", ".join([
-    R("actual", "actual"), R("predicted", "predicted"), R("actual-predicted", "effect"), R("se", "se"), R(S.norm_p2_sql("((actual-predicted)/se)"), "p")]) + " FROM g"))
+    R("actual", "actual"), R("predicted", "predicted"), R("actual-predicted", "effect"), R("se", "se"), R(tails.t_p2_sql("((actual-predicted)/se)", "dof"), "p"),
+    R(f"actual-predicted-{tails.t975_sql('dof')}*se", "ci_lo"), R(f"actual-predicted+{tails.t975_sql('dof')}*se", "ci_hi")])
+    + f", abs(actual-predicted) >= 1e-10 AND 2*{tails.t975_sql('dof')}*se > 5*abs(actual-predicted) AS low_confidence FROM g"))
 def _(spark, d):
-    return rounded(I.impact(A.line_signals(spark, d), EM, F.lit(CUT)), [*EM, "n_pre", "n_post"], "actual", "predicted", "effect", "se", "p")
+    return rounded(I.impact(A.line_signals(spark, d), EM, F.lit(CUT)), [*EM, "n_pre", "n_post", "low_confidence"], "actual", "predicted", "effect", "se", "p", "ci_lo", "ci_hi")
 
 
-@register("impact_series", sql("ls", _impact_sql("ls") + """, o AS (SELECT b.entity_id, b.metric, b.day, b.value, yw + slope*(b.t-tw) AS pred, 1.959963984540054e0*sqrt(s2*(1 + 1.0e0/nw + (b.t-tw)*(b.t-tw)/f.sxx)) AS half
+@register("impact_series", sql("ls", _impact_sql("ls") + """, o AS (SELECT b.entity_id, b.metric, b.day, b.value, yw + slope*(b.t-tw) AS pred, """ + tails.t975_sql("f.dof") + """*sqrt(s2*(1 + 1.0e0/nw + (b.t-tw)*(b.t-tw)/f.sxx)) AS half
     FROM b JOIN lw ON lw.entity_id = b.entity_id AND lw.metric = b.metric AND lw.wd = b.wd JOIN f ON f.entity_id = b.entity_id AND f.metric = b.metric)
     SELECT entity_id, metric, day, """ + ", ".join([R("pred", "pred"), R("pred-half", "lo"), R("pred+half", "hi")]) + " FROM o"))
 def _(spark, d):
@@ -51,13 +53,13 @@ def _(spark, d):
     return rounded(I.placebo(A.line_signals(spark, d), EM, F.lit(CUT)), [*EM, "placebo_date", "n_pre", "n_post"], "effect", "se")
 
 
-@register("placebo_verdict", sql("ls", PLACEBO + ", v AS (SELECT entity_id, " + S.norm_p2_sql("((actual-predicted)/se)") + """ < 0.05 AS s FROM g WHERE n_pre >= 14 AND n_post >= 3)
+@register("placebo_verdict", sql("ls", PLACEBO + ", v AS (SELECT entity_id, " + tails.t_p2_sql("((actual-predicted)/se)", "dof") + """ < 0.05 AS s FROM g WHERE n_pre >= 14 AND n_post >= 3)
     SELECT entity_id, count(*) AS n_tests, count(*) FILTER (WHERE s) AS n_significant, CASE count(*) FILTER (WHERE s) WHEN 0 THEN 'PASS' WHEN 1 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM v GROUP BY 1"""))
 def _(spark, d):
     return I.placebo_verdict(I.placebo(A.line_signals(spark, d), EM, F.lit(CUT)), ["entity_id"])
 
 
-@register("effect_forest", sql("ls", _impact_sql("ls") + ", v AS (SELECT entity_id, metric, actual, predicted, " + S.norm_p2_sql("((actual-predicted)/se)") + " AS p FROM g) SELECT entity_id, metric, " + R("p", "p")
+@register("effect_forest", sql("ls", _impact_sql("ls") + ", v AS (SELECT entity_id, metric, actual, predicted, " + tails.t_p2_sql("((actual-predicted)/se)", "dof") + " AS p FROM g) SELECT entity_id, metric, " + R("p", "p")
     + ", CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS tier, " + R("greatest(-80, least(80, (actual-predicted)/abs(predicted)*100))", "effect") + " FROM v"))
 def _(spark, d):
     """Impact effects in one table with tiers and capped relative effects."""
@@ -78,9 +80,9 @@ def _links_sql(where: str) -> str:
     p1 AS (SELECT *, {part('xy', 'xa', 'ya')} AS pxy, {part('xb', 'xa', 'ab')} AS pxb, {part('yb', 'ya', 'ab')} AS pyb FROM co), li AS (SELECT *, {part('pxy', 'pxb', 'pyb')} AS r FROM p1)"""
 
 
-@register("causal_links", sql("ld", _links_sql("") + " SELECT entity_id, source, target, CAST(lag AS INTEGER) AS lag, n, " + R("r", "r") + ", " + R("r*sqrt((n-4)/(1-r*r))", "t") + " FROM li"))
+@register("causal_links", sql("ld", _links_sql("") + " SELECT entity_id, source, target, CAST(lag AS INTEGER) AS lag, n, " + R("r", "r") + ", " + R("r*sqrt((n-4)/(1-r*r))", "t") + ", " + R(tails.t_p2_sql("(r*sqrt((n-4)/(1-r*r)))", "(n-4)"), "p") + " FROM li"))
 def _(spark, d):
-    return rounded(I.lagged_links(A.line_daily(spark, d), _LM, ["entity_id"], LAGS), ["entity_id", "source", "target", "lag", "n"], "r", "t")
+    return rounded(I.lagged_links(A.line_daily(spark, d), _LM, ["entity_id"], LAGS), ["entity_id", "source", "target", "lag", "n"], "r", "t", "p")
 
 
 def _side(where: str, name: str) -> str:
@@ -91,7 +93,7 @@ def _side(where: str, name: str) -> str:
 
 
 @register("link_changes", sql("ld", _side("", "full") + ", " + _side("WHERE day < DATE '1998-06-01'", "pre") + ", " + ", ".join(
-    f"s_{n} AS (SELECT entity_id, source, target, lag FROM li_{n} WHERE {S.norm_p2_sql('(r*sqrt((n-4)/(1-r*r)))')} < 0.05)" for n in ("full", "pre"))
+    f"s_{n} AS (SELECT entity_id, source, target, lag FROM li_{n} WHERE {tails.t_p2_sql('(r*sqrt((n-4)/(1-r*r)))', '(n-4)')} < 0.05)" for n in ("full", "pre"))
     + """ SELECT entity_id, source, target, CAST(lag AS INTEGER) AS lag, 'new' AS change FROM (SELECT * FROM s_full EXCEPT SELECT * FROM s_pre)
     UNION ALL SELECT entity_id, source, target, CAST(lag AS INTEGER), 'lost' FROM (SELECT * FROM s_pre EXCEPT SELECT * FROM s_full)"""))
 def _(spark, d):

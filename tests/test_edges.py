@@ -192,6 +192,10 @@ def test_labels(spark):
 
 def test_tails_known_values():
     assert tails.t_p2_value(2.0, 10) == pytest.approx(0.07338803, abs=1e-7)
+    import duckdb
+    assert duckdb.execute("SELECT " + tails.t_p2_sql("2.0e0", "10")).fetchone()[0] == pytest.approx(0.07338803, abs=1e-7)
+    for n, point in ((6, 2.446912), (10, 2.228139), (30, 2.042272), (2000, 1.961151)):
+        assert duckdb.execute("SELECT " + tails.t975_sql(str(n))).fetchone()[0] == pytest.approx(point, abs=2e-4)
     assert tails.gamma_sf(1.5, 3.0) == pytest.approx(0.11161023, abs=1e-7)
     assert tails.beta_inc(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-9)
     assert tails.mwu_exact_p(0, 3, 3) == pytest.approx(0.1)
