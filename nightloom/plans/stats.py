@@ -7,7 +7,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import ranks, scalar as S
+from ..functions import ranks, scalar as S, tails
 from ..operators import coupling as C, effects as E, resample as RS, trend as T, windows as W
 from ..sources import adapters as A
 from .registry import R, register
@@ -79,10 +79,11 @@ def _(spark, d):
     return rounded(E.welch(E.two_sample(A.line_signals(spark, d), EM, pre())), EM, "t", "df")
 
 
-@register("welch_p")
+@register("welch_p", sql("ls", MOM + ", w AS (SELECT entity_id, metric, (m1-m2)/sqrt(v1/n1+v2/n2) AS t, (v1/n1+v2/n2)*(v1/n1+v2/n2)/((v1/n1)*(v1/n1)/(n1-1)+(v2/n2)*(v2/n2)/(n2-1)) AS df FROM m) SELECT entity_id, metric, "
+    + ", ".join([R("t", "t"), R("df", "df"), R(tails.t_p2_sql("t", "df"), "p")]) + " FROM w"))
 def _(spark, d):
-    """As above with the exact Student p (no SQL twin: needs the incomplete beta)."""
-    return E.with_t_p(E.welch(E.two_sample(A.line_signals(spark, d), EM, pre()))).select(*EM, "t", "df", "p")
+    """As above with the Student p."""
+    return rounded(E.with_t_p(E.welch(E.two_sample(A.line_signals(spark, d), EM, pre()))), EM, "t", "df", "p")
 
 
 @register("levene_f", sql("ls", f"""c AS (SELECT entity_id, metric, {PRE} AS g, value FROM ls),
@@ -180,10 +181,11 @@ def _(spark, d):
     return C.coupling_label(t).select("entity_id", "x_name", "y_name", "direction", "strength")
 
 
-@register("coupling_exact_p")
+@register("coupling_exact_p", sql("ld", _spearman_sql(_lag_pairs_sql(["qty", "price"], ["disc", "tax"], [0, 1, 2]), "entity_id, x_name, y_name, lag")
+    + ", p AS (SELECT *, " + tails.t_p2_sql("(r*sqrt((n-2)/(1-r*r)))", "(n-2)") + " AS p FROM co) SELECT entity_id, x_name, y_name, CAST(lag AS INTEGER) AS lag, " + R("r", "r") + ", " + R("p", "p") + ", p < 0.10 AS sig FROM p"))
 def _(spark, d):
     """Lag table with the exact Student p."""
-    return C.significant(C.lag_table(A.line_daily(spark, d), ["qty", "price"], ["disc", "tax"], [0, 1, 2])).select("entity_id", "x_name", "y_name", "lag", "r", "p", "sig")
+    return rounded(C.significant(C.lag_table(A.line_daily(spark, d), ["qty", "price"], ["disc", "tax"], [0, 1, 2])), ["entity_id", "x_name", "y_name", "lag", "sig"], "r", "p")
 
 
 @register("dose_response", sql("ld", """p AS (SELECT entity_id, qty AS x, lead(disc) OVER (PARTITION BY entity_id ORDER BY day) AS y FROM ld),
