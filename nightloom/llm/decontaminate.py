@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram counts in diagonal bands and banded alignment.
 
-Every item is covered by overlapping windows.  A window of m characters with at most e edits shares m - q + 1 - q e
+Every item has a window at each of its places.  A window of m characters with at most e edits shares m - q + 1 - q e
 q-grams with what it was copied to, all on diagonals within e of each other.  The q-grams that a text shares with an
-item are therefore counted in overlapping bands of diagonals; bands below the bound cannot hold a copy, and the windows
-of the others are aligned in the band.  Texts pass in one narrow step, whole; the items are broadcast in blocks of a
-fixed size, so a larger benchmark means more passes and no larger tasks.
+item are therefore counted in overlapping bands of diagonals; bands below the bound cannot hold a copy, and in the
+others a sliding count over the item's places leaves the windows that are aligned in the band.  Texts pass in one narrow
+step, whole; the items are broadcast in blocks of a fixed size, so a larger benchmark means more passes and no larger
+tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _words as T
 from .registry import register, table
 
-Q, WINDOW, STRIDE, RATE = 8, 100, 50, 0.1
+Q, WINDOW, STRIDE, RATE = 8, 100, 1, 0.1
 #: Width of a band of diagonals, and characters of items in one broadcast block.
 BAND, BLOCK = 16, 8 << 20
 BITS = 22
@@ -64,13 +65,20 @@ class Window:
     edits: int
 
 
-def cover(item: int, code: np.ndarray, q: int, window: int, stride: int, rate: float) -> list[Window]:
-    """Windows of an item; an item shorter than a window is one, with fewer edits if the bound would else be empty."""
-    m = min(window, len(code))
-    starts = sorted({*range(0, len(code) - m + 1, stride), len(code) - m})
+def shape(length: int, q: int, window: int, rate: float) -> tuple[int, int]:
+    """Characters and edits of an item's windows; an item shorter than a window is one, with fewer edits if the bound
+    would else be empty."""
+    m = min(window, length)
     edits = int(rate * m)
     while edits and m - q + 1 - q * edits < 1:
         edits -= 1
+    return m, edits
+
+
+def cover(item: int, code: np.ndarray, q: int, window: int, stride: int, rate: float) -> list[Window]:
+    """Windows of an item."""
+    m, edits = shape(len(code), q, window, rate)
+    starts = sorted({*range(0, len(code) - m + 1, stride), len(code) - m})
     return [Window(item, s, code[s : s + m], edits) for s in starts]
 
 
@@ -78,13 +86,16 @@ class Index:
     """q-grams of a block of items, sorted by name, and a bit table that most other q-grams fail."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, stride: int, rate: float):
-        self.q = q
+        self.q, self.stride = q, stride
         self.ids = [i for i, _ in items]
         texts = [codes(normal(t)) for _, t in items]
-        self.windows = [cover(k, c, q, window, stride, rate) if len(c) >= q else [] for k, c in enumerate(texts)]
+        self.code = np.concatenate([*texts, np.zeros(0, np.uint32)])
+        self.length = np.array([len(c) for c in texts], np.int64)
+        self.first = np.cumsum(self.length) - self.length
         self.short = [(k, normal(t)) for k, (_, t) in enumerate(items) if 0 < len(texts[k]) < q]
-        self.edits = np.array([w[0].edits if w else 0 for w in self.windows])
-        self.least = np.array([len(w[0].code) - q + 1 - q * w[0].edits if w else 1 for w in self.windows])
+        shapes = [shape(len(c), q, window, rate) if len(c) >= q else (q, 0) for c in texts]
+        self.size, self.edits = np.array(shapes, np.int64).reshape(-1, 2).T
+        self.least = self.size - q + 1 - q * self.edits
         names = [grams(c, q) for c in texts]
         name = np.concatenate([*names, np.zeros(0, np.uint64)])
         order = np.argsort(name)
@@ -103,14 +114,28 @@ class Index:
         k = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.item[k], self.place[k]
 
-    def regions(self, code: np.ndarray) -> list[tuple[Window, int]]:
-        """(window, band) whose diagonals share enough q-grams; a diagonal counts in two bands where they overlap.
+    def starts(self, item: int, places: np.ndarray) -> np.ndarray:
+        """Starts of the item's windows that hold enough of its sorted places: those from which the first and the last
+        of as many successive places as are needed lie inside."""
+        least, last = int(self.least[item]), int(self.length[item] - self.size[item])
+        lo = np.maximum(places[least - 1 :] - (self.size[item] - self.q), 0)
+        hi = np.minimum(places[: len(lo)], last)
+        lo, hi = lo[lo <= hi], hi[lo <= hi]
+        lo[1:] = np.maximum(lo[1:], hi[:-1] + 1)  # each start once
+        n = np.maximum(hi - lo + 1, 0)
+        start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return start[(start % self.stride == 0) | (start == last)]
+
+    def regions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, start and band of the windows that share enough q-grams on the diagonals of a band; a diagonal counts in
+        two bands where they overlap.
 
         A first count takes whole items; what it leaves is counted by window, each place of the window once.
         """
+        none = np.zeros(0, np.int64)
         at, item, place = self.hits(code)
         if not len(at):
-            return []
+            return none, none, none
         shift = 1 << 36
         diagonal = at - place + shift
         band = diagonal // BAND
@@ -121,23 +146,20 @@ class Index:
         enough = count >= self.least[kinds >> 40]
         left = enough[group]
         pairs = np.unique(group[left] << 32 | place[left])
-        out = []
-        for k in np.flatnonzero(enough):
-            windows = self.windows[int(kinds[k] >> 40)]
-            first = np.array([w.start for w in windows])
-            end = first + len(windows[0].code) - self.q + 1
-            n = np.searchsorted(pairs, (k << 32) + end) - np.searchsorted(pairs, (k << 32) + first)
-            b = int(kinds[k] & ((1 << 40) - 1)) - shift // BAND
-            out += [(windows[j], b) for j in np.flatnonzero(n >= self.least[windows[0].item])]
-        return out
+        kept = np.flatnonzero(enough)
+        ends = np.searchsorted(pairs, np.append(kept, len(kinds)) << 32)
+        starts = [self.starts(int(kinds[k] >> 40), pairs[a:b] & 0xFFFFFFFF) for k, a, b in zip(kept, ends[:-1], ends[1:])]
+        n = [len(x) for x in starts]
+        kinds = np.repeat(kinds[kept], n)
+        return kinds >> 40, np.concatenate([*starts, none]), (kinds & ((1 << 40) - 1)) - shift // BAND
 
 
 def align(patterns: np.ndarray, texts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each pattern against any stretch of its text that begins on one of ``width`` diagonals, and the
     text place behind it.  Row i of a text's table holds the ends i .. i + width - 1, so diagonals are columns."""
     n, m = patterns.shape
-    k = np.arange(width)
-    cost = np.zeros((n, width), np.int64)
+    k = np.arange(width, dtype=np.int32)
+    cost = np.zeros((n, width), np.int32)
     for i in range(m):
         replace = cost + (texts[:, i : i + width] != patterns[:, i : i + 1])
         drop = np.full_like(cost, m + 1)
@@ -147,25 +169,23 @@ def align(patterns: np.ndarray, texts: np.ndarray, width: int) -> tuple[np.ndarr
     return cost[np.arange(n), at], at + m
 
 
-def verify(regions: list[tuple[Window, int]], code: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, edits) of the regions that hold their window within its edits."""
-    by_shape: dict[tuple[int, int], list[tuple[Window, int]]] = {}
-    for w, band in regions:
-        by_shape.setdefault((len(w.code), w.edits), []).append((w, band * BAND + w.start - w.edits))
-    out = []
-    for (m, edits), jobs in by_shape.items():
+def verify(index: Index, code: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(item, start, end, edits) of the index's regions in a text that hold their window within its edits."""
+    items, starts, bands = index.regions(code)
+    kinds = np.stack([index.size[items], index.edits[items]], axis=1)
+    for m, edits in np.unique(kinds, axis=0).tolist():
+        jobs = np.flatnonzero((kinds == (m, edits)).all(axis=1))
         width = BAND + 3 * edits + 1
         for lo in range(0, len(jobs), 512):
             part = jobs[lo : lo + 512]
-            begin = np.array([b for _, b in part])
+            begin = bands[part] * BAND + starts[part] - edits
             place = begin[:, None] + np.arange(m + width)
             inside = (place >= 0) & (place < len(code))
-            texts = np.where(inside, code[np.clip(place, 0, len(code) - 1)], GAP)
-            cost, end = align(np.array([w.code for w, _ in part]), texts, width)
+            texts = np.where(inside, code[np.clip(place, 0, len(code) - 1)], np.uint32(GAP))
+            cost, end = align(index.code[(index.first[items[part]] + starts[part])[:, None] + np.arange(m)], texts, width)
             for j in np.flatnonzero(cost <= edits):
                 stop = int(begin[j] + end[j])
-                out.append((part[j][0].item, max(stop - m, 0), stop, int(cost[j])))
-    return out
+                yield int(items[part[j]]), max(stop - m, 0), stop, int(cost[j])
 
 
 OUT = "doc_id long, item_id long, start long, end long, edits int, windows int"
@@ -190,7 +210,7 @@ def leaks(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int,
     code = np.concatenate([x for p in parts for x in (p, gap)])
     begin = np.concatenate([[0], np.cumsum([len(p) + len(gap) for p in parts])])
     found: dict[int, list[tuple[int, int, int, int]]] = {}
-    for item, start, end, edits in verify(index.regions(code), code):
+    for item, start, end, edits in verify(index, code):
         row = int(np.searchsorted(begin, end, "left")) - 1
         base = int(begin[row])
         found.setdefault(row, []).append((item, max(start - base, 0), min(end - base, len(parts[row])), edits))

@@ -244,6 +244,30 @@ def test_leaks_equal_alignment_of_every_window(docs, spark, sample):
     assert D.find_leaks(sample.limit(0), table).count() == 0 and D.find_leaks(sample, table.limit(0)).count() == 0
 
 
+def test_leaks_of_windows_at_every_start(docs, spark):
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    items = [D.normal(text(r.randint(212, 394))) for _ in range(5)]
+    texts, copied = [], set()
+    for k, item in enumerate(items):
+        for n, changes in ((100, 0), (110, 0), (149, 10), (130, 30)):
+            at = r.randrange(len(item) - n + 1)
+            copy = list(item[at : at + n])
+            for c in r.sample(range(n), changes):
+                copy[c] = r.choice(["", "z", copy[c] + "y"])
+            if changes <= 10:
+                copied.add((len(texts), k))
+            texts.append("".join([text(60), *copy, text(60)]))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.find_leaks(docs(texts), table).collect()}
+    want = {
+        (i, k) for k, item in enumerate(items) for i, t in enumerate(map(D.normal, texts)) if i // 4 == k
+        and any(edits(item[s : s + D.WINDOW], t) <= D.RATE * D.WINDOW for s in range(len(item) - D.WINDOW + 1))
+    }
+    # a copy that begins or ends with a blank may lose it to its surroundings, at the cost of an edit more
+    assert got == want and len(copied - got) <= 2
+
+
 def test_pipeline_stages_keep_their_contract(spark, sample, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
