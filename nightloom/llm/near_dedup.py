@@ -2,10 +2,11 @@
 
 Documents are sets of word shingles.  Independent trees branch them by minwise tokens: at every node a document goes to
 BRANCHES children, named by the least of its tokens under that child's order.  Nodes of one document end; small nodes
-are compared exhaustively inside their task; larger ones branch again, and what is still large after LEVELS, groups of
-mutual near-copies, is cut into blocks that share the node's first document.  With two branches a pair of similarity
-0.8 meets in a tree with probability of at least 0.9375 whatever the depth, so the number of trees follows from the
-wanted recall.
+are compared exhaustively inside their task; larger ones branch again.  What is still large after
+LEVELS is cut into blocks that share the node's first document, which connects groups of
+mutual near-copies; the documents that all this leaves outside a node's commonest component meet all its blocks, so every
+pair of a node is compared or connected otherwise.  With two branches a pair of similarity 0.8 meets in a tree with
+probability of at least 0.9375 whatever the depth, so the number of trees follows from the wanted recall.
 
 Inside a node, sketches (bytes of SKETCH minwise tokens) leave pairs that can reach the threshold at seven standard
 deviations; only what they connect leaves the task, as stars of one row for each document, so nodes never list their pairs.  The
@@ -153,6 +154,27 @@ def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return [(rid[forest.find(i)], rid[i]) for i in range(len(rows)) if forest.find(i) != i]
 
 
+def _strays(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """What the pairs of strays with rows of other parts connect, as stars of one row of each part; rows: (rid, n,
+    sketch, part, stray)."""
+    rows = _once(rows)
+    if len(rows) < 2:
+        return []
+    n = np.array([r[1] for r in rows])
+    sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH)
+    part = np.array([r[3] for r in rows])
+    least = least_agreement(percent / 100)
+    forest = Forest(len(rows))
+    at: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        forest.join(at.setdefault(r[3], i), i)
+    for i in [i for i, r in enumerate(rows) if r[4]]:
+        may = np.flatnonzero((part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        for j in may[(sketch[may] == sketch[i]).sum(1) >= least].tolist():
+            forest.join(i, j)
+    return [(rows[forest.find(i)][0], rows[i][0]) for i in at.values() if forest.find(i) != i]
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, by products of the incidence matrix, some columns at a time."""
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -229,7 +251,7 @@ def _within(rows: DataFrame, pairs_of, percent: int) -> DataFrame:
 def tree_nodes(groups: DataFrame, trees: int) -> DataFrame:
     """Nodes with two documents or more where branching ends: path, rid, m (documents), block and blocks.
 
-    A small node is one block.  A node still large after LEVELS has blocks by hash, each with the node's first document.
+    A small node is one block.  A node still large after LEVELS has blocks by hash.
     """
     done = []
     rows = groups.select("rid", "tokens").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("path", F.lit(0).cast("long"))
@@ -266,6 +288,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def among_strays(large: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that connect what labels leave apart in nodes of several blocks; large: path, rid.
+
+    A group is one block of a node and one chunk of its documents outside the commonest component.
+    """
+    member = cut(large.select("path", "rid").distinct().join(labels, "rid", "left").select("path", "rid", F.coalesce("label", "rid").alias("part")))
+    parts = member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"))
+    common = parts.groupBy("path").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("m"))
+    rest = common.filter("m > top.size").select(
+        "path", F.col("top.part").alias("common"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("m") - F.col("top.size")) / BLOCK).cast("int").alias("chunks"),
+    )
+    member = (
+        member.join(rest, "path").withColumn("stray", F.col("part") != F.col("common"))
+        .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("chunks")).cast("int"))
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at_blocks = member.filter("stray").select("path", "rid", "part", "stray", "chunks", "chunk", every("blocks").alias("block"))
+    at_chunks = member.select("path", "rid", "part", "stray", "chunks", every("chunks").alias("chunk"), "block")
+    group = (F.col("block").cast("long") * F.col("chunks") + F.col("chunk")).alias("block")
+    groups = at_blocks.unionByName(at_chunks).select("path", group, "rid", "part", "stray").distinct()
+    return _within(groups.join(sketch, "rid").select("path", "block", "rid", "n", "sketch", "part", "stray"), _strays, percent)
+
+
 def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     """rid, label of the components that the links in clusters make; sets: rid, path (the cluster), set."""
     sizes = sets.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
@@ -323,6 +370,10 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     sketch = groups.select("rid", "n", _sketch("tokens").alias("sketch"))
     near = cut(_within(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch"), _node, percent))
     clusters = components(near)
+    large = nodes.filter("blocks > 1")
+    if has_rows(large):
+        more = cut(among_strays(large, clusters, sketch, percent))
+        clusters = components(near.unionByName(more)) if has_rows(more) else clusters
     sets = cut(
         rows.select("rid", "text").join(clusters.withColumnRenamed("label", "path"), "rid")
         .mapInArrow(partial(_sets, width=width), "rid long, path long, set array<long>")

@@ -69,6 +69,19 @@ def test_near_dedup_equals_brute_force(docs, monkeypatch):
     assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
 
 
+def test_pairs_of_large_nodes_meet(docs, monkeypatch):
+    # one tree, which misses a pair of this similarity by its branching once in thousands; all documents share a passage
+    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "trees_for", lambda share: 1)
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(75)]
+    rows = []
+    for i in range(150):
+        own = [f"w{r.randrange(10**6)}" for _ in range(37)]
+        rows += [(2 * i + j, " ".join([*passage, *own, f"last{j}"])) for j in range(2)]
+    assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
+
+
 def test_near_dedup_empty_and_repeated(docs, sample):
     assert N.near_dedup(sample.limit(0)).count() == 0
     got = N.near_dedup(docs([(3, "a b c"), (3, "a b c"), (5, "a b c"), (5, "q r s"), (7, None)]))
