@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: written once, in columns, and read back."""
+    spark = df.sparkSession
+    folder = scratch(spark, name)
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 

@@ -1,5 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 from . import (  # noqa: F401
+    centroids,
     decontaminate,
     exact_dedup,
     near_dedup,
