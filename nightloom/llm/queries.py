@@ -10,6 +10,7 @@ from . import (  # noqa: F401
     substring_dedup,
     suffix_dedup,
     token_counts,
+    topk,
     url_filter,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
