@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     exact_dedup,
     near_dedup,
     packing,
+    prefix_trie,
     quality,
     sharding,
     substring_dedup,
