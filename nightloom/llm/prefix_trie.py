@@ -217,7 +217,7 @@ def ranked(tour: DataFrame, walk: int = WALK) -> DataFrame:
     columns = ["arc", "before", "after", "leaves", "saved"]
     tour = stored(tour.select(*columns), "trie-arcs")
     taken: list[DataFrame] = []
-    while tour.count() > walk:
+    while tour.count() > max(walk, 2):  # the two ends never go
         coin = lambda c, n=len(taken): F.xxhash64(F.col(c), F.lit(n))
         goes = F.col("before").isNotNull() & F.col("after").isNotNull() & (coin("arc") < coin("before")) & (coin("arc") < coin("after"))
         marked = tour.withColumn("goes", goes)
