@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, stored
 
 ANCHOR = "key long, piece long, rid long, start int, n int"
 
@@ -49,8 +49,12 @@ def repeated_pieces(
     shared = cut(names.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
     rows = docs.mapInArrow(partial(anchors, names_only=False), ANCHOR)
     found = cut(rows.join(shared, "key", "left_semi"))
-    pieces = found.groupBy("key", "piece").agg(
-        F.count(F.lit(1)).alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("n").alias("n")
+    # written as well: the last join then has plain shuffles on both sides, and the rows of a hot piece can be split
+    pieces = stored(
+        found.groupBy("key", "piece").agg(
+            F.count(F.lit(1)).alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("n").alias("n")
+        ),
+        "pieces",
     )
     mixed = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("p")).filter("p > 1").select("key")
     reps = (

@@ -1,11 +1,15 @@
 """Texts of an Arrow batch as NumPy arrays: bytes, words, rolling hashes.
 
-All hashes are functions of the content alone, so every task gives equal strings equal names.  Texts are handled in
-slices of about a megabyte, whatever the batch, so that temporaries stay small; one longer text is a slice of its own.
+All hashes are functions of the content alone, so every task gives equal strings equal names.  Words are named by a chain
+of scrambled 8-byte lanes, long words by BLAKE2; ranges of a sequence by polynomials modulo the prime 2**61 - 1.  Neither
+has the collisions of polynomials modulo 2**64, which serve only where a name is no more than a first key.  Texts are
+handled in slices of about a megabyte, whatever the batch, so that temporaries stay small; one longer text is a slice of
+its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +23,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Longer words are named by BLAKE2.
+LONG_WORD = 256
+#: What of a word's 8-byte lane counts, by the bytes that are left.
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _power_cache: dict[int, np.ndarray] = {}
 
 
@@ -100,7 +110,82 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    return Rolling(table_of(seed)[data], BASES[0]).range(starts, ends)
+    """64-bit names of byte ranges."""
+    size = ends - starts
+    name = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    bytes_ = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", bytes_.data, strides=(1,))
+    left = np.flatnonzero(size <= LONG_WORD)
+    at = starts[left]
+    while len(left):
+        rest = ends[left] - at
+        name[left] = mix(mix(name[left]) * np.uint64(0xD6E8FEB86659FD93) ^ (lanes[at] & LANE[np.minimum(rest, 8)]))
+        more = rest > 8
+        left, at = left[more], at[more] + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=str(seed).encode()).digest()
+        name[i] = np.frombuffer(digest, np.uint64)[0]
+    return name
+
+
+def sequences(names: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit names of short runs of names: run i has the ``size[i]`` names from ``first[i]`` on."""
+    name = mix(size.astype(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7))
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        if has.all():
+            name = mix(name * np.uint64(0xD6E8FEB86659FD93) ^ names[first + k])
+        else:
+            name[has] = mix(name[has] * np.uint64(0xD6E8FEB86659FD93) ^ names[first[has] + k])
+    return name
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, for values below 2**63."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME."""
+    x0, x1, y0, y1 = x & _LOW31, x >> np.uint64(31), y & _LOW31, y >> np.uint64(31)
+    middle, low = x0 * y1 + x1 * y0, x0 * y0
+    return _fold((x1 * y1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + (low & PRIME) + (low >> np.uint64(61)))
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME; doubled, kept and reused."""
+    have = _power_cache.get(-base)
+    if have is None or len(have) < n:
+        size = max(n, 1 << 16)
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), int(PRIME))))])
+        if size <= 4 * SLICE:
+            _power_cache[-base] = have
+    return have[:n]
+
+
+class Ranges:
+    """Names below 2**61 of the ranges of a sequence of 64-bit values or of bytes, by prefix sums modulo a prime."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        n, self.base = len(values), base % int(PRIME)
+        weight = prime_powers(self.base, n)
+        if values.dtype == np.uint8 and n <= 1 << 24:  # products of bytes with half a power add up without overflow
+            terms = (values * (weight & _LOW31), values * (weight >> np.uint64(31)))
+        else:
+            full = times(values.astype(np.uint64) if values.dtype == np.uint8 else _fold(mix(values) >> np.uint64(1)), weight)
+            terms = (full & _LOW31, full >> np.uint64(31))
+        self.halves = [np.zeros(n + 1, np.uint64) for _ in terms]
+        for half, term in zip(self.halves, terms):
+            np.cumsum(term, out=half[1:])
+
+    def range(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = (_fold(half[end] - half[start]) for half in self.halves)
+        inner = _fold(times(high, np.uint64(1 << 31)) + low)
+        back = prime_powers(pow(self.base, -1, int(PRIME)), len(self.halves[0]))
+        return _fold(times(inner, back[start]) + _fold(mix((end - start).astype(np.uint64)) >> np.uint64(1)))
 
 
 def longs(x: np.ndarray) -> pa.Array:

@@ -2,12 +2,15 @@
 
 Documents are sets of word shingles.  Independent trees branch them by minwise tokens: at every node a document goes to
 BRANCHES children, named by the least of its tokens under that child's order.  Nodes of one document end; small nodes
-are compared exhaustively inside their task; larger ones branch again.  What is still large after
-LEVELS is cut into blocks that share the node's first document, which connects groups of
-mutual near-copies; the documents that all this leaves outside a node's commonest component meet all its blocks, so every
-pair of a node is compared or connected otherwise.  With two branches a pair of similarity 0.8 meets in a tree with
+are compared exhaustively inside their task; larger ones branch again.  With two branches a pair of similarity 0.8 meets in a tree with
 probability of at least 0.9375 whatever the depth, so the number of trees follows from the wanted recall.
 
+After LEVELS a node that is still large is also cut into blocks that share its first document, which connects groups of
+mutual near-copies.  From there on only what is not connected yet matters: a node whose documents are all connected
+ends; one with few documents outside its commonest component compares those with all its blocks; one with many
+branches again, down to DEEPEST levels, where whatever is left is compared.  So every pair of a node where branching
+ends is compared or connected otherwise, and a node that several trees hold is compared once.
+
 Inside a node, sketches (bytes of SKETCH minwise tokens) leave pairs that can reach the threshold at seven standard
 deviations; only what they connect leaves the task, as stars of one row for each document, so nodes never list their pairs.  The
 stars of all nodes make clusters, and every link lies within one.  Clusters are confirmed on full sets, in blocks of bounded size: first
@@ -30,13 +33,15 @@ from . import _words as T
 from ._shared import cut, has_rows, keyed_rows
 from .registry import register, table
 
-LEVELS, BRANCHES, SKETCH = 3, 2, 128
+LEVELS, DEEPEST, BRANCHES, SKETCH = 3, 8, 2, 128
 #: Chance that a pair at the threshold is missed by all trees.
 MISS = 1e-9
 #: Documents in a node that is compared as it is.
 SMALL = 64
 #: Documents of a cluster in one block, and about how many of them all blocks share.
 BLOCK, SHARED = 512, 16
+#: So many documents outside the commonest component are compared with the whole node; with more, it branches.
+FEW = 256
 #: Columns of the incidence matrix that is multiplied at once.
 COLUMNS = 4096
 
@@ -44,7 +49,7 @@ COLUMNS = 4096
 def trees_for(share: float, miss: float = MISS) -> int:
     """Trees so that a pair of similarity ``share`` is missed by all of them with chance ``miss`` at most."""
     meet = 1.0
-    for _ in range(LEVELS):
+    for _ in range(DEEPEST):
         meet = 1 - (1 - share * meet) ** BRANCHES
     return max(1, math.ceil(math.log(miss) / math.log(1 - meet)))
 
@@ -59,8 +64,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     row = np.repeat(np.arange(len(count)), count)
     first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + rows[:-1][row]
     size = np.minimum(width, n_words)[row]
-    sums = T.Rolling(names, T.BASES[1])
-    shingle = sums.range(first, first + size)
+    shingle = T.sequences(names, first, size)
     order = np.lexsort((shingle, row))
     row, shingle = row[order], shingle[order]
     new = np.ones(len(row), bool)
@@ -70,7 +74,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 
 def orders(trees: int) -> list[int]:
     """Multipliers of the orders: one for each branch of each level of each tree, and as many as a sketch needs."""
-    count = max(SKETCH, trees * LEVELS * BRANCHES)
+    count = max(SKETCH, trees * DEEPEST * BRANCHES)
     return (T.mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)).tolist()
 
 
@@ -248,25 +252,31 @@ def _within(rows: DataFrame, pairs_of, percent: int) -> DataFrame:
     return dealt.mapInArrow(partial(_by_group, pairs_of=pairs_of, percent=percent), "u long, v long").distinct()
 
 
+def branched(rows: DataFrame, groups: DataFrame, level: int) -> DataFrame:
+    """Children with two documents or more of the nodes of rows (path, tree, rid): path, tree, rid, m (documents)."""
+    token = [F.get("tokens", F.col("tree") * (DEEPEST * BRANCHES) + level * BRANCHES + j) for j in range(BRANCHES)]
+    child = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), t.alias("t")) for j, t in enumerate(token))))
+    rows = rows.select("rid", "tree", "path").join(groups.select("rid", "tokens"), "rid") if "tokens" not in rows.columns else rows
+    rows = rows.withColumn("c", child).select("rid", "tree", F.xxhash64("path", "tree", "c.j", "c.t").alias("path"))
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return rows.join(sizes, "path")
+
+
 def tree_nodes(groups: DataFrame, trees: int) -> DataFrame:
-    """Nodes with two documents or more where branching ends: path, rid, m (documents), block and blocks.
+    """Nodes with two documents or more after LEVELS, or small before: path, tree, rid, m, blocks, block.
 
-    A small node is one block.  A node still large after LEVELS has blocks by hash.
+    A small node is one block.  A larger one has blocks by hash.
     """
     done = []
     rows = groups.select("rid", "tokens").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("path", F.lit(0).cast("long"))
     for level in range(LEVELS):
-        token = [F.get("tokens", F.col("tree") * (LEVELS * BRANCHES) + level * BRANCHES + j) for j in range(BRANCHES)]
-        child = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), t.alias("t")) for j, t in enumerate(token))))
-        rows = rows.withColumn("c", child).select("rid", "tree", F.xxhash64("path", "tree", "c.j", "c.t").alias("path"))
-        sizes = cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("first")).filter("m > 1"))
-        rows = cut(rows.join(sizes, "path"))
+        rows = cut(branched(rows, groups, level))
         last = level == LEVELS - 1
         done.append(rows if last else rows.filter(F.col("m") <= SMALL))
         large = rows.filter(F.col("m") > SMALL)
         if last or not has_rows(large):
             break
-        rows = large.select("rid", "tree", "path").join(groups.select("rid", "tokens"), "rid")
+        rows = large
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
@@ -288,20 +298,28 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def among_strays(large: DataFrame, labels: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that connect what labels leave apart in nodes of several blocks; large: path, rid.
+def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (path, tree, rid, part, common, m, strays) of the nodes that labels leave apart.
+
+    Of equal nodes that are compared next one stays; those that branch on all do, as each tree is a chance of its own.
+    """
+    member = large.select("path", "tree", "rid").join(labels, "rid", "left").select("path", "tree", "rid", F.coalesce("label", "rid").alias("part"))
+    mark = F.xxhash64("rid")
+    parts = member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("y"))
+    nodes = parts.groupBy("path").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("m"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"))
+    on = F.when(F.col("m") - F.col("top.size") > FEW, F.col("path")).alias("on")
+    nodes = nodes.filter("m > top.size").groupBy("m", "x", "y", on).agg(F.min("path").alias("path"), F.min_by("top", "path").alias("top"))
+    return member.join(nodes.select("path", F.col("top.part").alias("common"), "m", (F.col("m") - F.col("top.size")).alias("strays")), "path")
+
+
+def among_strays(member: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that connect parts of the nodes of member (path, rid, part, common, m, strays).
 
     A group is one block of a node and one chunk of its documents outside the commonest component.
     """
-    member = cut(large.select("path", "rid").distinct().join(labels, "rid", "left").select("path", "rid", F.coalesce("label", "rid").alias("part")))
-    parts = member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"))
-    common = parts.groupBy("path").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("m"))
-    rest = common.filter("m > top.size").select(
-        "path", F.col("top.part").alias("common"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"),
-        F.ceil((F.col("m") - F.col("top.size")) / BLOCK).cast("int").alias("chunks"),
-    )
     member = (
-        member.join(rest, "path").withColumn("stray", F.col("part") != F.col("common"))
+        member.withColumn("stray", F.col("part") != F.col("common"))
+        .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("chunks", F.ceil(F.col("strays") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("chunks")).cast("int"))
     )
@@ -313,6 +331,27 @@ def among_strays(large: DataFrame, labels: DataFrame, sketch: DataFrame, percent
     return _within(groups.join(sketch, "rid").select("path", "block", "rid", "n", "sketch", "part", "stray"), _strays, percent)
 
 
+def apart(large: DataFrame, near: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Clusters (rid, label): those of near and of what large nodes (path, tree, rid) hold beyond them."""
+    clusters = components(near)
+    for level in range(LEVELS, DEEPEST + 1):
+        if not has_rows(large):
+            break
+        member = cut(open_nodes(large, clusters))
+        few = member.filter((F.col("strays") <= FEW) | F.lit(level == DEEPEST))
+        found = [among_strays(few, sketch, percent)]
+        if level < DEEPEST:
+            children = cut(branched(member.filter(F.col("strays") > FEW), groups, level))
+            small = children.filter(F.col("m") <= SMALL).select("path", F.lit(0).alias("block"), "rid").join(sketch, "rid")
+            found.append(_within(small.select("path", "block", "rid", "n", "sketch"), _node, percent))
+            large = children.filter(F.col("m") > SMALL)
+        more = cut(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
+        if has_rows(more):
+            near = near.unionByName(more)
+            clusters = components(near)
+    return clusters
+
+
 def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     """rid, label of the components that the links in clusters make; sets: rid, path (the cluster), set."""
     sizes = sets.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
@@ -369,11 +408,7 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     placed = nodes.select("path", "block", "rid").unionByName(spread.select("path", "block", "rid"))
     sketch = groups.select("rid", "n", _sketch("tokens").alias("sketch"))
     near = cut(_within(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch"), _node, percent))
-    clusters = components(near)
-    large = nodes.filter("blocks > 1")
-    if has_rows(large):
-        more = cut(among_strays(large, clusters, sketch, percent))
-        clusters = components(near.unionByName(more)) if has_rows(more) else clusters
+    clusters = apart(nodes.filter("blocks > 1").select("path", "tree", "rid"), near, groups, sketch, percent)
     sets = cut(
         rows.select("rid", "text").join(clusters.withColumnRenamed("label", "path"), "rid")
         .mapInArrow(partial(_sets, width=width), "rid long, path long, set array<long>")

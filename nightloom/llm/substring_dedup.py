@@ -6,7 +6,7 @@ about three quarters.  Names are 64-bit functions of what they stand for: all ta
 and equal substrings get equal symbols except near their ends.  How near is known exactly, because every symbol carries
 the range of words that its existence depends on.  A window of ``span`` words is looked up by the highest symbol whose
 range lies inside the window; symbols that occur twice reveal repeats, and the names of whole pieces or, where pieces
-under one symbol differ, of whole windows (128 bits) verify them.
+under one symbol differ, of whole windows verify them: two names modulo 2**61 - 1, over other word names and with other bases.
 """
 
 from __future__ import annotations
@@ -121,8 +121,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], names_only: bool, span: int) ->
             if found is None:
                 continue
             row, start, n, a, b = found
-            sums = T.Rolling(names, T.BASES[1])
-            key, piece = sums.range(a, b), sums.range(start, start + n - 1 + span)
+            key = T.Ranges(names, T.BASES[1]).range(a, b)
+            piece = key if names_only else T.Ranges(T.word_hashes(data, starts, ends, 3), T.BASES[0]).range(start, start + n - 1 + span)
             yield anchor_batch(names_only, key, piece, rid[lo:hi][row], start - rows[row], n)
 
 
@@ -131,8 +131,8 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
     for batch in batches:
         for lo, hi, data, offsets in T.slices(batch, "text"):
             starts, ends, rows = T.words(data, offsets)
-            one = T.Rolling(T.word_hashes(data, starts, ends, 1), T.BASES[1])
-            two = T.Rolling(T.word_hashes(data, starts, ends, 2), T.BASES[0])
+            one = T.Ranges(T.word_hashes(data, starts, ends, 1), T.BASES[1])
+            two = T.Ranges(T.word_hashes(data, starts, ends, 2), T.BASES[0])
             reps = batch.column("reps").slice(lo, hi - lo)
             flat = reps.flatten()
             if not len(flat):

@@ -67,8 +67,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], names_only: bool, span: int, gra
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(start)))
             row, start, place = row[first], start[first], place[first]
-            whole = T.Rolling(T.table_of(5)[data], T.BASES[1])
-            yield anchor_batch(names_only, value[place], whole.range(start, start + n - 1 + span), rid[lo:hi][row], start - offsets[row], n)
+            key = value[place]
+            piece = key if names_only else T.Ranges(data, T.BASES[1]).range(start, start + n - 1 + span)
+            yield anchor_batch(names_only, key, piece, rid[lo:hi][row], start - offsets[row], n)
 
 
 def _place(sa, chars, at, ptr, step):
@@ -250,7 +251,7 @@ def _emit(rows: list, span: int) -> pa.RecordBatch:
     s = begin[piece[lead]] + off[lead]
     names = [np.zeros(0, np.int64)] * 2
     if len(s):
-        names = [T.Rolling(T.table_of(11 + k)[data], T.BASES[k]).range(s, s + span).view(np.int64) for k in (0, 1)]
+        names = [T.Ranges(data, T.BASES[k]).range(s, s + span).view(np.int64) for k in (0, 1)]
     ends = np.concatenate([[0], np.cumsum(np.concatenate([per_piece, np.ones(len(s), np.int64)]))]).astype(np.int32)
     hits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([off[found], off[lead]]).astype(np.int32)))
     at = np.concatenate([with_hits, piece[lead]])

@@ -82,6 +82,32 @@ def test_pairs_of_large_nodes_meet(docs, monkeypatch):
     assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
 
 
+def test_large_nodes_branch_on(docs, monkeypatch):
+    """Many unlinked documents share a passage: nodes branch to the deepest level, and the few links are found."""
+    monkeypatch.setattr(N, "SMALL", 8)
+    monkeypatch.setattr(N, "FEW", 4)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"w{r.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * i + j, " ".join([*passage, *own[: 40 - 4 * j], *(f"x{j}{i}{k}" for k in range(4 * j))])) for j in range(1 + (i % 3 == 0))]
+    assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
+
+
+def thue_morse(n, one, two):
+    return [two if bin(i).count("1") % 2 else one for i in range(n)]
+
+
+def test_names_of_periodic_words_differ(docs):
+    """Thue-Morse strings and their complements share every polynomial name modulo 2**64."""
+    for n in (1024, 4096):
+        one, two = "".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))
+        rows = [(0, one), (1, two), (2, "x " + one), (3, "x " + two), (4, "x " + one + " ")]
+        assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
+
+
 def test_near_dedup_empty_and_repeated(docs, sample):
     assert N.near_dedup(sample.limit(0)).count() == 0
     got = N.near_dedup(docs([(3, "a b c"), (3, "a b c"), (5, "a b c"), (5, "q r s"), (7, None)]))
@@ -89,7 +115,7 @@ def test_near_dedup_empty_and_repeated(docs, sample):
 
 
 def test_trees_reach_the_wanted_recall():
-    assert N.trees_for(0.8) * N.LEVELS * N.BRANCHES <= N.SKETCH and 0.0625 ** N.trees_for(0.8) < 1e-9
+    assert N.trees_for(0.8) * N.DEEPEST * N.BRANCHES <= N.SKETCH and 0.0625 ** N.trees_for(0.8) < 1e-9
 
 
 def test_exact_dedup(docs, sample):

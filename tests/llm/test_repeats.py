@@ -97,6 +97,17 @@ def test_repeated_rows_and_missing_ids(docs):
     assert have == sorted((i if i is not None else -1, *x) for (i, _), (_, *x) in zip(rows, brute_words(rows, 3)))
 
 
+def test_periodic_texts_do_not_collide(docs):
+    """Thue-Morse strings and their complements share every polynomial name modulo 2**64."""
+    flip = [bin(i).count("1") % 2 for i in range(4096)]
+    long = ["".join("ab"[f ^ c] for f in flip[:n]) for n in (1024, 4096) for c in (0, 1)]
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = list(enumerate([f"{same} {x}" for x in long] + [" ".join(("p", "q")[f ^ c] for f in flip[:1024]) for c in (0, 1)]))
+    assert words(docs(rows), 35) == sorted(brute_words(rows, 35))
+    rows = list(enumerate(["".join("ab"[f ^ c] for f in flip[:n]) + tail for n, tail in ((1024, "x"), (4096, "y")) for c in (0, 1)]))
+    assert bytes_(docs(rows), 1024, 100) == sorted(brute_bytes(rows, 1024))
+
+
 def test_empty_table(docs, sample):
     assert words(sample.limit(0), 35) == [] and bytes_(sample.limit(0), 200, 100) == []
 
