@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as T
-from ._shared import cut, has_rows, keyed_rows
+from ._shared import has_rows, keyed_rows, stored
 from .registry import register, table
 
+cut = partial(stored, name="near-dedup")
+
 LEVELS, DEEPEST, BRANCHES, SKETCH = 3, 8, 2, 128
 #: Chance that a pair at the threshold is missed by all trees.
 MISS = 1e-9
@@ -334,22 +336,22 @@ def among_strays(member: DataFrame, sketch: DataFrame, percent: int) -> DataFram
 def apart(large: DataFrame, near: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """Clusters (rid, label): those of near and of what large nodes (path, tree, rid) hold beyond them."""
     clusters = components(near)
+    found = []
     for level in range(LEVELS, DEEPEST + 1):
-        if not has_rows(large):
-            break
         member = cut(open_nodes(large, clusters))
-        few = member.filter((F.col("strays") <= FEW) | F.lit(level == DEEPEST))
-        found = [among_strays(few, sketch, percent)]
-        if level < DEEPEST:
-            children = cut(branched(member.filter(F.col("strays") > FEW), groups, level))
-            small = children.filter(F.col("m") <= SMALL).select("path", F.lit(0).alias("block"), "rid").join(sketch, "rid")
-            found.append(_within(small.select("path", "block", "rid", "n", "sketch"), _node, percent))
-            large = children.filter(F.col("m") > SMALL)
-        more = cut(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
-        if has_rows(more):
-            near = near.unionByName(more)
-            clusters = components(near)
-    return clusters
+        if not has_rows(member):
+            break
+        many = member.filter((F.col("strays") > FEW) & F.lit(level < DEEPEST))
+        found.append(cut(among_strays(member.filter((F.col("strays") <= FEW) | F.lit(level == DEEPEST)), sketch, percent)))
+        if not has_rows(many):
+            break
+        children = cut(branched(many, groups, level))
+        small = children.filter(F.col("m") <= SMALL).select("path", F.lit(0).alias("block"), "rid").join(sketch, "rid")
+        found.append(cut(_within(small.select("path", "block", "rid", "n", "sketch"), _node, percent)))
+        large = children.filter(F.col("m") > SMALL)
+    for more in found:
+        near = near.unionByName(more)
+    return components(near) if found else clusters
 
 
 def confirmed(sets: DataFrame, percent: int) -> DataFrame:
