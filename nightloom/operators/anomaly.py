@@ -119,72 +119,6 @@ def matrix_profile(df: DataFrame, value: str, by: Sequence[str], m: int, order:
     return got.withColumn("score", score).join(days, [*by, "pos"])
 
 
-# --- isolation ---------------------------------------------------------------
-
-def _expected_path(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
-
-
-def _path_lengths(x: np.ndarray, picked: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
-    """Path length of every row through one random tree grown on the picked rows."""
-    depth = np.zeros(len(x))
-    stack = [(picked, np.arange(len(x)), 0)]
-    while stack:
-        grow, here, level = stack.pop()
-        if len(here) == 0:
-            continue
-        spread = x[grow].max(axis=0) - x[grow].min(axis=0) if len(grow) else np.zeros(x.shape[1])
-        usable = np.flatnonzero(spread > 0)
-        if level >= limit or len(grow) <= 1 or len(usable) == 0:
-            depth[here] = level + _expected_path(len(grow))
-            continue
-        f = usable[rng.integers(len(usable))]
-        low = x[grow, f].min()
-        cut = low + rng.random() * spread[f]
-        stack.append((grow[x[grow, f] < cut], here[x[here, f] < cut], level + 1))
-        stack.append((grow[x[grow, f] >= cut], here[x[here, f] >= cut], level + 1))
-    return depth
-
-
-def isolation_forest(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("entity_id",), day: str = "day", trees: int = 200, contamination: float = 0.1, seed: int = 42, sample: int = 256, tree_batches: int = 8) -> DataFrame:
-    """Isolation score per day of each entity; the most isolated ``contamination`` share is flagged.
-
-    Batches of trees of one entity run in parallel tasks on its calendar-bounded
-    frame; their path lengths are averaged in Spark.
-    """
-    by, columns = list(by), list(columns)
-    kinds = dict(wide.dtypes)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        batch = int(pdf["_batch"].iloc[0])
-        pdf = pdf.sort_values(day, kind="stable")
-        x = np.nan_to_num(pdf[columns].to_numpy(dtype=float), nan=0.0)
-        sd = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
-        n = min(sample, len(x))
-        limit = math.ceil(math.log2(max(n, 2)))
-        total = np.zeros(len(x))
-        mine = range(batch, trees, tree_batches)
-        for t in mine:
-            rng = np.random.default_rng([seed, t])
-            total += _path_lengths(x, rng.permutation(len(x))[:n], rng, limit)
-        return pd.DataFrame({**{k: pdf[k] for k in by}, day: pdf[day], "path": total, "trees": len(mine), "n": n})
-
-    fan = wide.select(*by, day, *columns, F.explode(F.sequence(F.lit(0), F.lit(tree_batches - 1))).alias("_batch"))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*by, day]) + ", path double, trees int, n int"
-    paths = fan.groupBy(*by, "_batch").applyInPandas(grow, schema).groupBy(*by, day).agg((F.sum("path") / F.sum("trees")).alias("path"), F.max("n").alias("n"))
-    norm = F.when(F.col("n") > 2, 2 * (F.log(F.col("n") - 1) + 0.5772156649015329) - 2 * (F.col("n") - 1) / F.col("n")).otherwise(1.0)
-    w = Window.partitionBy(*by)
-    s = paths.withColumn("raw_score", F.pow(F.lit(2.0), -F.col("path") / norm))
-    lo, hi = F.min("raw_score").over(w), F.max("raw_score").over(w)
-    cut = F.percentile("raw_score", F.lit(1 - contamination)).over(w)
-    return s.select(*by, day, "raw_score", F.when(hi > lo, (F.col("raw_score") - lo) / (hi - lo)).otherwise(0.0).alias("forest_score"), (F.col("raw_score") > cut).alias("forest_anomaly"))
-
-
 # --- reconstruction ----------------------------------------------------------
 
 def window_reconstruction(wide: DataFrame, columns: Sequence[str], train: Column, by: Sequence[str] = ("entity_id",), day: str = "day", width: int = 7, k: int = 4, sigmas: float = 2.0) -> DataFrame:
@@ -233,67 +167,6 @@ def night_features(samples: DataFrame, by: Sequence[str], value: str = "value",
     return g.select(*by, "sum", "median", mean.alias("mean"), "length", F.sqrt(var).alias("sd"), var.alias("variance"), F.sqrt(F.col("_q") / F.col("length")).alias("rms"), "maximum", "minimum")
 
 
-def _dbscan_labels(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """Labels of one bounded frame; -1 is noise.  Distances are taken row by row."""
-    near = lambda i: np.flatnonzero(((x - x[i]) ** 2).sum(axis=1) <= eps * eps)
-    core = np.array([len(near(i)) >= min_samples for i in range(len(x))], dtype=bool)
-    label = np.full(len(x), -1)
-    current = 0
-    for i in np.flatnonzero(core):
-        if label[i] >= 0:
-            continue
-        label[i] = current
-        queue = [i]
-        while queue:
-            for j in near(queue.pop()):
-                if label[j] < 0:
-                    label[j] = current
-                    if core[j]:
-                        queue.append(j)
-        current += 1
-    return label
-
-
-def _silhouette(x: np.ndarray, label: np.ndarray) -> float | None:
-    ids = [c for c in np.unique(label) if c >= 0]
-    if len(ids) < 2:
-        return None
-    keep = np.flatnonzero(label >= 0)
-    out = []
-    for i in keep:
-        d = np.sqrt(((x[keep] - x[i]) ** 2).sum(axis=1))
-        same = label[keep] == label[i]
-        if same.sum() < 2:
-            out.append(0.0)
-            continue
-        a = d[same].sum() / (same.sum() - 1)
-        b = min(d[label[keep] == c].mean() for c in ids if c != label[i])
-        out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-    return float(np.mean(out))
-
-
-def dbscan(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("entity_id",), day: str = "day", eps: float = 1.5, min_samples: int = 3, scale: bool = False) -> DataFrame:
-    """Density clusters among one entity's days: label (-1 noise), distance to the own or nearest centroid, silhouette."""
-    by, columns = list(by), list(columns)
-    kinds = dict(wide.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day, kind="stable")
-        x = np.nan_to_num(pdf[columns].to_numpy(dtype=float), nan=0.0)
-        if scale:
-            sd = x.std(axis=0)
-            x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
-        label = _dbscan_labels(x, eps, min_samples)
-        ids = np.unique(label[label >= 0])
-        centres = np.stack([x[label == c].mean(axis=0) for c in ids]) if len(ids) else x.mean(axis=0, keepdims=True)
-        far = np.sqrt(((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2))
-        dist = np.where(label >= 0, far[np.arange(len(x)), np.clip(label, 0, len(centres) - 1)], far.min(axis=1))
-        return pd.DataFrame({**{c: pdf[c] for c in by}, day: pdf[day], "cluster": label.astype("int32"), "distance": dist, "silhouette": _silhouette(x, label)})
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, day]) + ", cluster int, distance double, silhouette double"
-    return wide.select(*by, day, *columns).groupBy(*by).applyInPandas(run, schema)
-
-
 def cluster_profiles(labelled: DataFrame, wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("entity_id",), day: str = "day") -> DataFrame:
     """Centroid and size per cluster, named after its largest |mean z|."""
     j = labelled.where(F.col("cluster") >= 0).join(wide, [*by, day])

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 from ..functions import scalar as S
-from ..operators import anomaly as AN, changepoint as CP, joins as J, spc, windows as W
+from ..operators import anomaly as AN, changepoint as CP, density as DN, forest as FR, joins as J, spc, windows as W
 from ..sources import adapters as A
 from .registry import R, register
 from .series import SPC_BASE
@@ -47,26 +47,36 @@ def _(spark, d):
     return AN.percentile_vote(A.line_daily(spark, d), LM, ["entity_id"]).select("entity_id", "day", "n_outside", "pct_anomaly")
 
 
-@register("isolation_forest")
-def _(spark, d):
-    return AN.isolation_forest(line_z(spark, d), [AN.zcol(m) for m in LM])
+FOREST = FR.forest_sql("ld", LM)
 
 
-@register("vote_ensemble", sql("ld", ZW + ", " + PV + f", v AS (SELECT entity_id, day, ({N_EXT} >= 3 OR {MEAN_Z} > 2) AS za, {MEAN_Z} AS mz, n_outside, n_outside >= 3 AS pa, (abs(z_qty) > 2) AS fa, least(abs(z_qty)/4, 1) AS fs FROM zw JOIN pv USING (entity_id, day)) "
-    "SELECT entity_id, day, CAST(za::INT + pa::INT + fa::INT AS INTEGER) AS votes, " + R("0.35e0*mz + 0.40e0*fs + 0.25e0*n_outside/4", "score") + ", za::INT + pa::INT + fa::INT >= 2 AS anomaly FROM v"))
+@register("isolation_forest", sql("ld", FOREST + " SELECT entity_id, day, " + R("raw_score", "raw_score") + ", " + R("forest_score", "forest_score") + ", forest_anomaly FROM fo"))
 def _(spark, d):
+    f = FR.isolation_forest(A.line_daily(spark, d), LM)
+    return f.select("entity_id", "day", r6("raw_score").alias("raw_score"), r6("forest_score").alias("forest_score"), "forest_anomaly")
+
+
+def voted(spark, d):
+    """z vote, forest and percentile vote of every day."""
+    line = A.line_daily(spark, d)
     v = AN.percentile_vote(AN.z_vote(line_z(spark, d), LM), LM, ["entity_id"])
-    v = v.withColumn("forest_anomaly", F.abs("z_qty") > 2).withColumn("forest_score", F.least(F.abs("z_qty") / 4, F.lit(1.0)))
-    return AN.vote_ensemble(v, 4).select("entity_id", "day", "votes", r6("score").alias("score"), "anomaly")
+    f = FR.isolation_forest(line, LM).drop("raw_score")
+    return AN.vote_ensemble(v.join(f, ["entity_id", "day"]), 4)
+
+
+VOTED = ZW + ", " + PV + ", " + FOREST + f""", vt AS (SELECT entity_id, day, n_outside, {N_EXT} >= 3 OR {MEAN_Z} > 2 AS za, {MEAN_Z} AS mz, n_outside >= 3 AS pa, forest_anomaly AS fa, forest_score AS fs
+    FROM zw JOIN pv USING (entity_id, day) JOIN fo USING (entity_id, day))"""
 
 
-@register("full_vote_ensemble")
+@register("vote_ensemble", sql("ld", VOTED + " SELECT entity_id, day, CAST(za::INT + pa::INT + fa::INT AS INTEGER) AS votes, " + R("0.35e0*mz + 0.40e0*fs + 0.25e0*n_outside/4", "score") + ", za::INT + pa::INT + fa::INT >= 2 AS anomaly FROM vt"))
 def _(spark, d):
-    """The same vote with a fitted forest as its third member."""
-    z = line_z(spark, d)
-    v = AN.percentile_vote(AN.z_vote(z, LM), LM, ["entity_id"])
-    f = AN.isolation_forest(z, [AN.zcol(m) for m in LM]).drop("raw_score")
-    return AN.vote_ensemble(v.join(f, ["entity_id", "day"]), 4).select("entity_id", "day", "votes", "score", "anomaly")
+    return voted(spark, d).select("entity_id", "day", "votes", r6("score").alias("score"), "anomaly")
+
+
+@register("full_vote_ensemble", sql("ld", VOTED + " SELECT entity_id, day, za AS z_anomaly, fa AS forest_anomaly, pa AS pct_anomaly, " + R("fs", "forest_score") + " FROM vt WHERE za::INT + pa::INT + fa::INT >= 2"))
+def _(spark, d):
+    """The days that two of the three methods agree on, with each method's vote."""
+    return voted(spark, d).where("anomaly").select("entity_id", "day", "z_anomaly", "forest_anomaly", "pct_anomaly", r6("forest_score").alias("forest_score"))
 
 
 WINDOWS = (3, 5, 7)
@@ -117,22 +127,63 @@ def _(spark, d):
     return f.select("entity_id", "day", "length", *[r6(c, 5 if c == "sd" else 6).alias(c) for c in ("sum", "median", "mean", "sd", "rms", "maximum", "minimum")])
 
 
-@register("dbscan")
-def _(spark, d):
-    return AN.dbscan(marked(spark, d), [AN.zcol(m) for m in LM], eps=1.5, min_samples=3)
+def density_sql(source: str, cols: list[str], eps: float, min_samples: int, scale: bool = False) -> str:
+    """Density clusters of the rows of ``source`` by all pairs and a recursive walk over core links; ends in ``dn``."""
+    val = {c: f"coalesce(CASE WHEN isnan({c}) THEN 0 ELSE {c} END, 0)" for c in cols}
+    if scale:
+        val = {c: f"({v} - avg({v}) OVER g)/(CASE WHEN stddev_pop({v}) OVER g > 1e-12 THEN stddev_pop({v}) OVER g ELSE 1 END)" for c, v in val.items()}
+    diff = lambda a, b: "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c})*({a}.{c} - {b}.{c})" for c in cols) + ")"
+    sq = lambda a: " + ".join(f"{a}.{c}*{a}.{c}" for c in cols)
+    means = ", ".join(f"avg({c}) AS {c}" for c in cols)
+    return f"""dp AS MATERIALIZED (SELECT entity_id, day, {", ".join(f"{v} AS {c}" for c, v in val.items())} FROM {source} WINDOW g AS (PARTITION BY entity_id)),
+    nb AS MATERIALIZED (SELECT a.entity_id, a.day AS u, b.day AS v FROM dp a JOIN dp b USING (entity_id) WHERE {diff("a", "b")} <= {eps}),
+    co AS MATERIALIZED (SELECT entity_id, u FROM nb GROUP BY ALL HAVING count(*) >= {min_samples}),
+    ln AS MATERIALIZED (SELECT entity_id, u, v FROM nb SEMI JOIN co USING (entity_id, u) WHERE (entity_id, v) IN (SELECT entity_id, u FROM co)),
+    wk(entity_id, u, c) AS (SELECT entity_id, u, u FROM co UNION SELECT ln.entity_id, ln.u, wk.c FROM wk JOIN ln ON ln.entity_id = wk.entity_id AND ln.v = wk.u),
+    lb AS MATERIALIZED (SELECT entity_id, u, min(c) AS c FROM wk GROUP BY ALL),
+    nm AS (SELECT entity_id, c, dense_rank() OVER (PARTITION BY entity_id ORDER BY c) - 1 AS k FROM (SELECT DISTINCT entity_id, c FROM lb)),
+    pl AS (SELECT entity_id, u, min(c) AS c FROM (SELECT * FROM lb UNION ALL SELECT nb.entity_id, nb.u, lb.c FROM nb JOIN lb ON lb.entity_id = nb.entity_id AND lb.u = nb.v
+        WHERE (nb.entity_id, nb.u) NOT IN (SELECT entity_id, u FROM co)) GROUP BY ALL),
+    mb AS MATERIALIZED (SELECT dp.*, coalesce(k, -1) AS cluster FROM dp LEFT JOIN pl ON pl.entity_id = dp.entity_id AND pl.u = dp.day LEFT JOIN nm ON nm.entity_id = pl.entity_id AND nm.c = pl.c),
+    ce AS MATERIALIZED (SELECT entity_id, cluster, count(*) AS n, {means} FROM mb WHERE cluster >= 0 GROUP BY ALL),
+    ov AS (SELECT entity_id, {means} FROM mb GROUP BY entity_id),
+    ds AS (SELECT m.entity_id, m.day, coalesce(min({diff("m", "c")}) FILTER (m.cluster < 0 OR m.cluster = c.cluster), any_value({diff("m", "o")})) AS distance
+        FROM mb m JOIN ov o USING (entity_id) LEFT JOIN ce c ON c.entity_id = m.entity_id GROUP BY m.entity_id, m.day),
+    ap AS (SELECT a.entity_id, a.day, a.cluster = b.cluster AS own, b.cluster, count(*) AS n, sum(pow({diff("a", "b")}, 2)) AS s
+        FROM mb a JOIN mb b USING (entity_id) WHERE a.cluster >= 0 AND b.cluster >= 0 GROUP BY a.entity_id, a.day, a.cluster, b.cluster),
+    si AS (SELECT entity_id, day, max(s/(n - 1)) FILTER (own AND n > 1) AS i, min(s/n) FILTER (NOT own) AS o FROM ap GROUP BY ALL),
+    sl AS (SELECT entity_id, avg(CASE WHEN i IS NULL THEN 0 WHEN greatest(i, o) > 0 THEN (o - i)/greatest(i, o) ELSE 0 END) AS silhouette FROM si WHERE o IS NOT NULL GROUP BY 1),
+    dn AS (SELECT m.entity_id, m.day, CAST(m.cluster AS INTEGER) AS cluster, distance, silhouette FROM mb m JOIN ds USING (entity_id, day) LEFT JOIN sl USING (entity_id))"""
+
+
+DENSE = " SELECT entity_id, day, cluster, " + R("distance", "distance") + ", " + R("silhouette", "silhouette") + " FROM dn"
+ZS = [AN.zcol(m) for m in LM]
+NIGHT = ["sum", "median", "mean", "length", "sd", "variance", "rms", "maximum", "minimum"]
+NIGHT_SQL = """nf AS MATERIALIZED (SELECT entity_id, day, count(*) AS length, sum(value) AS sum, median(value) AS median, avg(value) AS mean, stddev_pop(value) AS sd,
+    var_pop(value) AS variance, sqrt(avg(value*value)) AS rms, max(value) AS maximum, min(value) AS minimum FROM ev GROUP BY entity_id, day HAVING count(*) >= 2)"""
+
+
+@register("dbscan", sql("ld", ZW + ", " + ANOM + ", " + density_sql("an", ZS, 1.5, 3) + DENSE, recursive=True))
+def _(spark, d):
+    return DN.dbscan(marked(spark, d), ZS, eps=1.5, min_samples=3).select("entity_id", "day", "cluster", r6("distance").alias("distance"), r6("silhouette").alias("silhouette"))
+
+
+def night_clusters(spark, d):
+    f = AN.night_features(A.samples(spark, d), ["entity_id", "day"])
+    return DN.dbscan(f, NIGHT, eps=3.0, min_samples=3, scale=True)
 
 
-@register("feature_dbscan")
+@register("feature_dbscan", sql("ev", NIGHT_SQL + ", " + density_sql("nf", NIGHT, 3.0, 3, scale=True) + DENSE, recursive=True))
 def _(spark, d):
-    f = AN.night_features(A.samples(spark, d), ["entity_id", "day"])
-    return AN.dbscan(f, ["sum", "median", "mean", "length", "sd", "variance", "rms", "maximum", "minimum"], eps=3.0, min_samples=3, scale=True)
+    return night_clusters(spark, d).select("entity_id", "day", "cluster", r6("distance").alias("distance"), r6("silhouette").alias("silhouette"))
 
 
-@register("cluster_profiles")
+@register("cluster_profiles", sql("ld", ZW + ", " + ANOM + ", " + density_sql("an", ZS, 1.5, 3) + ", pf AS (SELECT entity_id, cluster, n, " + ", ".join(ZS) + ", unnest(["
+    + ", ".join(f"{{'s': abs({z}), 'c': '{z}'}}" for z in ZS) + "]) AS lead FROM ce) SELECT entity_id, CAST(cluster AS INTEGER) AS cluster, n, " + ", ".join(R(f"any_value({z})", z) for z in ZS) + ", max(lead).c AS leading FROM pf GROUP BY entity_id, cluster, n", recursive=True))
 def _(spark, d):
     m = marked(spark, d)
-    zs = [AN.zcol(c) for c in LM]
-    return AN.cluster_profiles(AN.dbscan(m, zs), m, zs)
+    p = AN.cluster_profiles(DN.dbscan(m, ZS, eps=1.5, min_samples=3), m, ZS)
+    return p.select("entity_id", "cluster", "n", *[r6(z).alias(z) for z in ZS], "leading")
 
 
 @register("principal_axes")
@@ -228,10 +279,10 @@ def _(spark, d):
     for m in (3, 5, 7):
         part = AN.matrix_profile(line, "qty", ["entity_id"], m).select("entity_id", "day", "score", F.lit("matrix_profile").alias("method"))
         mp = part if mp is None else mp.unionByName(part)
-    forest = AN.isolation_forest(line, LM).select("entity_id", "day", F.col("forest_score").alias("score"), F.lit("isolation_forest").alias("method"))
+    forest = FR.isolation_forest(line, LM).select("entity_id", "day", F.col("forest_score").alias("score"), F.lit("isolation_forest").alias("method"))
     rec = AN.window_reconstruction(line, LM, F.col("day") < F.lit(CUT)).select("entity_id", "day", (F.col("error") / F.col("threshold")).alias("score"), F.lit("reconstruction").alias("method"))
     chart = spc.daily_score(spc.shewhart(sig, "value", EM)).withColumn("method", F.lit("spc"))
-    night = AN.dbscan(line, LM, scale=True, eps=3.0).select("entity_id", "day", F.col("distance").alias("score"), F.lit("night_features").alias("method"))
+    night = DN.dbscan(line, LM, scale=True, eps=3.0).select("entity_id", "day", F.col("distance").alias("score"), F.lit("night_features").alias("method"))
     scores = mp.unionByName(forest).unionByName(rec).unionByName(chart).unionByName(night)
     return W.ensemble_rank(AN.method_ensemble(scores), "score", ["entity_id"])
 

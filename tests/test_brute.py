@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightloom.operators import anomaly, changepoint, complexity, gaps, impact, resample, spc, spectral, trend
+from nightloom.operators import changepoint, complexity, density, forest, gaps, impact, resample, spc, spectral, trend
 
 D0 = dt.date(2024, 1, 1)
 
@@ -77,7 +77,7 @@ def test_lomb_scargle(spark):
 def test_dbscan(spark):
     pts = np.concatenate([RNG.normal(0, 0.2, (20, 2)), RNG.normal(5, 0.2, (15, 2)), [[10, -10]]])
     df = spark.createDataFrame([("a", D0 + dt.timedelta(days=i), float(p[0]), float(p[1])) for i, p in enumerate(pts)], "entity_id STRING, day DATE, x DOUBLE, y DOUBLE")
-    got = [r.cluster for r in anomaly.dbscan(df, ["x", "y"], eps=1.0).orderBy("day").collect()]
+    got = [r.cluster for r in density.dbscan(df, ["x", "y"], eps=1.0).orderBy("day").collect()]
     assert set(got[:20]) == {0} and set(got[20:35]) == {1} and got[35] == -1
 
 
@@ -85,11 +85,11 @@ def test_isolation_forest_ranks_planted_outlier_first(spark):
     pts = RNG.normal(0, 1, (80, 3))
     pts[41] = [9, -9, 9]
     df = spark.createDataFrame([("a", D0 + dt.timedelta(days=i), *map(float, p)) for i, p in enumerate(pts)], "entity_id STRING, day DATE, x DOUBLE, y DOUBLE, z DOUBLE")
-    out = anomaly.isolation_forest(df, ["x", "y", "z"], trees=60)
+    out = forest.isolation_forest(df, ["x", "y", "z"], trees=60)
     rows = out.orderBy(F.desc("forest_score")).collect()
     assert rows[0].day == D0 + dt.timedelta(days=41)
     assert sum(r.forest_anomaly for r in rows) == 8
-    again = anomaly.isolation_forest(df.repartition(5), ["x", "y", "z"], trees=60).orderBy(F.desc("forest_score")).collect()
+    again = forest.isolation_forest(df.repartition(5), ["x", "y", "z"], trees=60).orderBy(F.desc("forest_score")).collect()
     assert [r.day for r in again[:5]] == [r.day for r in rows[:5]]
 
 
