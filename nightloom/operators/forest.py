@@ -25,7 +25,7 @@ def int_hash(*parts: Column) -> Column:
     x = F.lit(20011).cast("long")
     for p in (*parts, F.lit(7)):
         x = (x * 48271 + p.cast("long") * 69621 + 1013904223) % PRIME
-        x = (x * x + 12345) % PRIME
+        x = F.transform(F.array(x), lambda q: (q * q + 12345) % PRIME)[0]  # the lambda reads x once, however deep the rounds
     return x
 
 
