@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, stored
+from ._shared import stored
 
 ANCHOR = "key long, piece long, rid long, start int, n int"
 
@@ -46,9 +46,9 @@ def repeated_pieces(
     """
     names = docs.mapInArrow(partial(anchors, names_only=True), "key long")
     # written first: a join of two plain shuffles lets Spark split the rows of a hot name
-    shared = cut(names.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
+    shared = stored(names.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "shared-anchors")
     rows = docs.mapInArrow(partial(anchors, names_only=False), ANCHOR)
-    found = cut(rows.join(shared, "key", "left_semi"))
+    found = stored(rows.join(shared, "key", "left_semi"), "found-anchors")
     # written as well: the last join then has plain shuffles on both sides, and the rows of a hot piece can be split
     pieces = stored(
         found.groupBy("key", "piece").agg(
