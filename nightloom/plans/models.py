@@ -133,7 +133,7 @@ def _(spark, d):
     return rounded(g, [*EM, "model", "n", "n_outside"], "mae", "rmse", "mape", "r2", "cover50", "cover90", "width90")
 
 
-@register("consensus_flag", sql("ls", FC + " SELECT a.entity_id, a.metric, a.day, CASE WHEN a.outside AND b.outside THEN 'HIGH' WHEN a.outside OR b.outside THEN 'MEDIUM' ELSE 'NORMAL' END AS consensus FROM fc a JOIN fc b USING (entity_id, metric, day) WHERE a.model = 'seasonal' AND b.model = 'trend'"))
+@register("consensus_flag", sql("ls", FC + " SELECT entity_id, metric, day, CASE sum(outside::INT) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'NORMAL' END AS consensus FROM fc WHERE model IN ('seasonal', 'trend') GROUP BY ALL HAVING count(*) = 2"))
 def _(spark, d):
     f = forecasts(spark, d)
     return I.consensus_flag(f.where("model = 'seasonal'"), f.where("model = 'trend'"), EM)

@@ -52,7 +52,7 @@ def write_partitions(df: DataFrame, path: str, by: str = "month") -> None:
 def merge_into(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column | str], by: str = "month") -> None:
     """Upsert on a month-partitioned folder: only touched months are read and rewritten.
 
-    The months of a batch, a list that the calendar bounds, become a literal filter that prunes the scan.  Only a folder
+    The months of a batch (null among them), a list that the calendar bounds, become a literal filter that prunes the scan.  Only a folder
     without any file counts as a new table; a read that fails ends the merge and leaves the stored rows alone.  The
     merged rows go through the shared folder first because a plan cannot overwrite what it reads.
     """
@@ -65,7 +65,11 @@ def merge_into(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequen
     if not months:
         return
     stored = spark.read.option("basePath", path).parquet(path)
-    touched = stored.where(F.col(by).isin(months))
+    named = [m for m in months if m is not None]
+    touched = F.col(by).isin(named) if named else F.lit(False)
+    if len(named) < len(months):  # rows without a month have a partition of their own
+        touched = touched | F.col(by).isNull()
+    touched = stored.where(touched)
     write_partitions(cut_lineage(upsert_latest(touched, incoming, keys, order)), path, by)
 
 

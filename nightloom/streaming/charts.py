@@ -6,9 +6,9 @@ sends at most one row per slot into the state, however many samples it produces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,49 +16,57 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.spc import ACTION_SIGMA, CUSUM_H, CUSUM_K, EWMA_LAMBDA
 
-_STATE = "n BIGINT, total DOUBLE, squares DOUBLE, mu DOUBLE, sigma DOUBLE, pos DOUBLE, neg DOUBLE, ewma DOUBLE, last_us BIGINT"
+_STATE = "n BIGINT, mu DOUBLE, deviation DOUBLE, sigma DOUBLE, pos DOUBLE, neg DOUBLE, ewma DOUBLE, last_ms BIGINT, held_us ARRAY<BIGINT>, held ARRAY<DOUBLE>"
 _OUT = "at_us BIGINT, value DOUBLE, cusum_pos DOUBLE, cusum_neg DOUBLE, ewma DOUBLE, level STRING"
 
 
 def control_chart(slots: DataFrame, by: Sequence[str], ts: str = "ts", value: str = "value", baseline: int = 14, delay: str = "3 days", forget_days: int = 30) -> DataFrame:
     """CUSUM and EWMA per entity and metric with a baseline learned from the first values.
 
-    Rows of a micro-batch are ordered by time; rows older than the last one seen
-    are skipped, since the recursion has moved past them.  RED marks a CUSUM
-    alarm, YELLOW an EWMA beyond its limit.  State is forgotten once event time is
-    ``forget_days`` past the last row.
+    Rows wait in the state until the watermark has passed them and are then applied in order of time, by a timer if
+    no other row comes; rows of an equal time are applied in order of value.  So the result does not depend on how
+    rows fall into micro-batches, as long as they come within ``delay``.  What waits is bounded by the slots of ``delay``.
+    RED marks a CUSUM alarm, YELLOW an EWMA beyond its limit.  State is forgotten once event time is ``forget_days`` past
+    the last row.
     """
     by = list(by)
     kinds = dict(slots.dtypes)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         if state.exists:
-            n, total, squares, mu, sigma, pos, neg, ewma, last = state.get
+            n, mu, deviation, sigma, pos, neg, ewma, last, times, values = state.get
+            waiting = list(zip(times, values))
         else:
-            n, total, squares, mu, sigma, pos, neg, ewma, last = 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, -(2 ** 62)
-        rows = pd.concat(list(batches)).sort_values("at_us", kind="stable")
+            n, mu, deviation, sigma, pos, neg, ewma, last, waiting = 0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0, []
+        if not state.hasTimedOut:
+            for rows in batches:
+                known = rows[rows["value"].notna()]
+                waiting += zip(known["at_us"].astype("int64").tolist(), known["value"].astype(float).tolist())
+        passed = state.getCurrentWatermarkMs()
+        due = sorted(r for r in waiting if r[0] // 1000 < passed)
+        waiting = sorted(r for r in waiting if r[0] // 1000 >= passed)
         out = []
-        for at, x in zip(rows["at_us"].to_numpy(), rows["value"].to_numpy(dtype=float)):
-            if at <= last:
-                continue
-            last, n = int(at), n + 1
+        for at, x in due:
+            last, n = at // 1000, n + 1
             ewma = x if n == 1 else EWMA_LAMBDA * x + (1 - EWMA_LAMBDA) * ewma
-            if n <= baseline:
-                total, squares = total + x, squares + x * x
-                mu = total / n
-                sigma = float(np.sqrt(max(squares / n - mu * mu, 0.0)))
+            if n <= baseline:  # Welford's update
+                step = x - mu
+                mu += step / n
+                deviation += step * (x - mu)
+                sigma = math.sqrt(deviation / n)
                 sigma = sigma if sigma >= 1e-10 else 1.0
                 continue
             pos = max(0.0, pos + x - mu - CUSUM_K * sigma)
             neg = max(0.0, neg - x + mu - CUSUM_K * sigma)
-            spread = ACTION_SIGMA * sigma * np.sqrt(EWMA_LAMBDA / (2 - EWMA_LAMBDA) * (1 - (1 - EWMA_LAMBDA) ** (2 * n)))
+            spread = ACTION_SIGMA * sigma * math.sqrt(EWMA_LAMBDA / (2 - EWMA_LAMBDA) * (1 - (1 - EWMA_LAMBDA) ** (2 * n)))
             level = "RED" if max(pos, neg) > CUSUM_H * sigma else "YELLOW" if abs(ewma - mu) > spread else "OK"
-            out.append((*key, int(at), float(x), pos, neg, float(ewma), level))
-        state.update((n, total, squares, mu, sigma, pos, neg, ewma, last))
-        state.setTimeoutTimestamp(max(last // 1000 + forget_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+            out.append((*key, at, x, pos, neg, ewma, level))
+        if state.hasTimedOut and not due and not waiting:
+            state.remove()
+            return
+        state.update((n, mu, deviation, sigma, pos, neg, ewma, last, [at for at, _ in waiting], [x for _, x in waiting]))
+        wake = waiting[0][0] // 1000 if waiting else last + forget_days * 86_400_000
+        state.setTimeoutTimestamp(max(wake, passed + 1))
         if out:
             yield pd.DataFrame(out, columns=[*by, *[c.split()[0] for c in _OUT.split(", ")]])
 

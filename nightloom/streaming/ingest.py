@@ -39,16 +39,21 @@ def dedup(stream: DataFrame, keys: Sequence[str], ts: str = "ts", delay: str = "
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def tumbling(stream: DataFrame, by: Sequence[str], width: str = "1 hour", value: str = "value", ts: str = "ts", delay: str = "3 days", slide: str | None = None, min_count: int = 1) -> DataFrame:
-    """Window means in append mode: a window is final once the watermark passes it."""
+def tumbling(stream: DataFrame, by: Sequence[str], width: str = "1 hour", value: str = "value", ts: str = "ts", delay: str = "3 days", slide: str | None = None, min_count: int = 1, sums: Sequence[str] = ()) -> DataFrame:
+    """Window means in append mode, and totals of the columns in ``sums``: a window is final once the watermark passes it."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    g = stream.withWatermark(ts, delay).groupBy(*by, w).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum("cents").alias("cents"))
-    return g.where(F.col("n") >= min_count).select(*by, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n", "mean", "cents")
+    g = stream.withWatermark(ts, delay).groupBy(*by, w).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *[F.sum(c).alias(c) for c in sums])
+    return g.where(F.col("n") >= min_count).select(*by, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n", "mean", *sums)
 
 
-def sessions(stream: DataFrame, by: Sequence[str], gap: str = "30 minutes", ts: str = "ts", delay: str = "3 days", min_rows: int = 2) -> DataFrame:
-    """Gap-based groups, merged incrementally per micro-batch before they reach the state."""
-    g = stream.withWatermark(ts, delay).groupBy(*by, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.sum("cents").alias("cents"))
+def sessions(stream: DataFrame, by: Sequence[str], gap: str = "30 minutes", ts: str = "ts", delay: str = "3 days", min_rows: int = 2, sums: Sequence[str] = ()) -> DataFrame:
+    """Gap-based groups with their count, bounds and totals of the columns in ``sums``.
+
+    Each task merges the samples it holds into sessions before the exchange, so a hot entity sends a summary for each
+    session and task, not its samples; the setting that asks for it is read when the query starts.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    g = stream.withWatermark(ts, delay).groupBy(*by, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), *[F.sum(c).alias(c) for c in sums])
     return g.where(F.col("n") >= min_rows).drop("session_window")
 
 
