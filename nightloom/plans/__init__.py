@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     scores,
     models,
     audit,
+    landed,
     streams,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

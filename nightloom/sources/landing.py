@@ -12,7 +12,7 @@ DEFAULT_STEP = {"hrv": 300, "heart_rate": 5}
 
 
 def read_landing(spark: SparkSession, path: str, stream: str) -> DataFrame:
-    """One JSON object per line with a declared schema; missing keys become NULL, bad lines are dropped."""
+    """One JSON object per line with a declared schema; missing keys become NULL, bad lines are left out (see :func:`land`)."""
     return (
         spark.read.schema(schemas.LANDING[stream] + ", _bad STRING")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
@@ -20,6 +20,32 @@ def read_landing(spark: SparkSession, path: str, stream: str) -> DataFrame:
     )
 
 
+def split_lines(lines: DataFrame, stream: str, text: str = "value") -> DataFrame:
+    """Parses lines once: their own columns, ``ok`` and the object ``row`` (null where ``ok`` is false); blank lines go.
+
+    A line is bad if it is no JSON object or a value does not fit its declared type.
+    """
+    shape = schemas.LANDING[stream] + ", _bad STRING"
+    parsed = F.from_json(text, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    ok = F.col("_parsed").isNotNull() & F.col("_parsed._bad").isNull()
+    kept = lines.where(F.trim(text) != "").withColumn("_parsed", parsed).withColumn("ok", ok)
+    return kept.withColumn("row", F.when(F.col("ok"), F.col("_parsed").dropFields("_bad"))).drop("_parsed")
+
+
+def land(spark: SparkSession, path: str, stream: str) -> tuple[DataFrame, DataFrame]:
+    """The objects of one endpoint and its quarantined lines (file, line), from one read of the text.
+
+    Both come from one table in the shared folder that one job writes, so no line can be in both or in neither.
+    """
+    from ..session import scratch_path
+
+    target = scratch_path(spark, f"landing-{stream}")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    split_lines(lines, stream).write.partitionBy("ok").parquet(target)
+    both = spark.read.parquet(target)
+    return both.where("ok").select("row.*"), both.where("NOT ok").select("file", F.col("value").alias("line"))
+
+
 def unpack_series(df: DataFrame, series: str, value: str, keep: list[str], default_step: int) -> DataFrame:
     """{timestamp, interval, items[]} to one row per item.
 
