@@ -145,8 +145,8 @@ def forest_sql(source: str, columns: Sequence[str], trees: int = 200, contaminat
         out += [
             f"""g{level} AS (SELECT *, count(*) OVER w AS n, [{", ".join(f"min(x[{j + 1}]) OVER w" for j in range(d))}] AS lo, [{", ".join(f"max(x[{j + 1}]) OVER w" for j in range(d))}] AS hi
                 FROM f{level} WHERE NOT done WINDOW w AS (PARTITION BY entity_id, tree, node))""",
-            f"""u{level} AS (SELECT *, {usable} AS us FROM g{level})""",
-            f"""k{level} AS (SELECT *, CASE WHEN n > 1 AND len(us) > 0 AND {level} < {limit} THEN us[1 + ({h(str(seed), "tree", "node", "1")}) % len(us)] ELSE -1 END AS f FROM u{level})""",
+            f"""us{level} AS (SELECT *, {usable} AS us FROM g{level})""",
+            f"""k{level} AS (SELECT *, CASE WHEN n > 1 AND len(us) > 0 AND {level} < {limit} THEN us[1 + ({h(str(seed), "tree", "node", "1")}) % len(us)] ELSE -1 END AS f FROM us{level})""",
             f"""q{level} AS (SELECT *, lo[f + 1] + (({h(str(seed), "tree", "node", "2")})/CAST({PRIME} AS DOUBLE))*(hi[f + 1] - lo[f + 1]) AS c FROM k{level})""",
             f"""l{level} AS MATERIALIZED (SELECT entity_id, tree, x, node, n, f, CASE WHEN f >= 0 THEN CASE WHEN c >= hi[f + 1] THEN lo[f + 1] ELSE c END END AS cut FROM q{level})""",
             f"""n{level} AS MATERIALIZED (SELECT DISTINCT entity_id, tree, node, f, cut, CASE WHEN f < 0 THEN {level} + {path("n")} END AS length FROM l{level})""",

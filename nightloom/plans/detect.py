@@ -93,26 +93,26 @@ def _profile_sql(m: int) -> str:
       FROM y{m} a JOIN y{m} b ON a.entity_id = b.entity_id AND abs(a.i - b.i) > {math.ceil(m / 4)} GROUP BY ALL)"""
 
 
-PROFILE = "x AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, qty AS a FROM ld), " + ", ".join(_profile_sql(m) for m in WINDOWS) \
-    + ", pr AS (" + " UNION ALL ".join(f"SELECT {m} AS width, entity_id, CAST(i AS INTEGER) AS pos, round(sqrt(d2), 4) AS distance FROM p{m}" for m in WINDOWS) + ")"
+PROFILE = "x AS (SELECT entity_id || ':' || metric AS entity_id, day, row_number() OVER (PARTITION BY entity_id, metric ORDER BY day) - 1 AS i, value AS a FROM ls), " + ", ".join(_profile_sql(m) for m in WINDOWS) \
+    + ", pr AS (" + " UNION ALL ".join(f"SELECT {m} AS width, split_part(entity_id, ':', 1) AS entity_id, split_part(entity_id, ':', 2) AS metric, CAST(i AS INTEGER) AS pos, round(sqrt(d2), 4) AS distance FROM p{m}" for m in WINDOWS) + ")"
 
 
 def profiles(spark, d):
-    line = A.line_daily(spark, d)
-    parts = [AN.matrix_profile(line, "qty", ["entity_id"], m).select(F.lit(m).alias("width"), "entity_id", "pos", r6("distance", 4).alias("distance")) for m in WINDOWS]
+    line = A.line_signals(spark, d)
+    parts = [AN.matrix_profile(line, "value", EM, m).select(F.lit(m).alias("width"), *EM, "pos", r6("distance", 4).alias("distance")) for m in WINDOWS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@register("matrix_profile", sql("ld", PROFILE + " SELECT width, entity_id, pos, " + R("distance", "distance", 4) + " FROM pr"))
+@register("matrix_profile", sql("ls", PROFILE + " SELECT width, entity_id, metric, pos, " + R("distance", "distance", 4) + " FROM pr"))
 def _(spark, d):
     return profiles(spark, d)
 
 
-@register("top_discords", sql("ld", PROFILE + ", k AS (SELECT *, row_number() OVER (PARTITION BY width, entity_id ORDER BY distance DESC, pos) AS rank FROM pr) SELECT width, entity_id, pos, " + R("distance", "distance", 4)
+@register("top_discords", sql("ls", PROFILE + ", k AS (SELECT *, row_number() OVER (PARTITION BY width, entity_id, metric ORDER BY distance DESC, pos) AS rank FROM pr) SELECT width, entity_id, metric, pos, " + R("distance", "distance", 4)
     + ", CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5"))
 def _(spark, d):
     """The five subsequences of each window farthest from their nearest neighbour."""
-    w = Window.partitionBy("width", "entity_id").orderBy(F.desc("distance"), "pos")
+    w = Window.partitionBy("width", *EM).orderBy(F.desc("distance"), "pos")
     return profiles(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
@@ -231,10 +231,12 @@ def _(spark, d):
     return AN.level_outliers(A.line_signals(spark, d), "value", EM).select(*EM, "day")
 
 
-@register("deviation_outliers", sql("ls", "x AS (SELECT entity_id, metric, day, value - 25 AS v FROM ls WHERE metric = 'qty'), y AS (SELECT *, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s FROM x WINDOW w AS (PARTITION BY entity_id)) SELECT entity_id, day, " + R("(v-m)/s", "z") + " FROM y WHERE abs(v) > 2*s"))
+@register("deviation_outliers", sql("ls", "x AS (SELECT entity_id, metric, day, value - avg(value) OVER (PARTITION BY metric) AS v FROM ls), y AS (SELECT *, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s FROM x WINDOW w AS (PARTITION BY entity_id, metric)) SELECT entity_id, metric, day, " + R("(v-m)/s", "z") + " FROM y WHERE abs(v) > 2*s"))
 def _(spark, d):
-    x = A.line_signals(spark, d).where("metric = 'qty'").withColumn("v", F.col("value") - 25)
-    return AN.deviation_outliers(x, "v", ["entity_id"]).select("entity_id", "day", r6("z").alias("z"))
+    """Deviations of every metric from its mean over all entities."""
+    sig = A.line_signals(spark, d)
+    x = sig.join(sig.groupBy("metric").agg(F.avg("value").alias("_m")), "metric").withColumn("v", F.col("value") - F.col("_m"))
+    return AN.deviation_outliers(x, "v", EM).select(*EM, "day", r6("z").alias("z"))
 
 
 @register("known_event_check", sql("ld", "e AS (SELECT entity_id, DATE '1998-06-01' AS day FROM ld GROUP BY 1), n AS (SELECT e.entity_id, e.day, arg_min(l.day, (abs(date_diff('day', e.day, l.day)), date_diff('day', e.day, l.day))) AS other_day, arg_min(l.qty, (abs(date_diff('day', e.day, l.day)), date_diff('day', e.day, l.day))) AS qty FROM e JOIN ld l ON l.entity_id = e.entity_id AND abs(date_diff('day', e.day, l.day)) <= 1 GROUP BY ALL) SELECT entity_id, other_day, abs(qty - 25) <= 5 AS confirmed FROM n"))

@@ -118,34 +118,47 @@ def _(spark, d):
     return rounded(X.fluctuation(A.line_signals(spark, d), "value", EM, range(16, 65)), [*EM, "n_scales"], "alpha", digits=5)
 
 
-@register("sample_entropy", sql("ld", """x AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY day) AS i, qty AS a FROM ld),
+#: One series for each entity and metric; twins carry both in one key.
+SERIES = "x AS (SELECT entity_id || ':' || metric AS entity_id, row_number() OVER (PARTITION BY entity_id, metric ORDER BY day) AS i, value AS a FROM ls)"
+BOTH = "split_part(entity_id, ':', 1) AS entity_id, split_part(entity_id, ':', 2) AS metric"
+
+
+@register("sample_entropy", sql("ls", SERIES + """,
     t AS (SELECT *, 0.2e0*stddev_pop(a) OVER (PARTITION BY entity_id) AS r, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c FROM x WINDOW w AS (PARTITION BY entity_id ORDER BY i)),
     p AS (SELECT s.entity_id, count(*) AS b, count(*) FILTER (WHERE abs(s.c-t.c) <= s.r) AS a FROM t s JOIN t ON s.entity_id = t.entity_id AND s.i <> t.i AND abs(s.a-t.a) <= s.r AND abs(s.b-t.b) <= s.r
       WHERE s.c IS NOT NULL AND t.c IS NOT NULL GROUP BY 1)
-    SELECT entity_id, a, b, """ + R("-ln(CAST(a AS DOUBLE)/b)", "sampen") + " FROM p"))
+    SELECT """ + BOTH + ", a, b, " + R("-ln(CAST(a AS DOUBLE)/b)", "sampen") + " FROM p"))
 def _(spark, d):
-    return rounded(X.sample_entropy(A.line_daily(spark, d), "qty", ["entity_id"]), ["entity_id", "a", "b"], "sampen")
+    return rounded(X.sample_entropy(A.line_signals(spark, d), "value", EM), [*EM, "a", "b"], "sampen")
 
 
-@register("multiscale_entropy")
+@register("multiscale_entropy", sql("ls", SERIES + """, c AS (SELECT *, count(*) OVER (PARTITION BY entity_id) AS n FROM x),
+    y AS (SELECT entity_id, s, (i - 1)//s AS i, avg(a) AS a, any_value(n//s) AS k FROM c, (SELECT unnest(range(1, 21)) AS s) WHERE i <= (n//s)*s AND n//s >= 30 GROUP BY entity_id, s, (i - 1)//s),
+    t AS MATERIALIZED (SELECT *, 0.2e0*stddev_pop(a) OVER (PARTITION BY entity_id, s) AS r, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c FROM y WINDOW w AS (PARTITION BY entity_id, s ORDER BY i)),
+    p AS (SELECT u.entity_id, u.s, count(*) AS b, count(*) FILTER (WHERE abs(u.c-t.c) <= u.r) AS a FROM t u JOIN t ON u.entity_id = t.entity_id AND u.s = t.s AND u.i <> t.i AND abs(u.a-t.a) <= u.r AND abs(u.b-t.b) <= u.r
+      WHERE u.c IS NOT NULL AND t.c IS NOT NULL GROUP BY ALL),
+    e AS (SELECT entity_id, s, CASE WHEN a > 0 THEN -ln(CAST(a AS DOUBLE)/b) END AS e FROM p),
+    g AS (SELECT entity_id, count(e) AS n_scales, avg(e) FILTER (s <= 5) AS lo, avg(e) FILTER (s > 10) AS hi FROM e GROUP BY 1)
+    SELECT """ + BOTH + ", n_scales, " + R("lo", "low_mean") + ", " + R("hi", "high_mean") + """, CASE WHEN n_scales < 10 THEN 'insufficient_data' WHEN hi < 0.5 AND lo > 0.5 THEN 'neuropathic' WHEN lo < 0.3 THEN 'severely_reduced'
+      WHEN hi > lo*0.8e0 THEN 'inflammatory' ELSE 'mixed' END AS pattern FROM g"""))
 def _(spark, d):
-    mse = X.sample_entropy(A.line_daily(spark, d), "qty", ["entity_id"], scales=range(1, 21))
-    return rounded(X.multiscale_pattern(mse, ["entity_id"]), ["entity_id", "n_scales", "pattern"], "low_mean", "high_mean")
+    mse = X.sample_entropy(A.line_signals(spark, d), "value", EM, scales=range(1, 21))
+    return rounded(X.multiscale_pattern(mse, EM), [*EM, "n_scales", "pattern"], "low_mean", "high_mean")
 
 
-@register("rqa", sql("ld", """x AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY day) AS i, qty AS a FROM ld),
-    t AS (SELECT * FROM (SELECT *, 0.1e0*stddev_samp(a) OVER (PARTITION BY entity_id) AS r, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c FROM x WINDOW w AS (PARTITION BY entity_id ORDER BY i)) WHERE c IS NOT NULL),
-    p AS (SELECT s.entity_id, s.i, t.i AS j FROM t s JOIN t ON s.entity_id = t.entity_id AND abs(s.a-t.a) <= s.r AND abs(s.b-t.b) <= s.r AND abs(s.c-t.c) <= s.r),
+@register("rqa", sql("ls", SERIES + """,
+    t AS MATERIALIZED (SELECT * FROM (SELECT *, 0.1e0*stddev_samp(a) OVER (PARTITION BY entity_id) AS r, lead(a,1) OVER w AS b, lead(a,2) OVER w AS c FROM x WINDOW w AS (PARTITION BY entity_id ORDER BY i)) WHERE c IS NOT NULL),
+    p AS MATERIALIZED (SELECT s.entity_id, s.i, t.i AS j FROM t s JOIN t ON s.entity_id = t.entity_id AND abs(s.a-t.a) <= s.r AND abs(s.b-t.b) <= s.r AND abs(s.c-t.c) <= s.r),
     n AS (SELECT entity_id, count(*) AS m FROM t GROUP BY 1),
     rr AS (SELECT entity_id, count(*) FILTER (WHERE i <> j) AS rec FROM p GROUP BY 1),
     dg AS (SELECT entity_id, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY entity_id, j-i ORDER BY i) AS g FROM p WHERE j > i) GROUP BY entity_id, j-i, g HAVING count(*) >= 2),
     dl AS (SELECT entity_id, len, count(*) AS c, sum(count(*)) OVER (PARTITION BY entity_id) AS tot FROM dg GROUP BY entity_id, len),
     ds AS (SELECT entity_id, sum(len*c) AS det, -sum(c/CAST(tot AS DOUBLE)*log2(c/CAST(tot AS DOUBLE))) AS h FROM dl GROUP BY 1),
     vt AS (SELECT entity_id, sum(len) AS lam FROM (SELECT entity_id, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY entity_id, j ORDER BY i) AS g FROM p) GROUP BY entity_id, j, g HAVING count(*) >= 2) GROUP BY 1)
-    SELECT n.entity_id, m, rec AS recurrences, """ + ", ".join([R("rec/(CAST(m AS DOUBLE)*m - m)", "rate"), R("coalesce(det, 0)/(rec/2.0e0)", "determinism"), R("coalesce(lam, 0)/CAST(rec AS DOUBLE)", "laminarity"), R("coalesce(h, 0)", "diagonal_entropy")])
+    SELECT """ + BOTH + ", m, rec AS recurrences, " + ", ".join([R("rec/(CAST(m AS DOUBLE)*m - m)", "rate"), R("coalesce(det, 0)/(rec/2.0e0)", "determinism"), R("coalesce(lam, 0)/CAST(rec AS DOUBLE)", "laminarity"), R("coalesce(h, 0)", "diagonal_entropy")])
     + " FROM n JOIN rr USING (entity_id) LEFT JOIN ds USING (entity_id) LEFT JOIN vt USING (entity_id)"))
 def _(spark, d):
-    return rounded(X.recurrence(A.line_daily(spark, d), "qty", ["entity_id"]), ["entity_id", "m", "recurrences"], "rate", "determinism", "laminarity", "diagonal_entropy")
+    return rounded(X.recurrence(A.line_signals(spark, d), "value", EM), [*EM, "m", "recurrences"], "rate", "determinism", "laminarity", "diagonal_entropy")
 
 
 FREQS = P.linspace(0.001, 0.005, 500)
@@ -213,8 +226,8 @@ def _(spark, d):
     return rounded(P.spectral_entropy(depth_spectrum(spark, d), ["entity_id"]), ["entity_id", "n_bins"], "spectral_entropy")
 
 
-@register("lag_density", sql("ld", """p AS (SELECT entity_id, qty AS x, lead(qty) OVER (PARTITION BY entity_id ORDER BY day) AS y FROM ld)
-    SELECT entity_id, CAST(floor(x/2.5e0) AS BIGINT) AS x_bin, CAST(floor(y/2.5e0) AS BIGINT) AS y_bin, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY ALL"""))
+@register("lag_density", sql("ls", """p AS (SELECT entity_id, metric, value AS x, lead(value) OVER (PARTITION BY entity_id, metric ORDER BY day) AS y FROM ls)
+    SELECT entity_id, metric, CAST(floor(x/2.5e0) AS BIGINT) AS x_bin, CAST(floor(y/2.5e0) AS BIGINT) AS y_bin, count(*) AS n FROM p WHERE y IS NOT NULL GROUP BY ALL"""))
 def _(spark, d):
-    p = J.lag_pairs_rows(A.line_daily(spark, d), "qty", "qty", ["entity_id"], 1)
-    return D.density_2d(p, ["entity_id"], "x", "y", 2.5)
+    p = J.lag_pairs_rows(A.line_signals(spark, d), "value", "value", EM, 1)
+    return D.density_2d(p, EM, "x", "y", 2.5)
