@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from .registry import register, table
 
 cut = partial(stored, name="near-dedup")
 
-LEVELS, DEEPEST, BRANCHES, SKETCH = 3, 8, 2, 128
+LEVELS, DEEPEST, BRANCHES, SKETCH = 3, 7, 2, 128
+#: Levels that a large node branches at once before it is looked at again.
+STRIDE = 2
 #: Chance that a pair at the threshold is missed by all trees.
 MISS = 1e-9
 #: Documents in a node that is compared as it is.
@@ -43,7 +46,7 @@ SMALL = 64
 #: Documents of a cluster in one block, and about how many of them all blocks share.
 BLOCK, SHARED = 512, 16
 #: So many documents outside the commonest component are compared with the whole node; with more, it branches.
-FEW = 256
+FEW = BLOCK
 #: Columns of the incidence matrix that is multiplied at once.
 COLUMNS = 4096
 
@@ -254,12 +257,13 @@ def _within(rows: DataFrame, pairs_of, percent: int) -> DataFrame:
     return dealt.mapInArrow(partial(_by_group, pairs_of=pairs_of, percent=percent), "u long, v long").distinct()
 
 
-def branched(rows: DataFrame, groups: DataFrame, level: int) -> DataFrame:
-    """Children with two documents or more of the nodes of rows (path, tree, rid): path, tree, rid, m (documents)."""
-    token = [F.get("tokens", F.col("tree") * (DEEPEST * BRANCHES) + level * BRANCHES + j) for j in range(BRANCHES)]
-    child = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), t.alias("t")) for j, t in enumerate(token))))
+def branched(rows: DataFrame, groups: DataFrame, level: int, stride: int = 1) -> DataFrame:
+    """Descendants, ``stride`` levels down, with two documents or more of the nodes of rows (path, tree, rid): path, tree,
+    rid, m (documents)."""
+    token = lambda at, j: F.get("tokens", F.col("tree") * (DEEPEST * BRANCHES) + at * BRANCHES + j)
+    ways = [F.struct(*(F.struct(F.lit(j).alias("j"), token(level + i, j).alias("t")).alias(f"c{i}") for i, j in enumerate(way))) for way in product(range(BRANCHES), repeat=stride)]
     rows = rows.select("rid", "tree", "path").join(groups.select("rid", "tokens"), "rid") if "tokens" not in rows.columns else rows
-    rows = rows.withColumn("c", child).select("rid", "tree", F.xxhash64("path", "tree", "c.j", "c.t").alias("path"))
+    rows = rows.withColumn("c", F.explode(F.array(*ways))).select("rid", "tree", F.xxhash64("path", "tree", "c").alias("path"))
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     return rows.join(sizes, "path")
 
@@ -337,7 +341,7 @@ def apart(large: DataFrame, near: DataFrame, groups: DataFrame, sketch: DataFram
     """Clusters (rid, label): those of near and of what large nodes (path, tree, rid) hold beyond them."""
     clusters = components(near)
     found = []
-    for level in range(LEVELS, DEEPEST + 1):
+    for level in range(LEVELS, DEEPEST + 1, STRIDE):
         member = cut(open_nodes(large, clusters))
         if not has_rows(member):
             break
@@ -345,13 +349,24 @@ def apart(large: DataFrame, near: DataFrame, groups: DataFrame, sketch: DataFram
         found.append(cut(among_strays(member.filter((F.col("strays") <= FEW) | F.lit(level == DEEPEST)), sketch, percent)))
         if not has_rows(many):
             break
-        children = cut(branched(many, groups, level))
+        children = cut(branched(many, groups, level, STRIDE))
         small = children.filter(F.col("m") <= SMALL).select("path", F.lit(0).alias("block"), "rid").join(sketch, "rid")
         found.append(cut(_within(small.select("path", "block", "rid", "n", "sketch"), _node, percent)))
         large = children.filter(F.col("m") > SMALL)
-    for more in found:
-        near = near.unionByName(more)
-    return components(near) if found else clusters
+    if not found:
+        return clusters
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    # found pairs join whole clusters: their ends stand for them
+    name = lambda end: clusters.select(F.col("rid").alias(end), F.col("label").alias(f"{end}_of"))
+    between = links.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v"))
+    between = cut(between.filter("u <> v").distinct())
+    if not has_rows(between):
+        return clusters
+    joined = components(between)
+    moved = clusters.join(joined.select(F.col("rid").alias("label"), F.col("label").alias("new")), "label", "left").select("rid", F.coalesce("new", "label").alias("label"))
+    return cut(moved.unionByName(joined.join(clusters.select("rid"), "rid", "left_anti")))
 
 
 def confirmed(sets: DataFrame, percent: int) -> DataFrame:
