@@ -1,13 +1,14 @@
 """Packing into optimal length buckets.
 
-The histogram of all lengths, on a grid whose size is fixed, goes to the driver; a dynamic programme over it picks the
-bucket boundaries with the least padding.  Inside a bucket, rows are numbered and cut into batches of as many rows as
+The histogram of all lengths goes to the driver: one number for each different length, of which there are no more than
+the longest text has words, however many rows there are.  A dynamic programme over it picks the bucket boundaries with the
+least padding; the cost of a last bucket is linear in its length, so a lower envelope of lines gives each step's optimum
+in constant time.  Inside a bucket, rows are numbered and cut into batches of as many rows as
 the token budget holds at the bucket's length.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,38 +17,41 @@ from .registry import register, table
 
 BUCKETS = 16
 BUDGET = 65_536
-#: Lengths up to EXACT are grid points each; above, every doubling has EXACT / 2 of them.
-EXACT = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def grid_top(length):
-    """Largest length of the grid cell that holds a length."""
-    step = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - int(np.log2(EXACT)) + 1).cast("int")
-    size = F.pow(F.lit(2.0), step).cast("long")
-    return F.when(length <= EXACT, length).otherwise(((length - 1) / size).cast("long") * size + size)
-
-
-def boundaries(tops: np.ndarray, longest: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """Bucket lengths with the least padding; cells are sorted, and a bucket's length is its last cell's longest row."""
-    n = len(tops)
-    if not n:
-        return []
-    rows, tokens = np.concatenate([[0], np.cumsum(count)]).astype(float), np.concatenate([[0], np.cumsum(total)]).astype(float)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
-    choice = np.zeros((min(buckets, n) + 1, n + 1), np.int64)
-    for k in range(1, min(buckets, n) + 1):
-        now = np.full(n + 1, np.inf)
+def boundaries(lengths: list[int], count: list[int], buckets: int) -> list[int]:
+    """Bucket lengths with the least padding for ``count`` rows of each of the ascending ``lengths``; whole numbers throughout."""
+    n, used = len(lengths), min(buckets, len(lengths))
+    rows, tokens = [0], [0]
+    for x, c in zip(lengths, count):
+        rows.append(rows[-1] + c)
+        tokens.append(tokens[-1] + c * x)
+    best: list[int | None] = [0] + [None] * n
+    choice = []
+    for _ in range(used):
+        now: list[int | None] = [None] * (n + 1)
+        chosen = [0] * (n + 1)
+        lines: list[tuple[int, int, int]] = []  # slope, offset, place: the envelope at ever larger lengths
+        at = 0
         for j in range(1, n + 1):
-            cost = best[:j] + (rows[j] - rows[:j]) * longest[j - 1] - (tokens[j] - tokens[:j])
-            at = int(np.argmin(cost))
-            now[j], choice[k, j] = cost[at], at
+            if best[j - 1] is not None:
+                slope, offset = -rows[j - 1], best[j - 1] + tokens[j - 1]
+                while len(lines) > at + 1 and (offset - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - slope):
+                    lines.pop()
+                lines.append((slope, offset, j - 1))
+            x = lengths[j - 1]
+            if not lines:
+                continue
+            while at + 1 < len(lines) and lines[at + 1][0] * x + lines[at + 1][1] < lines[at][0] * x + lines[at][1]:
+                at += 1
+            now[j], chosen[j] = lines[at][0] * x + lines[at][1] + rows[j] * x - tokens[j], lines[at][2]
         best = now
+        choice.append(chosen)
     out, j = [], n
-    for k in range(min(buckets, n), 0, -1):
-        out.append(int(longest[j - 1]))
-        j = int(choice[k, j])
+    for chosen in reversed(choice):
+        out.append(int(lengths[j - 1]))
+        j = chosen[j]
     return out[::-1]
 
 
@@ -60,11 +64,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, doc_id:
     """
     length = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), length.alias("length")))
-    cells = rows.groupBy(grid_top(F.col("length")).alias("top")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum("length").alias("t"), F.max("length").alias("m")
-    ).orderBy("top").collect()  # at most EXACT + EXACT / 2 for each doubling above
-    tops, count, total, longest = (np.array([r[f] for r in cells], dtype=np.int64) for f in ("top", "c", "t", "m"))
-    ends = boundaries(tops, longest, count, total, buckets) or [0]
+    cells = sorted((r.length, r.c) for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect())  # different lengths only
+    ends = boundaries([x for x, _ in cells], [c for _, c in cells], buckets) or [0]
     bucket, size = F.lit(len(ends) - 1), F.lit(ends[-1])
     for k in range(len(ends) - 2, -1, -1):
         bucket, size = F.when(F.col("length") <= ends[k], k).otherwise(bucket), F.when(F.col("length") <= ends[k], ends[k]).otherwise(size)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import has_files
 from ._shared import scratch
 from .registry import register, table
 
@@ -96,10 +97,19 @@ def write_map(spark: SparkSession, folder: str, version: int, shard: list[int],
     (
         spark.range(0, len(shard), 1, 1).withColumnRenamed("id", "vslot")
         .select(F.col("vslot").cast("int").alias("vslot"), values[0].cast("int").alias("shard"), values[1].alias("base"))
-        .write.mode("overwrite").parquet(f"{folder}/version={version}")
+        .write.mode("errorifexists").parquet(f"{folder}/version={version}")
     )
 
 
+def last_map(spark: SparkSession, folder: str) -> tuple[list[int] | None, int]:
+    """Shard of each slot in the newest version, and its number; (None, -1) for a folder without one."""
+    if not has_files(spark, folder):
+        return None, -1
+    stored = spark.read.parquet(folder).select("version", "vslot", "shard")
+    newest = stored.agg(F.max("version")).first()[0]
+    return [r.shard for r in stored.filter(F.col("version") == newest).orderBy("vslot").collect()], newest  # as many rows as slots
+
+
 def sized_rows(docs: DataFrame, slots: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
@@ -121,8 +131,10 @@ def slot_sizes(rows: DataFrame, slots: int) -> tuple[list[int], list[int]]:
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, map_folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot for each input row, under the law ``bytes``.
 
-    slot numbers the rows of a shard from 0 without gaps; vslot is the virtual slot.  The map is kept in ``map_folder``
-    as version=0 (even) and version=1 (edited by bytes).  A null text has 0 bytes, a null id a slot of its own; equal
+    slot numbers the rows of a shard from 0 without gaps; vslot is the virtual slot.  The map is kept in ``map_folder``:
+    a new folder gets version=0 (even) and version=1 (edited by bytes); a later call edits the last version n, by bytes or,
+    for more shards, by letting the new ones take slots, and writes n+1; no version is ever overwritten.  Fewer shards than the
+    last version has, or another number of slots, are an error.  A null text has 0 bytes, a null id a slot of its own; equal
     ids share a slot; ties in id are numbered by checksum and size; other columns are ignored, whatever their names; an
     empty table gives no rows.  One text larger than a shard's share makes its shard larger by that much, no more.
     """
@@ -138,11 +150,18 @@ def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, map_folder
             at[h] += count[s]
         return out
 
-    first = even_map(slots, shards)
-    write_map(spark, folder, 0, first, bases(first))
-    edited = rebalance(first, size, shards)
-    write_map(spark, folder, 1, edited, bases(edited))
-    latest = spark.read.parquet(f"{folder}/version=1")
+    held, version = last_map(spark, folder)
+    if held is None:
+        held, version = even_map(slots, shards), 0
+        write_map(spark, folder, 0, held, bases(held))
+    had = max(held) + 1
+    if len(held) != slots or had > shards:
+        raise ValueError(f"the stored map has {had} shards and {len(held)} slots")
+    edited = held if had < shards else rebalance(held, size, shards)
+    for more in range(had, shards):
+        edited = grow(edited, size, more)
+    write_map(spark, folder, version + 1, edited, bases(edited))
+    latest = spark.read.parquet(f"{folder}/version={version + 1}")
     inside = W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("at", F.row_number().over(inside) - 1)

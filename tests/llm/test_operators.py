@@ -131,6 +131,27 @@ def test_exact_dedup(docs, sample):
     assert rows_of(exact_dedup(docs([(1, "t"), (1, "t"), (0, "t")])).select("doc_id", "keep_id", "group_size", "kept")) == [(0, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True)]
 
 
+def test_long_lengths_have_boundaries_of_their_own(docs):
+    assert P.boundaries([513, 514], [20, 1], 2) == [513, 514]
+    got = P.pack(docs([" ".join(["w"] * 513)] * 20 + [" ".join(["w"] * 514)]), buckets=2).collect()
+    assert sum(x.padding for x in got) == 0
+
+
+def test_stored_map_is_edited(docs, folder):
+    """A second call starts from the last version; one more shard takes slots, and nothing else moves."""
+    df = docs([f"text {i} " * (i % 17) for i in range(300)])
+    read = lambda v: {r.vslot: r.shard for r in df.sparkSession.read.parquet(f"{folder}/version={v}").collect()}
+    S.shard_documents(df, 4, slots=64, map_folder=folder).count()
+    first = read(1)
+    S.shard_documents(df, 4, slots=64, map_folder=folder).count()
+    assert read(1) == first and read(2) == first
+    grown = S.shard_documents(df, 5, slots=64, map_folder=folder)
+    moved = {s: h for s, h in read(3).items() if first[s] != h}
+    assert moved and set(moved.values()) == {4} and {r.shard for r in grown.collect()} == set(range(5))
+    with pytest.raises(ValueError):
+        S.shard_documents(df, 3, slots=64, map_folder=folder)
+
+
 def test_sharding(docs, sample, folder):
     got = S.shard_documents(sample, 24, map_folder=folder).collect()
     text = {r.doc_id: r.text for r in sample.collect()}
@@ -207,9 +228,9 @@ def test_token_counts_equal_greedy_matching(docs, sample):
 def test_packing(docs, sample):
     r = random.Random(5)
     for _ in range(30):
-        length = sorted(r.randint(0, 30) for _ in range(r.randint(1, 9)))
+        length = sorted(r.randint(0, 30) + r.choice([0, 0, 500, 20_000]) for _ in range(r.randint(1, 9)))
         tops, count = np.unique(length, return_counts=True)
-        ends = P.boundaries(tops, tops, count, tops * count, 3)
+        ends = P.boundaries(tops.tolist(), count.tolist(), 3)
         cost = lambda ends: sum(min(e for e in ends if e >= x) - x for x in length)
         best = min(cost((*c, length[-1])) for k in range(3) for c in combinations(sorted(set(length)), k))
         assert cost(ends) == best
@@ -320,3 +341,15 @@ def test_pipeline_stages_keep_their_contract(spark, sample, docs):
     assert pipeline.STAGES[-1][1](spark, have, folder).count() == have.count()
     twice = docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)])
     assert sorted(r.doc_id for r in pipeline.exact_stage(spark, twice, folder).collect()) == [2, 3]
+
+
+def test_pipeline_decides_rows_that_share_an_id(spark, docs, folder):
+    """An id that occurs twice: each of its rows is judged by its own text; an empty table stays empty."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    shared = docs([(1, "a b c"), (2, "a b c"), (1, "x y z"), (None, "x y z"), (None, "only")], clash=True)
+    got = pipeline.exact_stage(spark, shared, folder)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == [(1, "x y z"), (2, "a b c"), (None, "only")]
+    assert got.columns == shared.columns
+    near = [(4, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"w{i}" for i in range(41))), (9, "else")]
+    assert sorted(r.text for r in pipeline.near_stage(spark, docs(near), folder).collect()) == sorted(["else", near[0][1]])
+    assert pipeline.exact_stage(spark, shared.limit(0), folder).count() == 0
