@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as T
+from ._shared import cut as kept_rows
 from ._shared import has_rows, keyed_rows, stored
 from .registry import register, table
 
+#: The many small tables; those with long arrays are checkpoints, which need no column buffers.
 cut = partial(stored, name="near-dedup")
 
 LEVELS, DEEPEST, BRANCHES, SKETCH = 3, 7, 2, 128
@@ -412,13 +414,13 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     """
     rows, own_id = keyed_rows(docs, doc_id, text)
     trees = trees_for(percent / 100)
-    signed = cut(
+    signed = kept_rows(
         rows.select("rid", own_id.alias("own_id"), "text").mapInArrow(
             partial(_signatures, width=width, multipliers=orders(trees)), "rid long, own_id long, n long, a long, b long, tokens array<int>"
         )
     )
     full = signed.filter("n > 0")
-    groups = cut(full.groupBy("a", "b", "n").agg(F.min("rid").alias("rid"), F.first("tokens").alias("tokens")))
+    groups = kept_rows(full.groupBy("a", "b", "n").agg(F.min("rid").alias("rid"), F.first("tokens").alias("tokens")))
     nodes = cut(tree_nodes(groups, trees))
     leaders = nodes.filter("blocks > 1").groupBy("path", "blocks").agg(F.min("rid").alias("rid"))
     spread = leaders.select("path", "rid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -426,7 +428,7 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     sketch = groups.select("rid", "n", _sketch("tokens").alias("sketch"))
     near = cut(_within(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch"), _node, percent))
     clusters = apart(nodes.filter("blocks > 1").select("path", "tree", "rid"), near, groups, sketch, percent)
-    sets = cut(
+    sets = kept_rows(
         rows.select("rid", "text").join(clusters.withColumnRenamed("label", "path"), "rid")
         .mapInArrow(partial(_sets, width=width), "rid long, path long, set array<long>")
     )
