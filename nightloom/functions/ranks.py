@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalar import norm_p2
+from .tails import rank_sum_p
+
 #: Buckets per doubling of the magnitude.
 RESOLUTION = 4096
 
@@ -124,6 +127,24 @@ def mann_whitney(df: DataFrame, groups: Sequence[str], value: str, first: Column
     )
 
 
+def mann_whitney_p(df: DataFrame, groups: Sequence[str], value: str, first: Column, exact_n: int = 20) -> DataFrame:
+    """Rank-sum test with one p column: exact, ties included, up to ``exact_n`` rows in all, else normal; ``method`` says which.
+
+    Only the tie groups of small tests, at most ``exact_n`` numbers each, are gathered for the exact count.
+    """
+    groups = list(groups)
+    t = tie_table(df, groups, value, {"_n1": first})
+    small = F.when(F.col("total") <= exact_n, F.struct("below", "ties", (2 * F.col("below") + F.col("ties") + 1).alias("rank2")))
+    lists = t.groupBy(*groups).agg(
+        F.sort_array(F.collect_list(small)).alias("_g"), F.sum(F.col("_n1") * (2 * F.col("below") + F.col("ties") + 1)).alias("_s"), F.max("total").alias("_total")
+    )
+    tested = mann_whitney(df, groups, value, first).join(lists, groups)
+    exact = F.col("_total") <= exact_n
+    part = lambda f: F.when(exact, F.transform("_g", lambda g: g[f].cast("long")))
+    p = F.when(exact, rank_sum_p(part("ties"), part("rank2"), F.col("n1"), F.col("_s"))).otherwise(norm_p2("z"))
+    return tested.select(*groups, "n1", "n2", "u1", "u2", "delta", p.alias("p"), F.when(exact, "exact").otherwise("normal").alias("method"))
+
+
 def kruskal(df: DataFrame, groups: Sequence[str], value: str, klass: str) -> DataFrame:
     """H over the levels of ``klass`` with tie correction, and its degrees of freedom."""
     groups = list(groups)

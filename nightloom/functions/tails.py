@@ -87,6 +87,26 @@ def mwu_exact_p(u: float, n1: int, n2: int) -> float:
     return min(1.0, 2 * hits / total)
 
 
+def rank_sum_exact_p(ties: list[int], doubled: list[int], n1: int, observed: int) -> float:
+    """Two-sided exact p of a rank sum with ties.
+
+    ``ties`` rows share the doubled mid-rank ``doubled`` of their group.  A dynamic programme over the groups counts, for
+    every number of rows taken so far, how many choices reach each sum; p is the share of choices of ``n1`` rows whose sum
+    is as far from its mean as the observed one.
+    """
+    ways: list[dict[int, int]] = [{0: 1}] + [{} for _ in range(n1)]
+    for t, r in zip(ties, doubled):
+        for taken in range(n1, 0, -1):
+            row = ways[taken]
+            for k in range(1, min(int(t), taken) + 1):
+                for total, count in ways[taken - k].items():
+                    row[total + k * int(r)] = row.get(total + k * int(r), 0) + count * math.comb(int(t), k)
+    mean = n1 * (sum(int(t) for t in ties) + 1)
+    far = abs(observed - mean)
+    every = sum(ways[n1].values())
+    return sum(c for s, c in ways[n1].items() if abs(s - mean) >= far) / every
+
+
 def _vector(fn):
     def run(*cols: pd.Series) -> pd.Series:
         return pd.Series([
@@ -148,3 +168,13 @@ def f_sf(x, d1, d2):
 def exact_u_p(u, n1, n2):
     """Exact p for n1, n2 of at most 8 without ties; NULL beyond, where the normal form applies."""
     return _udf3(lambda u, a, b: mwu_exact_p(u, int(a), int(b)) if max(a, b) <= 8 else float("nan"))(u, n1, n2)
+
+
+def rank_sum_p(ties, doubled, n1, observed):
+    """:func:`rank_sum_exact_p` of columns; null where there is no list of tie groups."""
+
+    def run(t: pd.Series, r: pd.Series, n: pd.Series, s: pd.Series) -> pd.Series:
+        rows = zip(t, r, n, s)
+        return pd.Series([None if a is None else rank_sum_exact_p(list(a), list(b), int(c), int(d)) for a, b, c, d in rows], dtype="float64")
+
+    return F.pandas_udf(run, "double")(ties, doubled, n1, observed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks, scalar as S, tails
@@ -42,6 +43,33 @@ def _(spark, d):
     return u.select(*EM, "n1", "n2", "u1", "u2", r6("z").alias("z"), r6(S.norm_p2("z")).alias("p"))
 
 
+#: Days on either side of the cut, in a small and in a larger test.
+AROUND = (3, 12)
+
+
+def around(spark, d):
+    """Days near the cut."""
+    sig = A.line_signals(spark, d)
+    near = [sig.where(F.abs(F.datediff("day", F.lit(CUT))) <= k).withColumn("reach", F.lit(k)) for k in AROUND]
+    return near[0].unionByName(near[1])
+
+
+@register("mann_whitney_exact", sql("ls", "nr AS (SELECT ls.*, reach FROM ls, (SELECT unnest([" + ", ".join(map(str, AROUND)) + f"""]) AS reach) WHERE abs(date_diff('day', DATE '1998-06-01', day)) <= reach),
+    rk AS (SELECT entity_id, metric, reach, {PRE} AS a, 2*rank() OVER (PARTITION BY entity_id, metric, reach ORDER BY value) + count(*) OVER (PARTITION BY entity_id, metric, reach, value) - 1 AS r2,
+      count(*) OVER (PARTITION BY entity_id, metric, reach, value) AS t FROM nr),
+    g AS (SELECT entity_id, metric, reach, count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2, sum(r2) FILTER (WHERE a) AS s, list(r2 ORDER BY r2) AS rs, sum(CAST(t AS DOUBLE)*t - 1) AS ties FROM rk GROUP BY ALL),
+    u AS (SELECT *, CAST(n1 AS DOUBLE)*n2 AS nn, s/2.0e0 - CAST(n1 AS DOUBLE)*(n1+1)/2 AS u1, n1+n2 AS n FROM g WHERE n1 > 0 AND n2 > 0),
+    z AS (SELECT *, greatest((greatest(u1, nn-u1) - nn/2 - 0.5e0) / sqrt(nn/12 * ((n+1) - ties/(CAST(n AS DOUBLE)*(n-1)))), 0.0e0) AS z FROM u),
+    mk AS (SELECT unnest(range(1, 256)) AS m),
+    ex AS (SELECT entity_id, metric, reach, count(*) AS every, count(*) FILTER (abs(list_sum(list_transform(range(n), lambda i: ((m >> i) & 1)*rs[i + 1])) - n1*(n + 1)) >= abs(s - n1*(n + 1))) AS far
+      FROM z, mk WHERE n <= 8 AND m < pow(2, n) AND bit_count(m) = n1 GROUP BY ALL)
+    SELECT z.entity_id, z.metric, z.reach, n1, n2, u1, """ + R("CASE WHEN n <= 8 THEN far/CAST(every AS DOUBLE) ELSE " + S.norm_p2_sql("z") + " END", "p") + ", CASE WHEN n <= 8 THEN 'exact' ELSE 'normal' END AS method FROM z LEFT JOIN ex USING (entity_id, metric, reach)"))
+def _(spark, d):
+    """Small tests are counted out, ties included; the twin lists every choice of days."""
+    m = ranks.mann_whitney_p(around(spark, d), [*EM, "reach"], "value", pre(), exact_n=8)
+    return m.select(*EM, "reach", "n1", "n2", "u1", r6("p").alias("p"), "method")
+
+
 @register("cliffs_delta", """WITH c AS (SELECT o_orderpriority AS entity_id, o_totalprice AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderstatus <> 'F') AS b
       FROM orders GROUP BY ALL),
     k AS (SELECT *, sum(b) OVER (PARTITION BY entity_id ORDER BY v) - b AS below, sum(b) OVER (PARTITION BY entity_id) AS nb, sum(a) OVER (PARTITION BY entity_id) AS na FROM c),
@@ -165,6 +193,17 @@ def _(spark, d):
     return rounded(C.corr_matrix(A.line_daily(spark, d), A.LINE_METRICS, ["entity_id"], lag=1), ["entity_id", "x_name", "y_name", "n"], "r")
 
 
+@register("corr_p_matrix", sql("ld", f"pr AS ({_lag_pairs_sql(A.LINE_METRICS, A.LINE_METRICS, [0, 1])}), cm AS (SELECT entity_id, x_name, y_name, lag, CAST(count(*) AS DOUBLE) AS n, corr(x, y) AS r FROM pr WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (lag = 0 AND x_name = y_name) GROUP BY ALL) "
+    "SELECT entity_id, x_name, y_name, lag, CAST(n AS BIGINT) AS n, " + R("r", "r") + ", " + R(tails.t_p2_sql("(r*sqrt((n - 2)/(1 - r*r)))", "(n - 2)"), "p") + " FROM cm WHERE n > 2 AND abs(r) < 1"))
+def _(spark, d):
+    """r and its Student p for every pair of metrics, same day and next day."""
+    line = A.line_daily(spark, d)
+    both = [C.corr_matrix(line, A.LINE_METRICS, ["entity_id"], lag=k).withColumn("lag", F.lit(k)) for k in (0, 1)]
+    m = both[0].where("x_name <> y_name").unionByName(both[1]).withColumn("_f", F.col("n").cast("double") - 2)
+    p = tails.t_p2(F.col("r") * F.sqrt(F.col("_f") / (1 - F.col("r") * F.col("r"))), F.col("_f"))
+    return rounded(m.withColumn("p", p), ["entity_id", "x_name", "y_name", "lag", "n"], "r", "p")
+
+
 @register("fisher_compare", sql("ld", _spearman_sql(_lag_pairs_sql(["qty"], ["disc", "tax"], [0]), "entity_id, x_name, y_name") + f""", z AS (SELECT *, {FISHER} AS z FROM co)
     SELECT a.x_name, a.y_name, """ + R("(a.z - b.z)/sqrt(1.0e0/(a.n-3) + 1.0e0/(b.n-3))", "z") + " FROM z a JOIN z b ON a.x_name = b.x_name AND a.y_name = b.y_name WHERE a.entity_id = 'A' AND b.entity_id = 'R'"))
 def _(spark, d):
@@ -227,8 +266,12 @@ OLS = """x AS (SELECT entity_id, metric, value AS y, date_diff('day', min(day) O
     q AS (SELECT *, sqrt((syy - slope*sxy)/(n-2)) AS rs FROM o)"""
 
 
-def line_trend(spark, d):
-    s = A.line_signals(spark, d).withColumn("t", T.day_number(EM) / 100.0)
+def line_trend(spark, d, last=None):
+    s = A.line_signals(spark, d)
+    if last:
+        w = Window.partitionBy(*EM).orderBy(F.desc("day"))
+        s = s.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= last).drop("_k")
+    s = s.withColumn("t", T.day_number(EM) / 100.0)
     return s, T.ols(s, "value", "t", EM)
 
 
@@ -238,6 +281,28 @@ def _(spark, d):
     return rounded(line_trend(spark, d)[1], [*EM, "n"], "slope", "intercept", "r2", "resid_sd", "se", "t", "beta")
 
 
+TREND_P = ", ".join([R("slope", "slope"), R("rs/sqrt(sxx)", "se"), R(tails.t_p2_sql("slope/(rs/sqrt(sxx))", "n - 2"), "p"),
+    R(f"slope - {tails.t975_sql('(n - 2)')}*rs/sqrt(sxx)", "lo"), R(f"slope + {tails.t975_sql('(n - 2)')}*rs/sqrt(sxx)", "hi")])
+
+
+def tested_trend(fit):
+    """Slope with its Student p and 95 % interval."""
+    free, reach = F.col("n").cast("double") - 2, tails.t975(F.col("n").cast("double") - 2) * F.col("se")
+    out = fit.withColumn("p", tails.t_p2(F.col("slope") / F.col("se"), free)).withColumn("lo", F.col("slope") - reach).withColumn("hi", F.col("slope") + reach)
+    return rounded(out, [*EM, "n"], "slope", "se", "p", "lo", "hi")
+
+
+@register("ols_trend_test", sql("ls", OLS + " SELECT entity_id, metric, CAST(n AS BIGINT) AS n, " + TREND_P + " FROM q"))
+def _(spark, d):
+    return tested_trend(line_trend(spark, d)[1])
+
+
+@register("ols_trend_last30", sql("ls", OLS.replace("FROM ls", "FROM (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY entity_id, metric ORDER BY day DESC) <= 30)", 1) + " SELECT entity_id, metric, CAST(n AS BIGINT) AS n, " + TREND_P + " FROM q"))
+def _(spark, d):
+    """The same over the last 30 days of each series."""
+    return tested_trend(line_trend(spark, d, last=30)[1])
+
+
 @register("prediction_band", sql("ls", OLS + " SELECT entity_id, metric, " + ", ".join([R("intercept + slope*25", "pred"), R(f"intercept + slope*25 - {C.Z975}e0*rs*sqrt(1 + 1.0e0/n + (25-xbar)*(25-xbar)/sxx)", "lo")]) + " FROM q"))
 def _(spark, d):
     return rounded(T.prediction_band(line_trend(spark, d)[1], F.lit(25.0)), EM, "pred", "lo")

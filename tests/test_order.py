@@ -95,3 +95,24 @@ def test_trees_are_whole_and_samples_bounded(spark):
     assert again.sort_values(key).reset_index(drop=True).equals(nodes.sort_values(key).reset_index(drop=True))
     flagged = forest.isolation_forest(df, ["x", "y"], trees=20, sample=64).agg(F.count_if("forest_anomaly").alias("n"), F.min("forest_score").alias("lo"), F.max("forest_score").alias("hi")).first()
     assert 0 < flagged.n <= 90 and (flagged.lo, flagged.hi) == (0.0, 1.0)
+
+
+def test_exact_rank_sums_with_ties():
+    """The dynamic programme against every choice of rows."""
+    from itertools import combinations
+
+    from nightloom.functions.tails import rank_sum_exact_p
+
+    r = random.Random(4)
+    for _ in range(20):
+        n = r.randint(2, 9)
+        values = sorted(r.randint(0, 4) for _ in range(n))
+        n1 = r.randint(1, n - 1)
+        groups = sorted(set(values))
+        ties = [values.count(v) for v in groups]
+        doubled = [2 * values.index(v) + t + 1 for v, t in zip(groups, ties)]
+        rank = [doubled[groups.index(v)] for v in values]
+        sums = [sum(rank[i] for i in pick) for pick in combinations(range(n), n1)]
+        observed = r.choice(sums)
+        want = np.mean([abs(s - n1 * (n + 1)) >= abs(observed - n1 * (n + 1)) for s in sums])
+        assert rank_sum_exact_p(ties, doubled, n1, observed) == pytest.approx(want)
