@@ -103,6 +103,53 @@ def block_bootstrap(signals: DataFrame, by: Sequence[str], block: int = 7, reps:
     return _interval(_replicates(g.where(F.size("_a") > block), by, reps, stat), by, "stat", level)
 
 
+#: What a path x -> m -> y is described by: m on x, y on m beside x, y on x, y on x beside m, and a * b.
+PATH_TERMS = ("a", "b", "c", "c_prime", "indirect")
+
+
+def path_terms(gram: np.ndarray, n: int, x: int, m: int, y: int) -> np.ndarray:
+    """PATH_TERMS of each replicate from its Gram matrix of (1, columns); undefined ones are NaN."""
+    cov = lambda i, j: gram[:, i + 1, j + 1] - gram[:, 0, i + 1] * gram[:, 0, j + 1] / n
+    vx, vm, xm, xy, my = cov(x, x), cov(m, m), cov(x, m), cov(x, y), cov(m, y)
+    det = vx * vm - xm * xm
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, c = xm / vx, xy / vx
+        b, rest = (my * vx - xy * xm) / det, (xy * vm - my * xm) / det
+    return np.stack([a, b, c, rest, a * b], axis=1)
+
+
+def bootstrap_paths(daily: DataFrame, paths: Sequence[tuple[str, str, str]], by: Sequence[str], reps: int = 1000, level: float = 0.95, seed: int = 42, day: str = "day") -> DataFrame:
+    """by, path, term, ci_lo, ci_hi, p for the terms of several paths x -> m -> y, all from the same draws of days.
+
+    A replicate is a weight for each day, and a weighted Gram matrix of all columns gives every path's terms: slopes,
+    both effects and the indirect one.  Days without a value in any column go.  p is twice the smaller share of replicates on one side of 0.
+    """
+    by = list(by)
+    columns = sorted({c for p in paths for c in p})
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    rows = F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), *[F.col(c).cast("double").alias(c) for c in columns])))
+    part = lambda c: F.transform("_r", lambda r: r[c]).alias(c)
+    series = daily.where(whole).groupBy(*by).agg(rows.alias("_r")).where(F.size("_r") > 2).select(*by, *[part(c) for c in columns])
+
+    def stat(numbers: np.ndarray, *values: np.ndarray) -> np.ndarray:
+        n = len(values[0])
+        x = np.stack([np.ones(n), *(v - v.mean() for v in values)], axis=1)
+        picked = draws(numbers, np.arange(n), seed) % n
+        weight = np.stack([np.bincount(p, minlength=n) for p in picked]).astype(float)
+        gram = (weight @ (x[:, :, None] * x[:, None, :]).reshape(n, -1)).reshape(len(numbers), x.shape[1], x.shape[1])
+        return np.concatenate([path_terms(gram, n, *(columns.index(c) for c in p)) for p in paths], axis=1)
+
+    values = _replicates(series, by, reps, stat, "array<double>")
+    names = F.array(*[F.struct(F.lit("->".join(p)).alias("path"), F.lit(t).alias("term")) for p in paths for t in PATH_TERMS])
+    long = values.select(*by, F.inline(F.arrays_zip(names.alias("what"), F.col("stat")))).where(~F.isnan("stat"))
+    ends = long.groupBy(*by, F.col("what.path").alias("path"), F.col("what.term").alias("term"))
+    a = (1 - level) / 2
+    sides = F.least(F.avg((F.col("stat") <= 0).cast("double")), F.avg((F.col("stat") >= 0).cast("double")))
+    return ends.agg(F.percentile("stat", F.lit(a)).alias("ci_lo"), F.percentile("stat", F.lit(1 - a)).alias("ci_hi"), F.least(2 * sides, F.lit(1.0)).alias("p"))
+
+
 def bootstrap_stat(signals: DataFrame, by: Sequence[str], stat: Callable[[Column], Column], reps: int = 1000, level: float = 0.95, seed: int = 42, value: str = "value", day: str = "day") -> DataFrame:
     """Interval of any aggregate Column, e.g. ``F.median``: draws become rows of (series, replicate)."""
     g = signals.groupBy(*by).agg(_ordered(value, day, F.lit(True)).alias("_a"))

@@ -259,6 +259,30 @@ def _(spark, d):
     return rounded(C.mediation(A.line_daily(spark, d), "qty", "price", "tax", ["entity_id"]), ["entity_id", "n"], "a", "c", "b", "c_prime", "indirect")
 
 
+PATHS = (("qty", "price", "tax"), ("disc", "price", "qty"), ("tax", "qty", "price"), ("t", "qty", "price"))
+
+
+def _paths_sql() -> str:
+    cols = sorted({c for p in PATHS for c in p})
+    terms = {"a": "xm/vx", "b": "(my*vx - xy*xm)/(vx*vm - xm*xm)", "c": "xy/vx", "c_prime": "(xy*vm - my*xm)/(vx*vm - xm*xm)", "indirect": "xm/vx*(my*vx - xy*xm)/(vx*vm - xm*xm)"}
+    one = " UNION ALL ".join(
+        f"SELECT entity_id, rep, '{x}->{m}->{y}' AS path, var_samp({x}) AS vx, var_samp({m}) AS vm, covar_samp({x}, {m}) AS xm, covar_samp({x}, {y}) AS xy, covar_samp({m}, {y}) AS my FROM dr GROUP BY ALL" for x, m, y in PATHS
+    )
+    every = " UNION ALL ".join(f"SELECT entity_id, path, '{t}' AS term, {e} AS stat FROM g" for t, e in terms.items())
+    return f"""v AS (SELECT entity_id, {", ".join(c for c in cols if c != "t")}, date_diff('day', DATE '1992-01-01', day)/100.0e0 AS t, row_number() OVER (PARTITION BY entity_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM ld),
+    d AS (SELECT entity_id, rep, {RS.draw_sql('rep', 'i', 42)} % n AS i FROM v, (SELECT unnest(range(1000)) AS rep)),
+    dr AS MATERIALIZED (SELECT entity_id, rep, {", ".join(cols)} FROM d JOIN v USING (entity_id, i)),
+    g AS MATERIALIZED ({one}), e AS ({every})
+    SELECT entity_id, path, term, """ + ", ".join([R("quantile_cont(stat, 0.025)", "ci_lo"), R("quantile_cont(stat, 0.975)", "ci_hi"), R("least(2*least(avg((stat <= 0)::INT), avg((stat >= 0)::INT)), 1)", "p")]) + " FROM e GROUP BY ALL"
+
+
+@register("mediation_paths", sql("ld", _paths_sql()))
+def _(spark, d):
+    """Four pathways with intervals and p of every term, the plain slope on time among them."""
+    line = A.line_daily(spark, d).withColumn("t", F.datediff("day", F.lit(date(1992, 1, 1))) / F.lit(100.0))
+    return rounded(RS.bootstrap_paths(line, PATHS, ["entity_id"]), ["entity_id", "path", "term"], "ci_lo", "ci_hi", "p")
+
+
 # --- trends ------------------------------------------------------------------
 
 OLS = """x AS (SELECT entity_id, metric, value AS y, date_diff('day', min(day) OVER (PARTITION BY entity_id, metric), day) / 100.0e0 AS t FROM ls),
