@@ -121,32 +121,74 @@ def matrix_profile(df: DataFrame, value: str, by: Sequence[str], m: int, order:
 
 # --- reconstruction ----------------------------------------------------------
 
+def summed_outer(rows: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
+    """(by, n, sums, gram) of the vectors of each group: tasks add up outer products, Spark adds up the tasks.
+
+    However many rows a group has, a task sends one matrix for it, and the result is one row.
+    """
+    by = list(by)
+    kinds = _types(rows, by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(by, sort=False, dropna=False):
+                x = np.stack(part[vector].to_numpy())
+                out.append((*key, float(len(x)), np.concatenate([x.sum(axis=0), (x.T @ x).ravel()])))
+            if out:
+                yield pd.DataFrame(out, columns=[*by, "n", "cells"])
+
+    parts = rows.select(*by, vector).mapInPandas(run, f"{kinds}, n double, cells array<double>")
+    each = parts.select(*by, "n", F.posexplode("cells").alias("at", "cell")).groupBy(*by, "at").agg(F.sum("n").alias("n"), F.sum("cell").alias("cell"))
+    return each.groupBy(*by).agg(F.max("n").cast("bigint").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("at", "cell"))), lambda c: c["cell"]).alias("cells"))
+
+
+def window_basis(windows: DataFrame, by: Sequence[str], vector: str = "_win") -> DataFrame:
+    """(by, n, mean, sd, axes, variances): principal axes of standardized windows, largest variance first."""
+    moments = summed_outer(windows, by, vector)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                cells, n = np.asarray(r["cells"], dtype=float), r["n"]
+                d = round((math.sqrt(1 + 4 * len(cells)) - 1) / 2)
+                mean = cells[:d] / n
+                cov = cells[d:].reshape(d, d) / n - np.outer(mean, mean)
+                sd = np.sqrt(np.maximum(np.diag(cov), 0))
+                sd = np.where(sd > 1e-9 * (1 + np.abs(mean)), sd, 1.0)
+                val, vec = np.linalg.eigh(cov / sd[:, None] / sd[None, :])
+                out.append((*[r[c] for c in by], n, mean, sd, list(vec.T[::-1]), val[::-1]))
+            yield pd.DataFrame(out, columns=[*by, "n", "mean", "sd", "axes", "variances"])
+
+    return moments.mapInPandas(fit, f"{_types(moments, list(by))}, n bigint, mean array<double>, sd array<double>, axes array<array<double>>, variances array<double>")
+
+
+def windows_of(wide: DataFrame, columns: Sequence[str], train: Column, by: Sequence[str], day: str, width: int) -> DataFrame:
+    """(by, day, _win, trained): the cells of each ``width`` rows, and whether all of them are training rows."""
+    frame = Window.partitionBy(*by).orderBy(day).rowsBetween(-(width - 1), 0)
+    cells = F.array(*[F.col(c).cast("double") for c in columns])
+    d = wide.na.drop(subset=list(columns)).withColumn("_win", F.flatten(F.collect_list(cells).over(frame))).withColumn("_train", F.min(train.cast("int")).over(frame))
+    return d.where(F.size("_win") == width * len(columns)).select(*by, day, "_win", (F.col("_train") == 1).alias("trained"))
+
+
 def window_reconstruction(wide: DataFrame, columns: Sequence[str], train: Column, by: Sequence[str] = ("entity_id",), day: str = "day", width: int = 7, k: int = 4, sigmas: float = 2.0) -> DataFrame:
     """Squared error of each 7-row window after projection on the leading components of the training windows.
 
-    Windows are built in Spark; the small basis is fitted per entity.
+    The basis comes from summed outer products of the training windows; every window is then scored where it is, as the
+    axes are orthonormal: what is left of a window is its length less its projections.  A group with ``k`` training
+    windows or fewer has no basis: its errors are NULL and its status is ``too_few``.
     """
-    by, columns = list(by), list(columns)
-    w = Window.partitionBy(*by).orderBy(day)
-    frame = w.rowsBetween(-(width - 1), 0)
-    cells = F.array(*[F.col(c).cast("double") for c in columns])
-    d = wide.na.drop(subset=columns).withColumn("_win", F.flatten(F.collect_list(cells).over(frame))).withColumn("_train", F.min(train.cast("int")).over(frame))
-    d = d.where(F.size("_win") == width * len(columns)).select(*by, day, "_win", "_train")
-    kinds = dict(d.dtypes)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["_win"].to_numpy())
-        on = pdf["_train"].to_numpy() == 1
-        base = x[on] if on.sum() > k else x
-        mu, sd = base.mean(axis=0), base.std(axis=0)
-        sd = np.where(sd > 0, sd, 1.0)
-        z = (x - mu) / sd
-        _, vec = np.linalg.eigh(np.cov((base - mu) / sd, rowvar=False))
-        top = vec[:, -k:]
-        return pd.DataFrame({**{c: pdf[c] for c in by}, day: pdf[day], "error": ((z - z @ top @ top.T) ** 2).mean(axis=1), "trained": on})
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, day]) + ", error double, trained boolean"
-    out = d.groupBy(*by).applyInPandas(fit, schema)
+    by = list(by)
+    d = windows_of(wide, columns, train, by, day, width)
+    basis = window_basis(d.where("trained"), by)
+    j = d.join(basis, by, "left").withColumn("status", F.when(F.col("n") > k, "ok").otherwise("too_few"))
+    z = F.transform("_win", lambda x, i: (x - F.get("mean", i)) / F.get("sd", i))
+    j = j.withColumn("_z", F.when(F.col("status") == "ok", z))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    taken = F.aggregate(F.slice("axes", 1, k), F.lit(0.0), lambda t, v: t + F.pow(dot(F.col("_z"), v), F.lit(2.0)))
+    left = F.greatest(dot(F.col("_z"), F.col("_z")) - taken, F.lit(0.0)) / F.size("_z")
+    out = j.select(*by, day, F.when(F.col("status") == "ok", left).alias("error"), "trained", "status")
     e = F.when(F.col("trained"), F.col("error"))
     p = Window.partitionBy(*by)
     return out.withColumn("threshold", F.avg(e).over(p) + sigmas * F.stddev_pop(e).over(p)).withColumn("anomaly", F.col("error") > F.col("threshold"))
@@ -176,7 +218,7 @@ def cluster_profiles(labelled: DataFrame, wide: DataFrame, columns: Sequence[str
 
 
 def principal_axes(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("entity_id",), k: int = 2) -> DataFrame:
-    """Loadings and explained share of the first k components per entity.
+    """Loadings, explained share and variance of the first k components per entity.
 
     The covariance is a combining aggregate over any number of rows; only the
     small matrix (one row per entity) is decomposed.
@@ -198,10 +240,10 @@ def principal_axes(wide: DataFrame, columns: Sequence[str], by: Sequence[str] =
                     v = vec[:, -1 - a]
                     v = v * (1 if v[np.argmax(np.abs(v))] > 0 else -1)
                     for name, x in zip(columns, v):
-                        rows.append((*[getattr(r, b) for b in by], a + 1, name, float(x), float(val[-1 - a] / max(val.sum(), 1e-300))))
-            yield pd.DataFrame(rows, columns=[*by, "axis", "metric", "loading", "explained"])
+                        rows.append((*[getattr(r, b) for b in by], a + 1, name, float(x), float(val[-1 - a] / max(val.sum(), 1e-300)), float(val[-1 - a])))
+            yield pd.DataFrame(rows, columns=[*by, "axis", "metric", "loading", "explained", "variance"])
 
-    return g.where("n > 1").mapInPandas(run, f"{_types(g, by)}, axis int, metric string, loading double, explained double")
+    return g.where("n > 1").mapInPandas(run, f"{_types(g, by)}, axis int, metric string, loading double, explained double, variance double")
 
 
 # --- fingerprints ------------------------------------------------------------

@@ -116,9 +116,30 @@ def _(spark, d):
     return profiles(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
-@register("window_recon")
+@register("window_recon", sql("ld", "wr AS (SELECT entity_id, day, row_number() OVER (PARTITION BY entity_id ORDER BY day) AS i FROM ld) SELECT entity_id, day, day < DATE '1998-06-01' AS trained, 'ok' AS status, true AS measured FROM wr WHERE i >= 7"))
 def _(spark, d):
-    return AN.window_reconstruction(A.line_daily(spark, d), LM, F.col("day") < F.lit(CUT))
+    """Which windows are training ones and measured; their errors are checked by window_identities."""
+    w = AN.window_reconstruction(A.line_daily(spark, d), LM, F.col("day") < F.lit(CUT))
+    return w.select("entity_id", "day", "trained", "status", (F.col("error") >= 0).alias("measured"))
+
+
+CELLS = ", ".join(f"lag({m}, {k}) OVER w AS {m}_{k}" for k in range(7) for m in LM)
+CELL_NAMES = [f"{m}_{k}" for k in range(7) for m in LM]
+
+
+@register("window_identities", sql("ld", f"wn AS (SELECT entity_id, day, {CELLS} FROM ld WINDOW w AS (PARTITION BY entity_id ORDER BY day)), wt AS (SELECT * FROM wn WHERE day < DATE '1998-06-01' AND {LM[0]}_6 IS NOT NULL), "
+    "cc AS (SELECT entity_id, count(*) AS n_train, " + " + ".join(f"pow(corr({a}, {b}), 2)" for x, a in enumerate(CELL_NAMES) for b in CELL_NAMES[x + 1:]) + " AS half FROM wt GROUP BY entity_id) "
+    f"SELECT entity_id, n_train, {len(CELL_NAMES)}.0e0 AS trace, " + R(f"2*half + {len(CELL_NAMES)}", "squares", 5) + f", {len(CELL_NAMES)}.0e0 AS kept_and_left FROM cc"))
+def _(spark, d):
+    """The variances of all axes add up to the number of cells, their squares to those of all correlations; and what the
+    leading axes keep and the mean training error leaves is the whole."""
+    line, train = A.line_daily(spark, d), F.col("day") < F.lit(CUT)
+    basis = AN.window_basis(AN.windows_of(line, LM, train, ["entity_id"], "day", 7).where("trained"), ["entity_id"])
+    left = AN.window_reconstruction(line, LM, train).where("trained").groupBy("entity_id").agg(F.avg("error").alias("left"))
+    total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda t, x: t + f(x))
+    j = basis.join(left, "entity_id")
+    kept = total(F.slice("variances", 1, 4)) + F.col("left") * F.size("variances")
+    return j.select("entity_id", F.col("n").alias("n_train"), r6(total("variances")).alias("trace"), r6(total("variances", lambda x: x * x), 5).alias("squares"), r6(kept).alias("kept_and_left"))
 
 
 @register("night_features", sql("ev", "SELECT entity_id, day, count(*) AS length, " + ", ".join([R("sum(value)", "sum"), R("median(value)", "median"), R("avg(value)", "mean"), R("stddev_pop(value)", "sd", 5), R("sqrt(avg(value*value))", "rms"), R("max(value)", "maximum"), R("min(value)", "minimum")]) + " FROM ev GROUP BY entity_id, day HAVING count(*) >= 2"))
@@ -186,9 +207,15 @@ def _(spark, d):
     return p.select("entity_id", "cluster", "n", *[r6(z).alias(z) for z in ZS], "leading")
 
 
-@register("principal_axes")
+@register("principal_axes", sql("ld", ZW + ", " + ANOM + ", cv AS (" + " UNION ALL ".join(f"SELECT entity_id, '{a}' AS metric_a, '{b}' AS metric_b, covar_samp({a}, {b}) AS cov FROM an GROUP BY entity_id HAVING count(*) > 1" for a in ZS for b in ZS)
+    + ") SELECT entity_id, metric_a, metric_b, " + R("cov", "cov") + " FROM cv"))
 def _(spark, d):
-    return AN.principal_axes(marked(spark, d), [AN.zcol(m) for m in LM])
+    """The covariance that all axes and their variances give back."""
+    axes = AN.principal_axes(marked(spark, d), ZS, k=len(ZS))
+    side = lambda s: axes.select("entity_id", "axis", F.col("metric").alias(f"metric_{s}"), F.col("loading").alias(s), "variance" if s == "a" else F.lit(1).alias("_"))
+    j = side("a").join(side("b"), ["entity_id", "axis"])
+    g = j.groupBy("entity_id", "metric_a", "metric_b").agg(F.sum(F.col("variance") * F.col("a") * F.col("b")).alias("cov"))
+    return rounded(g, ["entity_id", "metric_a", "metric_b"], "cov")
 
 
 @register("fingerprint", sql("ld", ZW + ", " + ANOM + ", f AS (" + " UNION ALL ".join(f"SELECT entity_id, '{m}' AS metric, count(*) AS n_days, avg(z_{m}) AS mz, avg(abs(z_{m})) AS ma FROM an GROUP BY entity_id" for m in LM)
