@@ -17,10 +17,10 @@ EPOCH_MINUTES = 5
 
 
 def slot_epochs(samples: DataFrame, period: Sequence[str], code: Column, tie: Sequence[str], ts: str = "ts", minutes: int = EPOCH_MINUTES) -> DataFrame:
-    """Last code of every 5-minute slot, numbered within the period."""
+    """Last code of every 5-minute slot; ``epoch_index`` counts slots from the period's first one, so holes keep their time."""
     slot = F.floor(epoch_us(ts) / F.lit(minutes * 60_000_000))
     s = samples.withColumn("_slot", slot).groupBy(*period, "_slot").agg(F.max_by(code, F.struct(*tie)).alias("phase"))
-    return s.withColumn("epoch_index", F.row_number().over(Window.partitionBy(*period).orderBy("_slot")) - 1).drop("_slot")
+    return s.withColumn("epoch_index", (F.col("_slot") - F.min("_slot").over(Window.partitionBy(*period))).cast("int")).drop("_slot")
 
 
 def with_previous(epochs: DataFrame, period: Sequence[str]) -> DataFrame:
@@ -85,7 +85,7 @@ def sleep_cycles(epochs: DataFrame, period: Sequence[str]) -> DataFrame:
 
     A cycle closes on the first epoch after REM that is not REM, so closings are
     found with ``lag`` and numbered with a running sum; a cycle starts at the
-    first sleeping epoch of its stretch.
+    first sleeping epoch of its stretch and lasts until its last REM epoch ends.
     """
     w = Window.partitionBy(*period).orderBy("epoch_index")
     d = with_previous(epochs, period)

@@ -1,10 +1,12 @@
-"""Periodograms from combining sums: a sample is listed once per frequency of a fixed grid."""
+"""Periodograms: irregular samples by combining sums on a fixed grid of frequencies, regular periods by one transform each."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,20 +56,34 @@ def band_shares(spectrum: DataFrame, by: Sequence[str], split: tuple[float, floa
     return g.select(*by, *[(F.col(b) / total * 100).alias(f"{b}_pct") for b in ("vlf", "lf", "hf")], (F.col("lf") / F.nullif(F.col("hf"), F.lit(0.0))).alias("lf_hf"))
 
 
-def periodogram(df: DataFrame, value: str, by: Sequence[str], order: str, step_min: float = 5.0, low_min: float = 30.0, high_min: float = 180.0, min_n: int = 60) -> DataFrame:
-    """One-sided power of regular series at the Fourier frequencies whose period lies in [low, high] minutes."""
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).select(
-        *by, (F.col(value) - F.avg(value).over(w)).alias("_y"), (F.row_number().over(w.orderBy(order)) - 1).alias("_i"), F.count("*").over(w).alias("n")
-    ).where(F.col("n") >= min_n)
-    lo = F.greatest(F.ceil(F.col("n") * step_min / high_min), F.lit(1))
-    hi = F.least(F.floor(F.col("n") * step_min / low_min), F.floor(F.col("n") / 2))
-    d = d.where(lo <= hi).withColumn("k", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
-    ang = F.lit(TWO_PI) * F.pmod(F.col("k") * F.col("_i"), F.col("n")) / F.col("n")
-    g = d.groupBy(*by, "n", "k").agg(F.sum(F.col("_y") * F.cos(ang)).alias("re"), F.sum(F.col("_y") * F.sin(ang)).alias("im"))
-    two = F.when(F.col("k") * 2 == F.col("n"), 1.0).otherwise(2.0)
-    power = two * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) * (step_min * 60) / F.col("n")
-    return g.select(*by, "n", "k", (F.col("n") * step_min / F.col("k")).alias("period_min"), power.alias("power"))
+def periodogram(df: DataFrame, value: str, by: Sequence[str], index: str, step_min: float = 5.0, low_min: float = 30.0, high_min: float = 180.0, min_n: int = 10) -> DataFrame:
+    """One-sided power of every period at the Fourier frequencies whose period lies in [low, high] minutes.
+
+    ``index`` counts slots from the start of a period, so the grid is true to time; a slot without a value adds nothing
+    after centring.  A period's slots, which its duration bounds, travel as one array, and one transform gives all
+    frequencies: rows are linear in slots.
+    """
+    by = list(by)
+    cells = F.sort_array(F.collect_list(F.struct(F.col(index).cast("int").alias("i"), F.col(value).cast("double").alias("v"))))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by).agg(cells.alias("_c")).where(F.size("_c") >= min_n)
+    rows = rows.select(*by, F.transform("_c", lambda c: c["i"]).alias("_i"), F.transform("_c", lambda c: c["v"]).alias("_v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                at, v = np.asarray(r["_i"]), np.asarray(r["_v"], dtype=float)
+                n = int(at[-1]) + 1
+                grid = np.zeros(n)
+                grid[at] = v - v.mean()
+                k = np.arange(max(math.ceil(n * step_min / high_min), 1), min(math.floor(n * step_min / low_min), n // 2) + 1)
+                power = np.abs(np.fft.rfft(grid)[k]) ** 2 * np.where(2 * k == n, 1.0, 2.0) * (step_min * 60) / n
+                out.append(pd.DataFrame({**{c: [r[c]] * len(k) for c in by}, "n": n, "k": k, "period_min": n * step_min / k, "power": power}))
+            if out:
+                yield pd.concat(out)
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n bigint, k bigint, period_min double, power double")
 
 
 def top_peaks(spectrum: DataFrame, by: Sequence[str], k: int = 3) -> DataFrame:
@@ -82,7 +98,7 @@ def peak_summary(peaks: DataFrame, by: Sequence[str] = (), width: int = 5, k: in
     g = peaks.groupBy(*by, b.alias("period_bin")).agg(F.avg("power").alias("mean_power"), F.count("*").alias("n"))
     if not by:
         return g.orderBy(F.desc("mean_power"), "period_bin").limit(k)
-    w = Window.partitionBy(*by).orderBy(F.desc("mean_power"), "period_bin")
+    w = Window.partitionBy(*by).orderBy(F.round("mean_power", 6).desc(), "period_bin")
     return g.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
 
 

@@ -400,13 +400,14 @@ def _(spark, d):
     return N.rem_latency(A.epochs(spark, d), ["entity_id", "week_no"]).select("entity_id", "week_no", F.col("latency_min").cast("bigint").alias("latency_min"))
 
 
-@register("cycles", sql("ep", """m AS (SELECT entity_id, week_no, max(epoch_index) + 1 AS n FROM ep GROUP BY ALL),
-    st AS (SELECT entity_id, week_no, 0 AS i, CAST(NULL AS BIGINT) AS s, false AS rem, CAST(NULL AS BIGINT) AS done FROM m
+@register("cycles", sql("ep", """en AS (SELECT *, row_number() OVER (PARTITION BY entity_id, week_no ORDER BY epoch_index) - 1 AS "at" FROM ep),
+    m AS (SELECT entity_id, week_no, count(*) AS n FROM en GROUP BY ALL),
+    st AS (SELECT entity_id, week_no, 0 AS i, CAST(NULL AS BIGINT) AS s, false AS rem, CAST(NULL AS BIGINT) AS done, CAST(NULL AS BIGINT) AS pi FROM m
      UNION ALL SELECT t.entity_id, t.week_no, t.i + 1,
        CASE WHEN e.phase IN (1,2) AND (t.rem OR t.s IS NULL) THEN e.epoch_index WHEN e.phase = 3 THEN coalesce(t.s, e.epoch_index) WHEN e.phase = 4 AND t.rem THEN NULL ELSE t.s END,
-       CASE WHEN e.phase = 3 THEN true ELSE false END, CASE WHEN e.phase <> 3 AND t.rem THEN (e.epoch_index - t.s)*5 END
-     FROM st t JOIN ep e ON e.entity_id = t.entity_id AND e.week_no = t.week_no AND e.epoch_index = t.i),
-    fin AS (SELECT entity_id, week_no, done FROM st WHERE done IS NOT NULL UNION ALL SELECT st.entity_id, st.week_no, (n - s)*5 FROM st JOIN m ON m.entity_id = st.entity_id AND m.week_no = st.week_no AND st.i = m.n WHERE rem)
+       CASE WHEN e.phase = 3 THEN true ELSE false END, CASE WHEN e.phase <> 3 AND t.rem THEN (t.pi + 1 - t.s)*5 END, e.epoch_index
+     FROM st t JOIN en e ON e.entity_id = t.entity_id AND e.week_no = t.week_no AND e."at" = t.i),
+    fin AS (SELECT entity_id, week_no, done FROM st WHERE done IS NOT NULL UNION ALL SELECT st.entity_id, st.week_no, (pi + 1 - s)*5 FROM st JOIN m ON m.entity_id = st.entity_id AND m.week_no = st.week_no AND st.i = m.n WHERE rem)
     SELECT entity_id, week_no, count(*) AS cycle_count, CAST(sum(done) AS BIGINT) AS total_min FROM fin GROUP BY ALL""", recursive=True))
 def _(spark, d):
     c = N.sleep_cycles(A.epochs(spark, d), ["entity_id", "week_no"])

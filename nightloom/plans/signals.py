@@ -192,38 +192,43 @@ def _(spark, d):
     return rounded(P.band_shares(lomb(spark, d), ["entity_id"]), ["entity_id"], "vlf_pct", "lf_pct", "hf_pct", "lf_hf", digits=4)
 
 
-PER = f"""e0 AS (SELECT entity_id, CASE phase WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS depth, week_no*10000 + epoch_index AS o FROM ep),
-    y AS (SELECT entity_id, depth - avg(depth) OVER (PARTITION BY entity_id) AS y, row_number() OVER (PARTITION BY entity_id ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM e0),
-    k AS (SELECT *, unnest(range(CAST(greatest(ceil(n*5/180.0e0), 1) AS BIGINT), CAST(floor(n*5/30.0e0) AS BIGINT) + 1)) AS k FROM y WHERE n >= 60),
-    g AS (SELECT entity_id, n, k, sum(y*cos({2 * math.pi!r}e0*((k*i) % n)/n)) AS re, sum(y*sin({2 * math.pi!r}e0*((k*i) % n)/n)) AS im FROM k GROUP BY ALL),
-    pw AS (SELECT entity_id, n, k, n*5.0e0/k AS period_min, 2*(re*re+im*im)*300/n AS power FROM g)"""
+NIGHT = ["entity_id", "week_no"]
+PER = f"""y AS (SELECT entity_id, week_no, epoch_index AS i, (CASE phase WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END) - avg(CASE phase WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END) OVER w AS y,
+      max(epoch_index) OVER w + 1 AS n, count(*) OVER w AS c FROM ep WINDOW w AS (PARTITION BY entity_id, week_no)),
+    k AS (SELECT *, unnest(range(CAST(greatest(ceil(n*5/180.0e0), 1) AS BIGINT), CAST(least(floor(n*5/30.0e0), n//2) AS BIGINT) + 1)) AS k FROM y WHERE c >= 10),
+    g AS (SELECT entity_id, week_no, n, k, sum(y*cos({2 * math.pi!r}e0*((k*i) % n)/n)) AS re, sum(y*sin({2 * math.pi!r}e0*((k*i) % n)/n)) AS im FROM k GROUP BY ALL),
+    pw AS (SELECT entity_id, week_no, n, k, n*5.0e0/k AS period_min, CASE WHEN 2*k = n THEN 1 ELSE 2 END*(re*re+im*im)*300/n AS power FROM g)"""
+PEAKS = """t AS (SELECT *, row_number() OVER (PARTITION BY entity_id, week_no ORDER BY round(power, 6) DESC, k) AS place FROM pw WHERE power > 0)"""
 
 
 def depth_spectrum(spark, d):
-    ep = A.epochs(spark, d).withColumn("depth", S.depth_signal("phase")).withColumn("o", F.col("week_no") * 10000 + F.col("epoch_index"))
-    return P.periodogram(ep, "depth", ["entity_id"], "o")
+    """Every week of every entity on its own grid of 5-minute slots."""
+    return P.periodogram(A.epochs(spark, d).withColumn("depth", S.depth_signal("phase")), "depth", NIGHT, "epoch_index")
 
 
-@register("periodogram", sql("ep", PER + " SELECT entity_id, k, " + R("period_min", "period_min") + ", " + R("power", "power", 4) + " FROM pw"))
+@register("periodogram", sql("ep", PER + " SELECT entity_id, week_no, k, " + R("period_min", "period_min") + ", " + R("power", "power", 4) + " FROM pw"))
 def _(spark, d):
-    return depth_spectrum(spark, d).select("entity_id", "k", r6("period_min").alias("period_min"), r6("power", 4).alias("power"))
+    return depth_spectrum(spark, d).select(*NIGHT, "k", r6("period_min").alias("period_min"), r6("power", 4).alias("power"))
 
 
-@register("ultradian_peaks", sql("ep", PER + """, t AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(power, 6) DESC, k) AS place FROM pw WHERE power > 0)
-    SELECT entity_id, k, CAST(place AS INTEGER) AS place FROM t WHERE place <= 3"""))
+@register("ultradian_peaks", sql("ep", PER + ", " + PEAKS + " SELECT entity_id, week_no, k, CAST(place AS INTEGER) AS place FROM t WHERE place <= 3"))
 def _(spark, d):
-    return P.top_peaks(depth_spectrum(spark, d), ["entity_id"]).select("entity_id", "k", "place")
+    return P.top_peaks(depth_spectrum(spark, d), NIGHT).select(*NIGHT, "k", "place")
 
 
-@register("peak_summary")
+@register("peak_summary", sql("ep", PER + ", " + PEAKS + """, b AS (SELECT entity_id, CAST(round_even(round(period_min, 1)/5, 0)*5 AS INTEGER) AS period_bin, avg(power) AS mean_power, count(*) AS n FROM t WHERE place <= 3 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(mean_power, 6) DESC, period_bin) AS place FROM b)
+    SELECT entity_id, period_bin, """ + R("mean_power", "mean_power", 4) + ", n FROM r WHERE place <= 5"))
 def _(spark, d):
-    return P.peak_summary(P.top_peaks(depth_spectrum(spark, d), ["entity_id"]))
+    """Strongest periods of each entity over its weeks."""
+    s = P.peak_summary(P.top_peaks(depth_spectrum(spark, d), NIGHT), ["entity_id"])
+    return s.select("entity_id", "period_bin", r6("mean_power", 4).alias("mean_power"), "n")
 
 
-@register("spectral_entropy", sql("ep", PER + """, p AS (SELECT *, power/sum(power) OVER (PARTITION BY entity_id) AS p FROM pw WHERE power > 0)
-    SELECT entity_id, count(*) AS n_bins, """ + R("-sum(p*log2(p))/log2(count(*))", "spectral_entropy") + " FROM p GROUP BY 1"))
+@register("spectral_entropy", sql("ep", PER + """, p AS (SELECT *, power/sum(power) OVER (PARTITION BY entity_id, week_no) AS p FROM pw WHERE power > 1e-9)
+    SELECT entity_id, week_no, count(*) AS n_bins, """ + R("-sum(p*log2(p))/log2(count(*))", "spectral_entropy") + " FROM p GROUP BY ALL HAVING count(*) > 1"))
 def _(spark, d):
-    return rounded(P.spectral_entropy(depth_spectrum(spark, d), ["entity_id"]), ["entity_id", "n_bins"], "spectral_entropy")
+    return rounded(P.spectral_entropy(depth_spectrum(spark, d).where("power > 1e-9"), NIGHT), [*NIGHT, "n_bins"], "spectral_entropy")
 
 
 @register("lag_density", sql("ls", """p AS (SELECT entity_id, metric, value AS x, lead(value) OVER (PARTITION BY entity_id, metric ORDER BY day) AS y FROM ls)

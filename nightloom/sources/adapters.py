@@ -139,7 +139,7 @@ def epochs(spark: SparkSession, folder: str) -> DataFrame:
     return slot_epochs(ev, ["entity_id", "week_no"], code_label("metric", PHASE_OF_METRIC).cast("int"), ["ts", "event_id"])
 
 
-SQL_VIEWS["ep"] = """SELECT entity_id, week_no, phase, row_number() OVER (PARTITION BY entity_id, week_no ORDER BY slot) - 1 AS epoch_index FROM (
+SQL_VIEWS["ep"] = """SELECT entity_id, week_no, phase, slot - min(slot) OVER (PARTITION BY entity_id, week_no) AS epoch_index FROM (
     SELECT entity_id, CAST(floor(date_diff('day', DATE '1970-01-01', day)/7.0) AS BIGINT) AS week_no,
         CAST(floor(epoch_us(ts)/300000000.0) AS BIGINT) AS slot,
         arg_max(CASE metric WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END, (ts, event_id)) AS phase
