@@ -273,20 +273,29 @@ def _(spark, d):
     return AN.known_event_check(line, ev, "qty", ["entity_id"], 1, 5.0).select("entity_id", "other_day", "confirmed")
 
 
-METHOD_SQL = """sc AS (SELECT entity_id, day, 'spc' AS method, max(least(abs((value-mu)/sigma)/3, 1.5)) AS score FROM sp GROUP BY ALL
-    UNION ALL SELECT entity_id, day, 'reconstruction', greatest(abs(qty-25)/25, abs(price-38)/60) FROM ld UNION ALL SELECT entity_id, day, 'reconstruction', abs(tax-4)/4 FROM ld WHERE tax > 5)"""
+METHOD_SQL = FOREST + ", " + PROFILE.replace(", pr AS (", ", unused AS (") + ", mp AS (" + " UNION ALL ".join(
+    f"""SELECT split_part(p.entity_id, ':', 1) AS entity_id, x.day, CASE WHEN max(sqrt(d2)) OVER k > min(sqrt(d2)) OVER k THEN (sqrt(d2) - min(sqrt(d2)) OVER k)/(max(sqrt(d2)) OVER k - min(sqrt(d2)) OVER k) ELSE 0 END AS score
+      FROM p{m} p JOIN x ON x.entity_id = p.entity_id AND x.i = p.i WINDOW k AS (PARTITION BY p.entity_id)""" for m in WINDOWS
+) + """), sc AS (SELECT entity_id, day, 'spc' AS method, round(max(least(abs((value-mu)/sigma)/3, 1.5)), 5) AS score FROM sp GROUP BY ALL
+    UNION ALL SELECT entity_id, day, 'matrix_profile', round(score, 5) FROM mp UNION ALL SELECT entity_id, day, 'isolation_forest', round(forest_score, 5) FROM fo)"""
+
+
+def profile_scores(spark, d):
+    """Discord score of every day, window and metric."""
+    sig = A.line_signals(spark, d)
+    parts = [AN.matrix_profile(sig, "value", EM, m).select("entity_id", "day", "score", F.lit("matrix_profile").alias("method")) for m in WINDOWS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def method_scores(spark, d):
-    line = A.line_daily(spark, d)
+    """Scores of the control charts, the discords and the forest."""
     s = spc.daily_score(spc.shewhart(A.line_signals(spark, d), "value", EM)).withColumn("method", F.lit("spc"))
-    a = line.select("entity_id", "day", F.greatest(F.abs(F.col("qty") - 25) / 25, F.abs(F.col("price") - 38) / 60).alias("score"), F.lit("reconstruction").alias("method"))
-    b = line.where("tax > 5").select("entity_id", "day", (F.abs(F.col("tax") - 4) / 4).alias("score"), F.lit("reconstruction").alias("method"))
-    return s.unionByName(a).unionByName(b)
+    forest = FR.isolation_forest(A.line_daily(spark, d), LM).select("entity_id", "day", F.col("forest_score").alias("score"), F.lit("isolation_forest").alias("method"))
+    return s.unionByName(profile_scores(spark, d)).unionByName(forest).withColumn("score", F.round("score", 5))
 
 
 @register("method_ensemble", sql("ls", SPC_BASE + ", " + METHOD_SQL + """, b AS (SELECT entity_id, day, method, max(score) AS score FROM sc GROUP BY ALL),
-    e AS (SELECT entity_id, day, sum(score*0.2e0)/sum(0.2e0) AS score FROM b GROUP BY ALL)
+    e AS (SELECT entity_id, day, sum(score*CASE method WHEN 'isolation_forest' THEN 0.25e0 ELSE 0.2e0 END)/sum(CASE method WHEN 'isolation_forest' THEN 0.25e0 ELSE 0.2e0 END) AS score FROM b GROUP BY ALL)
     SELECT entity_id, day, """ + R("score", "score", 9) + ", CAST(rank() OVER (PARTITION BY entity_id ORDER BY round(score, 9) DESC) AS INTEGER) AS rank, round(score, 9) >= quantile_cont(round(score, 9), 0.9) OVER (PARTITION BY entity_id) AS anomalous FROM e"))
 def _(spark, d):
     e = AN.method_ensemble(method_scores(spark, d)).withColumn("score", F.round("score", 9))
@@ -303,16 +312,10 @@ def _(spark, d):
 @register("five_method_ensemble")
 def _(spark, d):
     """All five detectors into one ranked score."""
-    line, sig = A.line_daily(spark, d), A.line_signals(spark, d)
-    mp = None
-    for m in (3, 5, 7):
-        part = AN.matrix_profile(line, "qty", ["entity_id"], m).select("entity_id", "day", "score", F.lit("matrix_profile").alias("method"))
-        mp = part if mp is None else mp.unionByName(part)
-    forest = FR.isolation_forest(line, LM).select("entity_id", "day", F.col("forest_score").alias("score"), F.lit("isolation_forest").alias("method"))
+    line = A.line_daily(spark, d)
     rec = AN.window_reconstruction(line, LM, F.col("day") < F.lit(CUT)).select("entity_id", "day", (F.col("error") / F.col("threshold")).alias("score"), F.lit("reconstruction").alias("method"))
-    chart = spc.daily_score(spc.shewhart(sig, "value", EM)).withColumn("method", F.lit("spc"))
-    night = DN.dbscan(line, LM, scale=True, eps=3.0).select("entity_id", "day", F.col("distance").alias("score"), F.lit("night_features").alias("method"))
-    scores = mp.unionByName(forest).unionByName(rec).unionByName(chart).unionByName(night)
+    night = DN.dbscan(line, LM, scale=True, eps=1.0).select("entity_id", "day", F.col("distance").alias("score"), F.lit("night_features").alias("method"))
+    scores = method_scores(spark, d).unionByName(rec).unionByName(night)
     return W.ensemble_rank(AN.method_ensemble(scores), "score", ["entity_id"])
 
 
