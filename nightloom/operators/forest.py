@@ -20,12 +20,15 @@ EULER = 0.5772156649015329
 CHUNK = 1000
 
 
+#: Multipliers of the parts of a hash, in order.
+MULTIPLIERS = (48271, 69621, 16807, 39373)
+
+
 def int_hash(*parts: Column) -> Column:
-    """A whole number in [0, PRIME) from whole numbers in [0, PRIME), by rounds of squaring."""
-    x = F.lit(20011).cast("long")
-    for p in (*parts, F.lit(7)):
-        x = (x * 48271 + p.cast("long") * 69621 + 1013904223) % PRIME
-        x = F.transform(F.array(x), lambda q: (q * q + 12345) % PRIME)[0]  # the lambda reads x once, however deep the rounds
+    """A whole number in [0, PRIME) from up to four whole numbers in [0, PRIME): a weighted sum, squared twice."""
+    x = sum((p.cast("long") * m for p, m in zip(parts, MULTIPLIERS)), F.lit(20011).cast("long")) % PRIME
+    for _ in range(2):
+        x = F.transform(F.array(x), lambda q: (q * q + 12345) % PRIME)[0]  # the lambda reads x once
     return x
 
 
@@ -35,6 +38,11 @@ def expected_path(n: Column) -> Column:
     return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(n - 1) + EULER) - 2 * (n - 1) / n)
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _rows(wide: DataFrame, columns: Sequence[str], by: Sequence[str], day: str) -> DataFrame:
     x = [F.col(c).cast("double") for c in columns]
     return wide.select(*by, day, F.array(*[F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c) for c in x]).alias("x"), F.pmod(F.unix_date(day), F.lit(PRIME)).cast("long").alias("_id"))
@@ -52,7 +60,8 @@ def grown_trees(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("e
     bar = F.when(F.col("_n") <= sample, F.lit(PRIME)).otherwise(F.floor(F.lit(PRIME * sample) / F.col("_n")))
     known = known.withColumn("_bar", bar)
     drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: int_hash(F.lit(seed), t, F.col("_id")) < F.col("_bar"))
-    s = known.select(*by, "x", F.explode(drawn).alias("tree")).repartition(*by, "tree")
+    # few bytes but much work: the number of partitions is given, so that they are not merged by size
+    s = known.repartition(_tasks(wide), *by, day).select(*by, "x", F.explode(drawn).alias("tree")).repartition(_tasks(wide), *by, "tree")
     s = s.select(*by, "tree", "x", F.lit(1).cast("long").alias("node"), F.lit(False).alias("done"), F.array().cast("array<struct<node:bigint,feature:int,cut:double,length:double>>").alias("trail"))
     d = len(columns)
     for level in range(limit + 1):
@@ -87,7 +96,6 @@ def isolation_forest(wide: DataFrame, columns: Sequence[str], by: Sequence[str]
     as 0; the score does not depend on the scale of a column.
     """
     by = list(by)
-    spark = wide.sparkSession
     # a leaf leads to itself, so that every walk takes the same number of steps
     cells = F.struct(
         "place", F.greatest("feature", F.lit(0)).alias("feature"), F.coalesce("cut", F.lit(float("inf"))).alias("cut"), F.coalesce("child", "place").alias("child"), "length"
@@ -99,7 +107,7 @@ def isolation_forest(wide: DataFrame, columns: Sequence[str], by: Sequence[str]
     # a forest goes to each chunk of its group's rows, so that a large group spreads over tasks
     copies = forests.join(facts, by).select(*by, "forest", F.least("_n", F.lit(sample)).alias("n"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     chunk = F.pmod(F.xxhash64(day), F.col("chunks")).cast("int").alias("chunk")
-    dealt = rows.join(facts, by).select(*by, day, "x", chunk).repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by, "chunk")
+    dealt = rows.join(facts, by).select(*by, day, "x", chunk).repartition(_tasks(wide), *by, "chunk")
     steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(max(sample, 2)))))
 
     def path(nodes: Column) -> Column:
@@ -125,9 +133,8 @@ def forest_sql(source: str, columns: Sequence[str], trees: int = 200, contaminat
     """The same forest replayed in SQL over ``source`` (entity_id, day, columns); ends in ``fo``."""
 
     def h(*parts: str) -> str:
-        x = "20011::BIGINT"
-        for p in (*parts, "7"):
-            x = f"(({x})*48271 + ({p})::BIGINT*69621 + 1013904223) % {PRIME}"
+        x = "(20011 + " + " + ".join(f"({p})::BIGINT*{m}" for p, m in zip(parts, MULTIPLIERS)) + f") % {PRIME}"
+        for _ in range(2):
             x = f"list_transform([{x}], lambda q: (q*q + 12345) % {PRIME})[1]"
         return x
 
