@@ -58,6 +58,7 @@ def before_after(signals: DataFrame, points: DataFrame, by: Sequence[str] = ("en
     return g.withColumn("delta", delta).withColumn("pct", F.coalesce(delta / F.nullif(F.abs("before_mean"), F.lit(0.0)) * 100, F.lit(0.0)))
 
 
+# An artifact lies within 3 days of a gap, a genuine shift beyond 14 with two metrics moved by 10 percent.
 def classify_points(shifts: DataFrame, distances: DataFrame, by: Sequence[str] = ("entity_id",), day: str = "day", artifact_days: int = 3, reach: int = 14) -> DataFrame:
     """Top mover per changepoint and its class: near a data gap, a clear shift far from gaps, or to be looked at."""
     g = shifts.groupBy(*by, day).agg(

@@ -229,6 +229,7 @@ def sample_entropy(df: DataFrame, value: str, by: Sequence[str], order: str = "d
     )
 
 
+# Low scales to 5, high ones from 11; limits 0.3, 0.5 and 0.8 of the patterns.
 def multiscale_pattern(mse: DataFrame, by: Sequence[str]) -> DataFrame:
     low, high = F.avg(F.when(F.col("scale") <= 5, F.col("sampen"))), F.avg(F.when(F.col("scale") > 10, F.col("sampen")))
     g = mse.groupBy(*by).agg(F.count("sampen").alias("n_scales"), low.alias("low_mean"), high.alias("high_mean"))

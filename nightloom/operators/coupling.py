@@ -93,6 +93,7 @@ def compare_correlations(df: DataFrame, key: Sequence[str], left: str, right: st
     return g.withColumn("z", F.when((F.col("n1") >= 4) & (F.col("n2") >= 4), (atanh(F.col("r1")) - atanh(F.col("r2"))) / se))
 
 
+# Limits of direction (0.15, p 0.10), strength (0.25, 0.4) and of a small sample (30).
 def coupling_label(df: DataFrame, r: str = "r", p: str = "p", n: str = "n") -> DataFrame:
     rr, size = F.col(r), F.abs(F.col(r))
     real = F.col(p) < 0.10

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_markup
 from ..operators import audit as AU
 from ..sources import adapters as A
-from .registry import R, register
+from .registry import ORACLES, R, register
 
 sql = A.sql
 
@@ -77,7 +77,8 @@ def _(spark, d):
     return AU.sanity_issues(AU.extract_claims(reports(spark, d))).groupBy("page_id", "issue").agg(F.count("*").alias("n"))
 
 
-@register("audit_summary")
+@register("audit_summary", f"""SELECT verdict AS finding, CAST(sum(n) AS BIGINT) AS n FROM ({ORACLES["claim_match"]}) GROUP BY 1
+    UNION ALL SELECT issue, CAST(sum(n) AS BIGINT) FROM ({ORACLES["sanity_issues"]}) GROUP BY 1 UNION ALL SELECT 'inconsistent_self_report', count(*) FROM ({ORACLES["claim_conflicts"]})""")
 def _(spark, d):
     rep = reports(spark, d)
     c = AU.extract_claims(rep)

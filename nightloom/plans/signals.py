@@ -113,7 +113,7 @@ def _(spark, d):
     return rounded(X.fluctuation(A.line_signals(spark, d), "value", EM, range(4, 17)), [*EM, "n_scales"], "alpha", digits=5)
 
 
-@register("dfa_long")
+@register("dfa_long", sql("ls", _dfa_sql(16, 65)))
 def _(spark, d):
     return rounded(X.fluctuation(A.line_signals(spark, d), "value", EM, range(16, 65)), [*EM, "n_scales"], "alpha", digits=5)
 
