@@ -83,14 +83,12 @@ def corr_matrix(daily: DataFrame, metrics: Sequence[str], by: Sequence[str], lag
     return pair_corr(lagged_long(daily, metrics, metrics, [lag], by), keys, method)
 
 
-def compare_correlations(df: DataFrame, key: Sequence[str], left: str, right: str, entity: str = "entity_id") -> DataFrame:
-    """Fisher r-to-z between two entities' correlations of the same pair."""
-    side = lambda e, name: F.max(F.when(F.col(entity) == e, F.col(name)))
-    g = df.where(F.col(entity).isin(left, right)).groupBy(*key).agg(
-        side(left, "r").alias("r1"), side(left, "n").alias("n1"), side(right, "r").alias("r2"), side(right, "n").alias("n2")
-    )
-    se = F.sqrt(1 / (F.col("n1") - 3) + 1 / (F.col("n2") - 3))
-    return g.withColumn("z", F.when((F.col("n1") >= 4) & (F.col("n2") >= 4), (atanh(F.col("r1")) - atanh(F.col("r2"))) / se))
+def compare_correlations(df: DataFrame, key: Sequence[str], pairs: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """Fisher r-to-z between the correlations of the entities of each pair (left_id, right_id), for every key."""
+    side = lambda name: df.select(F.col(entity).alias(f"{name}_id"), *key, F.col("r").alias(f"{name}_r"), F.col("n").alias(f"{name}_n"))
+    g = pairs.join(side("left"), "left_id").join(side("right"), ["right_id", *key])
+    se = F.sqrt(1 / (F.col("left_n") - 3) + 1 / (F.col("right_n") - 3))
+    return g.withColumn("z", F.when((F.col("left_n") >= 4) & (F.col("right_n") >= 4), (atanh(F.col("left_r")) - atanh(F.col("right_r"))) / se))
 
 
 # Limits of direction (0.15, p 0.10), strength (0.25, 0.4) and of a small sample (30).
@@ -134,13 +132,17 @@ def dose_response(daily: DataFrame, dose: str, response: str, by: Sequence[str],
     return bins, kruskal(d, by, "y", "bin")
 
 
-def convergence_gap(daily: DataFrame, left: str, right: str, value: str, k: int = 14, entity: str = "entity_id") -> DataFrame:
-    """Do two entities' series approach each other from their first to their last k rows?"""
+def convergence_gap(signals: DataFrame, pairs: DataFrame, k: int = 14, entity: str = "entity_id", value: str = "value") -> DataFrame:
+    """Do the series of the entities of a pair (left_id, right_id) approach each other from their first to their last k rows?"""
     from .windows import first_rows, last_rows
 
-    d = daily.where(F.col(entity).isin(left, right)).withColumn("_a", first_rows([entity], k)).withColumn("_b", last_rows([entity], k))
-    m = lambda e, flag: F.avg(F.when((F.col(entity) == e) & F.col(flag), F.col(value)))
-    g = d.agg((F.abs(m(left, "_a") - m(right, "_a"))).alias("gap_early"), (F.abs(m(left, "_b") - m(right, "_b"))).alias("gap_late"))
+    by = [entity, "metric"]
+    d = signals.withColumn("_a", first_rows(by, k)).withColumn("_b", last_rows(by, k))
+    ends = d.groupBy(*by).agg(F.avg(F.when(F.col("_a"), F.col(value))).alias("early"), F.avg(F.when(F.col("_b"), F.col(value))).alias("late"))
+    side = lambda name: ends.select(F.col(entity).alias(f"{name}_id"), "metric", F.col("early").alias(f"{name}_early"), F.col("late").alias(f"{name}_late"))
+    j = pairs.join(side("left"), "left_id").join(side("right"), ["right_id", "metric"])
+    gap = lambda at: F.abs(F.col(f"left_{at}") - F.col(f"right_{at}")).alias(f"gap_{at}")
+    g = j.select("left_id", "right_id", "metric", gap("early"), gap("late"))
     return g.withColumn("converging", F.col("gap_late") < F.col("gap_early"))
 
 

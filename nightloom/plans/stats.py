@@ -183,9 +183,11 @@ def _(spark, d):
     return rounded(C.lag_table(A.line_daily(spark, d), ["qty", "price"], ["disc", "tax"], [0, 1, 2]), ["entity_id", "x_name", "y_name", "lag", "n"], "r", "ci_lo", "ci_hi", "t")
 
 
-@register("ccf", sql("ld", _spearman_sql(_lag_pairs_sql(["qty"], ["disc"], range(-3, 4)), "entity_id, x_name, y_name, lag") + " SELECT entity_id, CAST(lag AS INTEGER) AS lag, n, " + R("r", "r") + " FROM co"))
+@register("ccf", sql("ld", _spearman_sql(_lag_pairs_sql(A.LINE_METRICS, A.LINE_METRICS, range(-3, 4)), "entity_id, x_name, y_name, lag") + " SELECT entity_id, x_name, y_name, CAST(lag AS INTEGER) AS lag, n, " + R("r", "r") + " FROM co"))
 def _(spark, d):
-    return rounded(C.lag_table(A.line_daily(spark, d), ["qty"], ["disc"], list(range(-3, 4))), ["entity_id", "lag", "n"], "r")
+    """Every ordered pair of metrics, three days back to three ahead."""
+    t = C.lag_table(A.line_daily(spark, d), A.LINE_METRICS, A.LINE_METRICS, list(range(-3, 4))).where("NOT (x_name = y_name AND lag = 0)")
+    return rounded(t, ["entity_id", "x_name", "y_name", "lag", "n"], "r")
 
 
 @register("corr_matrix", sql("ld", f"pr AS ({_lag_pairs_sql(A.LINE_METRICS, A.LINE_METRICS, [1])}) SELECT entity_id, x_name, y_name, count(*) AS n, " + R("corr(x, y)", "r") + " FROM pr WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL"))
@@ -204,12 +206,20 @@ def _(spark, d):
     return rounded(m.withColumn("p", p), ["entity_id", "x_name", "y_name", "lag", "n"], "r", "p")
 
 
-@register("fisher_compare", sql("ld", _spearman_sql(_lag_pairs_sql(["qty"], ["disc", "tax"], [0]), "entity_id, x_name, y_name") + f""", z AS (SELECT *, {FISHER} AS z FROM co)
-    SELECT a.x_name, a.y_name, """ + R("(a.z - b.z)/sqrt(1.0e0/(a.n-3) + 1.0e0/(b.n-3))", "z") + " FROM z a JOIN z b ON a.x_name = b.x_name AND a.y_name = b.y_name WHERE a.entity_id = 'A' AND b.entity_id = 'R'"))
+def entity_pairs(spark, d):
+    """Every two entities of the dense series, a table as small as the registry of entities."""
+    names = A.line_daily(spark, d).select("entity_id").distinct()
+    other = F.array_sort(F.collect_set("entity_id"))
+    lists = names.agg(other.alias("all"))
+    return lists.select(F.explode("all").alias("left_id"), "all").select("left_id", F.explode("all").alias("right_id")).where("left_id < right_id")
+
+
+@register("fisher_compare", sql("ld", _spearman_sql(_lag_pairs_sql(A.LINE_METRICS, A.LINE_METRICS, [0]), "entity_id, x_name, y_name") + f""", z AS (SELECT *, {FISHER} AS z FROM co)
+    SELECT a.entity_id AS left_id, b.entity_id AS right_id, a.x_name, a.y_name, """ + R("(a.z - b.z)/sqrt(1.0e0/(a.n-3) + 1.0e0/(b.n-3))", "z") + " FROM z a JOIN z b ON a.x_name = b.x_name AND a.y_name = b.y_name WHERE a.entity_id < b.entity_id"))
 def _(spark, d):
-    p = C.lagged_long(A.line_daily(spark, d), ["qty"], ["disc", "tax"], [0], ["entity_id"])
+    p = C.lagged_long(A.line_daily(spark, d), A.LINE_METRICS, A.LINE_METRICS, [0], ["entity_id"]).where("x_name <> y_name")
     co = C.pair_corr(p, ["entity_id", "x_name", "y_name"])
-    return rounded(C.compare_correlations(co, ["x_name", "y_name"], "A", "R"), ["x_name", "y_name"], "z")
+    return rounded(C.compare_correlations(co, ["x_name", "y_name"], entity_pairs(spark, d)), ["left_id", "right_id", "x_name", "y_name"], "z")
 
 
 @register("coupling_label", sql("ld", _spearman_sql(_lag_pairs_sql(["qty", "price"], ["disc", "tax"], [1]), "entity_id, x_name, y_name") + f""", p AS (SELECT *, {S.norm_p2_sql('(r*sqrt((n-2)/(1-r*r)))')} AS p FROM co)
@@ -246,11 +256,11 @@ def _(spark, d):
     return rounded(h, ["entity_id"], "h")
 
 
-@register("convergence_gap", sql("ld", """f AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY day) <= 14 AS a, row_number() OVER (PARTITION BY entity_id ORDER BY day DESC) <= 14 AS b FROM ld WHERE entity_id IN ('A','R')),
-    g AS (SELECT abs(avg(qty) FILTER (WHERE entity_id='A' AND a) - avg(qty) FILTER (WHERE entity_id='R' AND a)) AS e, abs(avg(qty) FILTER (WHERE entity_id='A' AND b) - avg(qty) FILTER (WHERE entity_id='R' AND b)) AS l FROM f)
-    SELECT """ + R("e", "gap_early") + ", " + R("l", "gap_late") + ", l < e AS converging FROM g"))
+@register("convergence_gap", sql("ls", """f AS (SELECT *, row_number() OVER (PARTITION BY entity_id, metric ORDER BY day) <= 14 AS a, row_number() OVER (PARTITION BY entity_id, metric ORDER BY day DESC) <= 14 AS b FROM ls),
+    g AS (SELECT entity_id, metric, avg(value) FILTER (WHERE a) AS e, avg(value) FILTER (WHERE b) AS l FROM f GROUP BY ALL)
+    SELECT x.entity_id AS left_id, y.entity_id AS right_id, x.metric, """ + R("abs(x.e - y.e)", "gap_early") + ", " + R("abs(x.l - y.l)", "gap_late") + ", abs(x.l - y.l) < abs(x.e - y.e) AS converging FROM g x JOIN g y ON x.metric = y.metric AND x.entity_id < y.entity_id"))
 def _(spark, d):
-    return rounded(C.convergence_gap(A.line_daily(spark, d), "A", "R", "qty"), ["converging"], "gap_early", "gap_late")
+    return rounded(C.convergence_gap(A.line_signals(spark, d), entity_pairs(spark, d)), ["left_id", "right_id", "metric", "converging"], "gap_early", "gap_late")
 
 
 @register("mediation", sql("ld", """g AS (SELECT entity_id, count(*) AS n, var_samp(qty) AS vx, var_samp(price) AS vm, covar_samp(qty, price) AS xm, covar_samp(qty, tax) AS xy, covar_samp(price, tax) AS my FROM ld GROUP BY 1)
