@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nightloom.operators import changepoint, complexity, density, forest, gaps, impact, resample, spc, spectral, trend
+from nightloom.operators import anomaly, changepoint, complexity, density, forest, gaps, impact, resample, spc, spectral, trend
 
 D0 = dt.date(2024, 1, 1)
 

@@ -102,9 +102,10 @@ def test_stream_sessions_over_batches(spark, folder):
 def test_chart_state_spans_batches(spark, folder):
     x = [10 + math.sin(i) for i in range(20)] + [14.0] * 10
     rows = [row(i, i * 60, v) for i, v in enumerate(x)]
-    write_files(spark, folder, [rows[:9], rows[9:17], rows[17:] + [row(99, 0, 500)]])
+    # the row of time 0 in the third file is behind the watermark; the last file moves the watermark past all rows
+    write_files(spark, folder, [rows[:9], rows[9:17], rows[17:] + [row(99, 0, 500)], [row(100, 10_000, 10.0)]])
     s = ingest.file_stream(spark, folder, files_per_trigger=1)
-    got = ingest.run_available(charts.control_chart(s, ["entity_id", "metric"]), "t-chart").orderBy("at_us").collect()
+    got = ingest.run_available(charts.control_chart(s, ["entity_id", "metric"], delay="1 hour"), "t-chart").orderBy("at_us").collect()
     mu = sum(x[:14]) / 14
     sd = (sum((v - mu) ** 2 for v in x[:14]) / 14) ** 0.5
     pos, want = 0.0, []
