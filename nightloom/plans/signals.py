@@ -59,18 +59,19 @@ def _(spark, d):
     return rounded(X.mutual_information(A.line_signals(spark, d), "value", flag, EM), EM, "mi", digits=9)
 
 
-def _te_sql() -> str:
+def _te_sql(where: str = "", plain: bool = False) -> str:
+    """Transfer entropies of the days that ``where`` leaves; ``plain`` without net flow."""
     ms = A.LINE_METRICS
     code = ", ".join("(" + " + ".join(f"({m} >= quantile_cont({m}, {q}) OVER w)::INT" for q in (.2, .4, .6, .8)) + f") AS q_{m}" for m in ms)
     past = ", ".join(f"lag(q_{m},1) OVER w + 5*lag(q_{m},2) OVER w + 25*lag(q_{m},3) OVER w AS p_{m}" for m in ms)
     pairs = " UNION ALL ".join(f"SELECT entity_id, '{x}' AS source, '{y}' AS target, q_{y} AS y, p_{y} AS yp, p_{x} AS xp FROM p WHERE p_{x} IS NOT NULL" for x in ms for y in ms if x != y)
     k = "entity_id, source, target"
-    return f"""q AS (SELECT entity_id, day, {code} FROM ld WINDOW w AS (PARTITION BY entity_id)),
+    return f"""q AS (SELECT entity_id, day, {code} FROM ld {where} WINDOW w AS (PARTITION BY entity_id)),
     p AS (SELECT *, {past} FROM q WINDOW w AS (PARTITION BY entity_id ORDER BY day)),
     c AS (SELECT {k}, y, yp, xp, CAST(count(*) AS DOUBLE) AS c FROM ({pairs}) GROUP BY ALL),
     t AS (SELECT {k}, c/sum(c) OVER (PARTITION BY {k}) * log2(c * sum(c) OVER (PARTITION BY {k}, yp) / (sum(c) OVER (PARTITION BY {k}, yp, xp) * sum(c) OVER (PARTITION BY {k}, y, yp))) AS t FROM c),
     e AS (SELECT {k}, greatest(sum(t), 0) AS te FROM t GROUP BY ALL)
-    SELECT a.entity_id, a.source, a.target, """ + R("a.te", "te") + ", " + R("a.te - b.te", "net") + " FROM e a JOIN e b ON a.entity_id = b.entity_id AND a.source = b.target AND a.target = b.source"
+    """ + ("SELECT * FROM e" if plain else """SELECT a.entity_id, a.source, a.target, """ + R("a.te", "te") + ", " + R("a.te - b.te", "net") + " FROM e a JOIN e b ON a.entity_id = b.entity_id AND a.source = b.target AND a.target = b.source")
 
 
 @register("transfer_entropy", sql("ld", _te_sql()))
@@ -79,14 +80,15 @@ def _(spark, d):
     return rounded(X.net_flow(te, ["entity_id"]), ["entity_id", "source", "target"], "te", "net")
 
 
-@register("transfer_change")
+@register("transfer_change", sql("ld", f"""SELECT entity_id, source, target, {R("f.te", "te")}, {R("p.te", "te_pre")}, {R("f.te - p.te", "diff")}
+    FROM (WITH {_te_sql(plain=True)}) f JOIN (WITH {_te_sql("WHERE day < DATE '1998-06-01'", plain=True)}) p USING (entity_id, source, target)"""))
 def _(spark, d):
     """Transfer entropy of the whole series, of the pre-event part, and their difference."""
     line, keys = A.line_daily(spark, d), ["entity_id", "source", "target"]
     full = X.transfer_entropy(line, A.LINE_METRICS, ["entity_id"])
     pre = X.transfer_entropy(line.where(F.col("day") < F.lit("1998-06-01").cast("date")), A.LINE_METRICS, ["entity_id"])
     j = full.join(pre.withColumnRenamed("te", "te_pre"), keys)
-    return j.withColumn("diff", F.col("te") - F.col("te_pre"))
+    return rounded(j.withColumn("diff", F.col("te") - F.col("te_pre")), keys, "te", "te_pre", "diff")
 
 
 @register("perm_entropy", sql("ls", """a AS (SELECT entity_id, metric, value AS a, lead(value,1) OVER w AS b, lead(value,2) OVER w AS c FROM ls WINDOW w AS (PARTITION BY entity_id, metric ORDER BY day)),
