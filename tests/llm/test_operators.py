@@ -353,3 +353,26 @@ def test_pipeline_decides_rows_that_share_an_id(spark, docs, folder):
     near = [(4, " ".join(f"w{i}" for i in range(40))), (4, " ".join(f"w{i}" for i in range(41))), (9, "else")]
     assert sorted(r.text for r in pipeline.near_stage(spark, docs(near), folder).collect()) == sorted(["else", near[0][1]])
     assert pipeline.exact_stage(spark, shared.limit(0), folder).count() == 0
+
+
+def test_quality_scores_equal_dense_densities(spark, sample):
+    """The scores against Gaussian log-densities of standardized features, by plain matrices."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    x = {r.doc_id: np.array(r.x) for r in Q.features(sample).collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 5}
+    ids = sorted(y)
+    train, kind = np.array([x[i] for i in ids]), np.array([y[i] for i in ids])
+    z = (train - train.mean(0)) / np.sqrt(np.maximum(train.var(0), 1e-9))
+    p = z.shape[1]
+    cov = [np.cov(z[kind == c].T, bias=True) for c in (0, 1)]
+    both = sum((kind == c).mean() * cov[c] for c in (0, 1))
+
+    def density(v, c):
+        s = (1 - Q.POOLED) * cov[c] + Q.POOLED * both
+        s = (1 - Q.SPHERE) * s + (Q.SPHERE * np.trace(s) / p + 1e-6) * np.eye(p)
+        d = v - z[kind == c].mean(0)
+        return np.log((kind == c).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * d @ np.linalg.solve(s, d)
+
+    for r in Q.classify(sample, labels).collect():
+        v = (x[r.doc_id] - train.mean(0)) / np.sqrt(np.maximum(train.var(0), 1e-9))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(density(v, 1) - density(v, 0), -500, 500))), abs=1e-6)
