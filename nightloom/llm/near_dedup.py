@@ -49,6 +49,8 @@ SMALL = 64
 BLOCK, SHARED = 512, 16
 #: So many documents outside the commonest component are compared with the whole node; with more, it branches.
 FEW = BLOCK
+#: Links that one task joins, after the others have been contracted.
+WALK = 1 << 17
 #: Columns of the incidence matrix that is multiplied at once.
 COLUMNS = 4096
 
@@ -292,18 +294,45 @@ def tree_nodes(groups: DataFrame, trees: int) -> DataFrame:
     return every.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, label of the ends of the few links that are left, by union-find."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    if root:
+        rid = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array([find(x) for x in rid], pa.int64())], ["rid", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """rid, label: the least rid reachable, for every end of a link; labels spread to neighbours and then jump."""
-    ways = cut(links.select("u", "v").union(links.select("v", "u")).distinct().toDF("rid", "other"))
-    labels = cut(ways.groupBy("rid").agg(F.least("rid", F.min("other")).alias("label")))
-    while True:
-        heard = ways.join(labels.select(F.col("rid").alias("other"), "label"), "other").groupBy("rid").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, "rid").select("rid", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        above = labels.select(F.col("rid").alias("label"), F.col("label").alias("above"))
-        new = cut(spread.join(above, "label").select("rid", "old", F.least("label", "above").alias("label")))
-        labels = new.select("rid", "label")
-        if not has_rows(new.filter("old <> label")):
-            return labels
+    """rid, label: the least rid reachable, for every end of a link.
+
+    Each round every vertex goes to its least neighbour, and that one's least neighbour, if they are less; links between what
+    has become one go, so they shrink geometrically.  The last WALK links, a fixed number, are joined in one task.
+    """
+    edges = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
+    rounds: list[DataFrame] = []
+    while edges.count() > WALK:
+        ways = edges.union(edges.select("v", "u")).toDF("rid", "other")
+        least = cut(ways.groupBy("rid").agg(F.least("rid", F.min("other")).alias("up")))
+        parent = cut(least.join(least.select(F.col("rid").alias("up"), F.col("up").alias("top")), "up").select("rid", F.col("top").alias("up")))
+        rounds.append(parent)
+        end = lambda c: parent.select(F.col("rid").alias(c), F.col("up").alias(f"{c}_up"))
+        moved = edges.join(end("u"), "u").join(end("v"), "v").select(F.least("u_up", "v_up").alias("u"), F.greatest("u_up", "v_up").alias("v"))
+        edges = cut(moved.filter("u <> v").distinct())
+    labels = cut(edges.repartition(1).mapInArrow(_joined, "rid long, label long"))
+    for parent in reversed(rounds):
+        labels = cut(parent.join(labels.withColumnRenamed("rid", "up"), "up", "left").select("rid", F.coalesce("label", "up").alias("label")))
+    return labels
 
 
 def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:

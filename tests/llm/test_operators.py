@@ -82,6 +82,23 @@ def test_pairs_of_large_nodes_meet(docs, monkeypatch):
     assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("walk", [0, 7, 10_000])
+def test_components(spark, monkeypatch, walk):
+    """Paths, stars, a ring and repeated links, contracted to nothing, to a few links, or joined at once."""
+    monkeypatch.setattr(N, "WALK", walk)
+    r = random.Random(3)
+    name = list(range(1000, 1300))
+    r.shuffle(name)
+    links = [(name[i], name[i + 1]) for i in range(60)] + [(name[70], name[i]) for i in range(71, 120)] + [(name[200 + i], name[200 + (i + 1) % 40]) for i in range(40)]
+    links += [(name[130], name[130]), (name[200], name[201])]
+    want = {}
+    for group in (range(61), range(70, 120), range(200, 240)):
+        want |= {name[i]: min(name[k] for k in group) for i in group}
+    got = N.components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert {x.rid: x.label for x in got} == want and len(got) == len(want)
+    assert N.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_large_nodes_branch_on(docs, monkeypatch):
     """Many unlinked documents share a passage: nodes branch to the deepest level, and the few links are found."""
     monkeypatch.setattr(N, "SMALL", 8)
