@@ -38,7 +38,7 @@ from .registry import register, table
 #: The many small tables; those with long arrays are checkpoints, which need no column buffers.
 cut = partial(stored, name="near-dedup")
 
-LEVELS, DEEPEST, BRANCHES, SKETCH = 1, 7, 2, 128
+LEVELS, DEEPEST, BRANCHES, SKETCH = 2, 6, 2, 128
 #: Levels that a large node branches at once before it is looked at again.
 STRIDE = 2
 #: Chance that a pair at the threshold is missed by all trees.
