@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from datetime import date
 
 import numpy as np
 import pandas as pd
