@@ -4,33 +4,68 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import partial, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TWO_PI = 2 * math.pi
+#: Samples that one array holds, samples times all frequencies that are in memory at once, and series in one batch of sums.
+BLOCK, CHUNK, SERIES = 4096, 512, 64
+#: Sums over (centred) samples at one frequency: y cos, y sin, cos cos, sin sin, cos sin.
+SUMS = ["yc", "ys", "cc", "ss", "cs"]
+
+
+def _sums(batches: Iterator[pa.RecordBatch], by: Sequence[str], freqs: Sequence[float]) -> Iterator[pa.RecordBatch]:
+    """Sums over the samples of each row's ``_c`` (t, y) at every frequency, one row each; y is centred by the row's ``my``."""
+    w = TWO_PI * np.asarray(freqs, dtype=float)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SERIES):
+            rows = batch.slice(lo, SERIES)
+            cells = rows.column("_c")
+            ends, t, y = np.asarray(cells.offsets), np.asarray(cells.values.field("t")), np.asarray(cells.values.field("y"))
+            mean = np.asarray(rows.column("my"))
+            out = np.zeros((len(SUMS), rows.num_rows, len(w)))
+            for i in range(rows.num_rows):
+                for a in range(ends[i], ends[i + 1], CHUNK):
+                    part = slice(a, min(a + CHUNK, ends[i + 1]))
+                    c = np.outer(t[part], w)
+                    c, s, v = np.cos(c), np.sin(c), y[part] - mean[i]
+                    out[:, i] += v @ c, v @ s, (c * c).sum(0), (s * s).sum(0), (c * s).sum(0)
+            at = np.repeat(np.arange(rows.num_rows), len(w))
+            keep = [rows.column(c).take(pa.array(at)) for c in [*by, "yy"]]
+            grid = [pa.array(np.tile(np.arange(len(w), dtype=np.int32), rows.num_rows)), pa.array(np.tile(np.asarray(freqs, dtype=float), rows.num_rows))]
+            yield pa.RecordBatch.from_arrays([*keep, *grid, *(pa.array(x.ravel()) for x in out)], [*by, "yy", "k", "freq", *SUMS])
 
 
 def lomb_scargle(df: DataFrame, value: str, seconds: Column, by: Sequence[str], freqs: Sequence[float], min_n: int = 20) -> DataFrame:
     """Normalised power of irregular samples at each frequency (Hz).
 
-    Centring and the time offset of the method are algebra on nine plain sums,
-    so one combining aggregate over (series, frequency) is the whole job: no
-    window, and no series has to meet in one task.  ``seconds`` should count from
-    a nearby origin to keep the phases precise.
+    The method needs five sums over (series, frequency).  Samples, not samples
+    times frequencies, are dealt: a series of up to ``BLOCK`` samples travels as
+    one array, a longer one as many, whose sums are added, so no series has to
+    meet in one task.  ``seconds`` should count from a nearby origin to keep the
+    phases precise.
     """
-    grid = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(f)).alias("freq")) for i, f in enumerate(freqs)])
-    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_y"), seconds.alias("_t")).select(*by, "_y", "_t", F.inline(grid))
-    ang = F.lit(TWO_PI) * F.col("freq") * F.col("_t")
-    d = d.select(*by, "k", "freq", "_y", F.cos(ang).alias("c"), F.sin(ang).alias("s"))
-    c, s, y = F.col("c"), F.col("s"), F.col("_y")
-    g = d.groupBy(*by, "k", "freq").agg(
-        F.count("*").alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy"), F.sum(c).alias("sc"), F.sum(s).alias("ss1"),
-        F.sum(y * c).alias("yc"), F.sum(y * s).alias("ys"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"),
-    ).where(F.col("n") >= min_n)
-    g = g.withColumn("yc", F.col("yc") - F.col("my") * F.col("sc")).withColumn("ys", F.col("ys") - F.col("my") * F.col("ss1")).withColumn("yy", F.col("n") * F.col("vy"))
+    by = list(by)
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_y"), seconds.cast("double").alias("_t"))
+    moments = [F.count("*").alias("n"), F.avg("_y").alias("my"), (F.count("*") * F.var_pop("_y")).alias("yy")]
+    cells = F.collect_list(F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_y").alias("y")))).alias("_c")
+    long = d.groupBy(*by).agg(*moments).where((F.col("n") > BLOCK) & (F.col("n") >= min_n))
+    long = long.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "n", "my", "yy")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)], F.lit(True))
+    short = d.join(long, same, "left_anti").groupBy(*by).agg(*moments, cells).where((F.col("n") <= BLOCK) & (F.col("n") >= min_n))
+    block = F.pmod(F.xxhash64("_t", "_y"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    long = d.join(long, same).select(*by, "my", "yy", "_t", "_y", block).groupBy(*by, "block").agg(F.first("my").alias("my"), F.first("yy").alias("yy"), cells)
+
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + (", " if by else "") + "yy double, k int, freq double, " + ", ".join(f"{c} double" for c in SUMS)
+    sums = lambda x: x.select(*by, "my", "yy", "_c").mapInArrow(partial(_sums, by=by, freqs=list(freqs)), schema)
+    g = sums(short).unionByName(sums(long).groupBy(*by, "k", "freq").agg(F.first("yy").alias("yy"), *[F.sum(c).alias(c) for c in SUMS]))
     th = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
     g = g.withColumn("u", F.cos(th)).withColumn("v", F.sin(th))
     u, v = F.col("u"), F.col("v")

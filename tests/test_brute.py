@@ -175,3 +175,30 @@ def test_partitioning_changes_nothing(spark):
     for job in jobs:
         want = sorted(map(tuple, job(base).collect()))
         assert sorted(map(tuple, job(base.orderBy(F.rand(3)).repartition(7)).collect())) == want
+
+
+def test_lomb_scargle_deals_samples_not_frequencies(spark, monkeypatch):
+    """Long series in blocks, short and constant ones, null keys, values and times give the direct sums; frequencies are no rows before the sums."""
+    monkeypatch.setattr(spectral, "BLOCK", 32)
+    monkeypatch.setattr(spectral, "CHUNK", 7)
+    freqs = spectral.linspace(0.001, 0.005, 5)
+    rows = [("long", float(t), float(v)) for t, v in zip(RNG.uniform(0, 5e4, 150), RNG.normal(3, 1, 150))]
+    rows += [(None, float(t), float(v)) for t, v in zip(RNG.uniform(0, 5e4, 25), RNG.normal(3, 1, 25))]
+    rows += [("flat", float(t), 0.1) for t in range(70)] + [("few", float(t), float(t)) for t in range(19)]
+    rows += [("long", None, 9.0), ("long", 5.0, None), (None, None, 9.0)] + [("untimed", None, float(t)) for t in range(20)]
+    df = spark.createDataFrame(rows, "entity_id STRING, s DOUBLE, value DOUBLE").repartition(4)
+    spectrum = spectral.lomb_scargle(df, "value", F.col("s"), ["entity_id"], freqs)
+    assert "Generate" not in spectrum._jdf.queryExecution().toString()
+    got = {(r.entity_id, r.k): r.power for r in spectrum.collect()}
+    assert {e for e, _ in got} == {"long", None, "flat", "untimed"} and len(got) == 20
+    assert all(got[e, k] is None for e in ("flat", "untimed") for k in range(5))
+    for e in ("long", None):
+        every = np.array([v for x, _, v in rows if x == e and v is not None])
+        t, y = np.array([(t, v) for x, t, v in rows if x == e and None not in (t, v)]).T
+        y = y - every.mean()
+        for k, f in enumerate(freqs):
+            w = 2 * np.pi * f * t
+            th = np.arctan2(2 * (np.cos(w) * np.sin(w)).sum(), (np.cos(w) ** 2 - np.sin(w) ** 2).sum()) / 2
+            c, s = np.cos(w - th), np.sin(w - th)
+            want = ((y @ c) ** 2 / (c @ c) + (y @ s) ** 2 / (s @ s)) / (len(every) * every.var())
+            assert got[e, k] == pytest.approx(want, abs=1e-9)
