@@ -12,6 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
+#: Samples of one entity and hour that one task joins as they are.
+CROWD = 1 << 16
+
+
+def crowded_hours(samples: DataFrame, entity: str, at: str, bucket_us: int, salts: int) -> DataFrame:
+    """(entity, hour) of more than ``CROWD`` samples and how many tasks they are spread over: one row per ``CROWD`` samples at most."""
+    hour = F.floor(F.col(at) / bucket_us).alias("_h")
+    return samples.groupBy(entity, hour).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select(entity, "_h", F.lit(salts).alias("_salts"))
+
+
+def listed_hours(periods: DataFrame, crowded: DataFrame, entity: str, start: str, end: str, bucket_us: int) -> DataFrame:
+    """A period once per hour it touches, and per salt of a crowded hour."""
+    hours = F.sequence(F.floor(F.col(start) / bucket_us), F.floor(F.col(end) / bucket_us))
+    right = periods.withColumn("_h", F.explode(hours)).join(F.broadcast(crowded), [entity, "_h"], "left")
+    return right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1).cast("array<bigint>"))).drop("_salts")
 
 
 def interval_join(
@@ -22,11 +37,12 @@ def interval_join(
 
     A period is listed once per hour it touches, so the join is an equality on
     (entity, hour).  ``salts`` spreads the samples of a hot entity-hour over that
-    many tasks; only the small period side is repeated for it.
+    many tasks; only there the period side is repeated for it.
     """
-    left = samples.withColumn("_h", F.floor(F.col(at) / bucket_us)).withColumn("_s", F.pmod(F.xxhash64(at), F.lit(salts)))
-    hours = F.sequence(F.floor(F.col(start) / bucket_us), F.floor(F.col(end) / bucket_us))
-    right = periods.withColumn("_h", F.explode(hours)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    crowded = crowded_hours(samples, entity, at, bucket_us, salts)
+    left = samples.withColumn("_h", F.floor(F.col(at) / bucket_us)).join(F.broadcast(crowded), [entity, "_h"], "left")
+    left = left.withColumn("_s", F.pmod(F.xxhash64(at), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    right = listed_hours(periods, crowded, entity, start, end, bucket_us)
     return left.join(right, [entity, "_h", "_s"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_h", "_s")
 
 

@@ -125,14 +125,17 @@ def stage_stats(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def night_grid(samples: DataFrame, period: Sequence[str], value: str, minute: Column, bins: int = 120, width: int = 5) -> DataFrame:
-    """Mean per fixed 5-minute bin from bedtime; holes inside are bridged linearly."""
+    """Mean per fixed 5-minute bin from bedtime; holes inside are bridged linearly.
+
+    Only measured bins are dealt and ordered; each then lists the hole up to the next one.
+    """
     b = F.floor(minute / width)
-    g = samples.withColumn("bin", b).where(F.col("bin").between(0, bins - 1)).groupBy(*period, "bin").agg(F.avg(value).alias("v"))
-    span = g.groupBy(*period).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
-    full = span.select(*period, F.explode(F.sequence("_a", "_b")).alias("bin")).join(g, [*period, "bin"], "left")
-    w = Window.partitionBy(*period).orderBy("bin")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("v").isNotNull(), F.col("bin"))
-    v0, v1 = F.last("v", True).over(back), F.first("v", True).over(ahead)
-    b0, b1 = F.last(known, True).over(back), F.first(known, True).over(ahead)
-    return full.select(*period, "bin", F.coalesce("v", v0 + (v1 - v0) * (F.col("bin") - b0) / (b1 - b0)).alias("value"))
+    g = samples.withColumn("_b", b).where(F.col("_b").between(0, bins - 1)).groupBy(*period, "_b").agg(F.avg(value).alias("v"))
+    w = Window.partitionBy(*period).orderBy("_b")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    known = F.when(F.col("v").isNotNull(), F.struct("v", F.col("_b").alias("b")))
+    g = g.withColumn("_0", F.last(known, True).over(back)).withColumn("_1", F.first(known, True).over(ahead)).withColumn("_next", F.lead("_b").over(w))
+    full = g.withColumn("bin", F.explode(F.sequence(F.col("_b"), F.coalesce(F.col("_next") - 1, F.col("_b")))))
+    v0, b0, v1, b1 = F.col("_0.v"), F.col("_0.b"), F.col("_1.v"), F.col("_1.b")
+    own = F.when(F.col("bin") == F.col("_b"), F.col("v"))
+    return full.select(*period, "bin", F.coalesce(own, v0 + (v1 - v0) * (F.col("bin") - b0) / (b1 - b0)).alias("value"))

@@ -202,3 +202,31 @@ def test_lomb_scargle_deals_samples_not_frequencies(spark, monkeypatch):
             c, s = np.cos(w - th), np.sin(w - th)
             want = ((y @ c) ** 2 / (c @ c) + (y @ s) ** 2 / (s @ s)) / (len(every) * every.var())
             assert got[e, k] == pytest.approx(want, abs=1e-9)
+
+
+def test_night_grid_bridges_without_dealing_the_grid(spark):
+    """Holes are filled after the ordering of what was measured: no join, nulls at the ends stay."""
+    from nightloom.operators import nights
+
+    rows = [("a", 2, None), ("a", 4, 1.0), ("a", 4, 3.0), ("a", 6, None), ("a", 8, 4.0), ("a", 9, None), ("b", 0, 5.0), ("b", 130, 1.0)]
+    df = spark.createDataFrame(rows, "p STRING, b INT, value DOUBLE")
+    out = nights.night_grid(df, ["p"], "value", F.col("b") * 5.0 + 1)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    got = {(r.p, r.bin): r.value for r in out.collect()}
+    assert got == {("a", 2): None, ("a", 3): None, ("a", 4): 2.0, ("a", 5): 2.5, ("a", 6): 3.0, ("a", 7): 3.5, ("a", 8): 4.0, ("a", 9): None, ("b", 0): 5.0}
+
+
+def test_interval_join_repeats_periods_of_crowded_hours_only(spark, monkeypatch):
+    """Every sample meets its periods, overlapping and crowded ones too, and quiet hours list a period once."""
+    from nightloom.operators import joins
+
+    monkeypatch.setattr(joins, "CROWD", 20)
+    hour = joins.HOUR_US
+    samples = [("a", i * 1_000_000, i) for i in range(100)] + [("a", 5 * hour, 100), ("b", 10, 101), (None, 10, 102)]
+    periods = [("a", 1, 0, 5 * hour), ("a", 2, 50_000_000, 60_000_000), ("b", 3, 11, 20), (None, 4, 0, 20)]
+    left = spark.createDataFrame(samples, "entity_id STRING, at_us LONG, i INT")
+    right = spark.createDataFrame(periods, "entity_id STRING, p INT, start_us LONG, end_us LONG")
+    got = sorted((r.i, r.p) for r in joins.interval_join(left, right).collect())
+    assert got == sorted((i, p) for e, at, i in samples for o, p, lo, hi in periods if e is not None and e == o and lo <= at <= hi)
+    listed = joins.listed_hours(right, joins.crowded_hours(left, "entity_id", "at_us", hour, 8), "entity_id", "start_us", "end_us", hour)
+    assert listed.filter("p = 1").count() == 5 + 8 and listed.filter("p = 3").count() == 1
