@@ -27,7 +27,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as T
@@ -51,6 +51,8 @@ BLOCK, SHARED = 512, 16
 FEW = BLOCK
 #: Links that one task joins, after the others have been contracted.
 WALK = 1 << 17
+#: Bits of the map of documents in clusters that every task gets.
+BITS = 1 << 26
 #: Columns of the incidence matrix that is multiplied at once.
 COLUMNS = 4096
 
@@ -261,12 +263,31 @@ def _within(rows: DataFrame, pairs_of, percent: int) -> DataFrame:
     return dealt.mapInArrow(partial(_by_group, pairs_of=pairs_of, percent=percent), "u long, v long").distinct()
 
 
+def level_tokens(level: int, stride: int) -> Column:
+    """Of the tokens those of ``stride`` levels, tree by tree: what a join has to carry."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.size("tokens") / (DEEPEST * BRANCHES)).cast("int") - 1), lambda tree: F.slice("tokens", tree * (DEEPEST * BRANCHES) + level * BRANCHES + 1, stride * BRANCHES)))
+
+
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose rid is one of keys, and few others: a map of BITS bits, whatever the input, spares others the exchange.
+
+    The join that follows is what decides.
+    """
+    word = lambda: F.pmod(F.xxhash64("rid"), F.lit(BITS // 64))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(rid, 3), 64) as int))")
+    bits = keys.select(word().alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", word()).join(F.broadcast(bits), "word").filter(F.col("bits").bitwiseAND(bit) != 0).select(rows.columns)
+
+
 def branched(rows: DataFrame, groups: DataFrame, level: int, stride: int = 1) -> DataFrame:
     """Descendants, ``stride`` levels down, with two documents or more of the nodes of rows (path, tree, rid): path, tree,
     rid, m (documents)."""
-    token = lambda at, j: F.get("tokens", F.col("tree") * (DEEPEST * BRANCHES) + at * BRANCHES + j)
-    ways = [F.struct(*(F.struct(F.lit(j).alias("j"), token(level + i, j).alias("t")).alias(f"c{i}") for i, j in enumerate(way))) for way in product(range(BRANCHES), repeat=stride)]
-    rows = rows.select("rid", "tree", "path").join(groups.select("rid", "tokens"), "rid") if "tokens" not in rows.columns else rows
+    if "tokens" not in rows.columns:
+        rows = rows.select("rid", "tree", "path").join(groups.select("rid", level_tokens(level, stride).alias("tokens")), "rid")
+    else:
+        rows = rows.withColumn("tokens", level_tokens(level, stride))
+    token = lambda i, j: F.get("tokens", F.col("tree") * (stride * BRANCHES) + i * BRANCHES + j)
+    ways = [F.struct(*(F.struct(F.lit(j).alias("j"), token(i, j).alias("t")).alias(f"c{i}") for i, j in enumerate(way))) for way in product(range(BRANCHES), repeat=stride)]
     rows = rows.withColumn("c", F.explode(F.array(*ways))).select("rid", "tree", F.xxhash64("path", "tree", "c").alias("path"))
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     return rows.join(sizes, "path")
@@ -458,7 +479,7 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     near = cut(_within(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch"), _node, percent))
     clusters = apart(nodes.filter("blocks > 1").select("path", "tree", "rid"), near, groups, sketch, percent)
     sets = kept_rows(
-        rows.select("rid", "text").join(clusters.withColumnRenamed("label", "path"), "rid")
+        among(rows.select("rid", "text"), clusters).join(clusters.withColumnRenamed("label", "path"), "rid")
         .mapInArrow(partial(_sets, width=width), "rid long, path long, set array<long>")
     )
     labels = confirmed(sets, percent)

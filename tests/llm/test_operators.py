@@ -117,6 +117,17 @@ def thue_morse(n, one, two):
     return [two if bin(i).count("1") % 2 else one for i in range(n)]
 
 
+def test_only_what_a_join_needs_is_dealt(spark):
+    """Texts outside clusters and tokens of other levels stay where they are."""
+    rows = spark.range(5000).withColumnRenamed("id", "rid").withColumn("text", F.lit("x"))
+    left = N.among(rows, rows.filter("rid % 50 = 0"))
+    assert left.columns == ["rid", "text"] and left.filter("rid % 50 = 0").count() == 100 and left.count() < 110
+    per = N.DEEPEST * N.BRANCHES
+    groups = spark.createDataFrame([(1, list(range(N.SKETCH)))], "rid LONG, tokens ARRAY<INT>")
+    got = groups.select(N.level_tokens(3, 2)).first()[0]
+    assert got == [tree * per + 3 * N.BRANCHES + k for tree in range(N.SKETCH // per) for k in range(2 * N.BRANCHES)]
+
+
 def test_names_of_periodic_words_differ(docs):
     """Thue-Morse strings and their complements share every polynomial name modulo 2**64."""
     for n in (1024, 4096):
