@@ -6,8 +6,8 @@ are compared exhaustively inside their task; larger ones branch again.  With two
 probability of at least 0.9375 whatever the depth, so the number of trees follows from the wanted recall.
 
 After LEVELS a node that is still large is also cut into blocks that share its first document, which connects groups of
-mutual near-copies.  From there on only what is not connected yet matters: a node whose documents are all connected
-ends; one with few documents outside its commonest component compares those with all its blocks; one with many
+mutual near-copies.  Of a block only its parts are looked up in the clusters, as what a block connects is in one.  From
+there on only what is not connected yet matters: a node whose documents are all connected ends; one with few documents outside its commonest component compares those with all its blocks; one with many
 branches again, down to DEEPEST levels, where whatever is left is compared.  So every pair of a node where branching
 ends is compared or connected otherwise, and a node that several trees hold is compared once.
 
@@ -150,12 +150,11 @@ def _once(rows: list[tuple]) -> list[tuple]:
     return sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
 
 
-def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """What a node's pairs that may be links connect, as stars around least ids; rows: (rid, n, sketch)."""
-    rows = _once(rows)
+def _tops(rows: list[tuple], percent: int) -> list[int]:
+    """Of every row the first one that pairs which may be links connect it with; rows: (rid, n, sketch, ...) by rid."""
     if len(rows) < 2:
-        return []
-    rid, n = [r[0] for r in rows], np.array([r[1] for r in rows])
+        return [0] * len(rows)
+    n = np.array([r[1] for r in rows])
     sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SKETCH)
     least = least_agreement(percent / 100)
     found = []
@@ -166,7 +165,27 @@ def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     forest = Forest(len(rows))
     for i, j in found:
         forest.join(i, j)
-    return [(rid[forest.find(i)], rid[i]) for i in range(len(rows)) if forest.find(i) != i]
+    return [forest.find(i) for i in range(len(rows))]
+
+
+def _node(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """What a node's pairs that may be links connect, as stars around least ids; rows: (rid, n, sketch)."""
+    rows = _once(rows)
+    return [(rows[top][0], rows[i][0]) for i, top in enumerate(_tops(rows, percent)) if top != i]
+
+
+def _block(rows: list[tuple], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """The stars of _node, and (part, size, x, y) of every part that has counted rows: its least rid, their number and
+    two sums of their marks; rows: (rid, n, sketch, counted)."""
+    rows = _once(rows)
+    tops = np.array(_tops(rows, percent), np.int64)
+    counted = np.array([r[3] for r in rows], bool)
+    mark = T.mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    parts = []
+    for top in np.unique(tops[counted]).tolist():
+        own = mark[counted & (tops == top)]
+        parts.append((rows[top][0], len(own), int(np.bitwise_xor.reduce(own).view(np.int64)), int((own >> np.uint64(24)).sum())))
+    return [(rows[top][0], rows[i][0]) for i, top in enumerate(tops.tolist()) if top != i], parts
 
 
 def _strays(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -226,17 +245,10 @@ def _linked(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return [(rows[forest.find(i)][0], rows[i][0]) for i in at.values() if forest.find(i) != i]
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], pairs_of, percent: int) -> Iterator[pa.RecordBatch]:
-    """Calls pairs_of on the rows of each (path, block); rows come sorted by those, and a group's number is bounded."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Path and rows of each (path, block); rows come sorted by those, and a group's number is bounded."""
     held: list[tuple] = []
     last = None
-    pairs: set[tuple[int, int]] = set()
-
-    def batch_of() -> pa.RecordBatch:
-        u, v = zip(*sorted(pairs))
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
     for batch in batches:
         columns = []
         for c in batch.columns:
@@ -247,20 +259,74 @@ def _by_group(batches: Iterator[pa.RecordBatch], pairs_of, percent: int) -> Iter
                 columns.append(c.to_pylist())
         for path, block, *row in zip(*columns):
             if (path, block) != last:
-                pairs.update(pairs_of(held, percent))
+                if held:
+                    yield last[0], held
                 held, last = [], (path, block)
-                if len(pairs) > 50_000:
-                    yield batch_of()
             held.append(tuple(row))
-    pairs.update(pairs_of(held, percent))
+    if held:
+        yield last[0], held
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], pairs_of, percent: int) -> Iterator[pa.RecordBatch]:
+    """Calls pairs_of on the rows of each group."""
+    pairs: set[tuple[int, int]] = set()
+    for _, held in _groups(batches):
+        pairs.update(pairs_of(held, percent))
+        if len(pairs) > 50_000:
+            yield _batch(sorted(pairs), ["u", "v"])
+            pairs.clear()
     if pairs:
-        yield batch_of()
+        yield _batch(sorted(pairs), ["u", "v"])
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Calls _block on the rows of each group: pairs have no path, parts have their rid as u and v."""
+    names = ["u", "v", "path", "size", "x", "y"]
+    pairs: set[tuple[int, int]] = set()
+    parts: list[tuple] = []
+    rows = lambda: [(u, v, None, None, None, None) for u, v in sorted(pairs)] + parts
+    for path, held in _groups(batches):
+        some, own = _block(held, percent)
+        pairs.update(some)
+        parts += [(part, part, path, size, x, y) for part, size, x, y in own]
+        if len(pairs) + len(parts) > 50_000:
+            yield _batch(rows(), names)
+            pairs.clear()
+            parts.clear()
+    if pairs or parts:
+        yield _batch(rows(), names)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("path", "block").sortWithinPartitions("path", "block")
 
 
 def _within(rows: DataFrame, pairs_of, percent: int) -> DataFrame:
     """Pairs (u, v), u < v, that pairs_of finds in each (path, block); the other columns are its rows."""
-    dealt = rows.repartition("path", "block").sortWithinPartitions("path", "block")
-    return dealt.mapInArrow(partial(_by_group, pairs_of=pairs_of, percent=percent), "u long, v long").distinct()
+    return _dealt(rows).mapInArrow(partial(_by_group, pairs_of=pairs_of, percent=percent), "u long, v long").distinct()
+
+
+def in_blocks(nodes: DataFrame, sketch: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v), u < v, of all blocks of nodes, and (path, part, size, x, y) of the large ones' parts.
+
+    All blocks of a large node share its first document, whose part so has one row whatever the number of blocks.
+    """
+    leaders = nodes.filter("blocks > 1").groupBy("path", "blocks").agg(F.min("rid").alias("rid"))
+    spread = leaders.select("path", "rid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("counted"), "blocks")
+    spread = spread.filter(F.col("block") != block_of("rid", "blocks")).drop("blocks")
+    placed = nodes.select("path", "block", "rid", (F.col("blocks") > 1).alias("counted")).unionByName(spread)
+    dealt = _dealt(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch", "counted"))
+    found = cut(dealt.mapInArrow(partial(_by_block, percent=percent), "u long, v long, path long, size long, x long, y long"))
+    parts = found.filter("path is not null").groupBy("path", F.col("u").alias("part"))
+    return found.filter("path is null").select("u", "v").distinct(), cut(parts.agg(F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")))
+
+
+def block_of(rid: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(rid), F.col(blocks)).cast("int")
 
 
 def level_tokens(level: int, stride: int) -> Column:
@@ -280,15 +346,16 @@ def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def branched(rows: DataFrame, groups: DataFrame, level: int, stride: int = 1) -> DataFrame:
-    """Descendants, ``stride`` levels down, with two documents or more of the nodes of rows (path, tree, rid): path, tree,
-    rid, m (documents)."""
+    """Descendants, ``stride`` levels down, with two documents or more of the nodes of rows (path, tree, rid, maybe part):
+    path, tree, rid, part if given, m (documents)."""
+    own = [c for c in ("rid", "tree", "part") if c in rows.columns]
     if "tokens" not in rows.columns:
-        rows = rows.select("rid", "tree", "path").join(groups.select("rid", level_tokens(level, stride).alias("tokens")), "rid")
+        rows = rows.select(*own, "path").join(groups.select("rid", level_tokens(level, stride).alias("tokens")), "rid")
     else:
         rows = rows.withColumn("tokens", level_tokens(level, stride))
     token = lambda i, j: F.get("tokens", F.col("tree") * (stride * BRANCHES) + i * BRANCHES + j)
     ways = [F.struct(*(F.struct(F.lit(j).alias("j"), token(i, j).alias("t")).alias(f"c{i}") for i, j in enumerate(way))) for way in product(range(BRANCHES), repeat=stride)]
-    rows = rows.withColumn("c", F.explode(F.array(*ways))).select("rid", "tree", F.xxhash64("path", "tree", "c").alias("path"))
+    rows = rows.withColumn("c", F.explode(F.array(*ways))).select(*own, F.xxhash64("path", "tree", "c").alias("path"))
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     return rows.join(sizes, "path")
 
@@ -312,7 +379,7 @@ def tree_nodes(groups: DataFrame, trees: int) -> DataFrame:
     for more in done[1:]:
         every = every.unionByName(more)
     blocks = F.when(F.col("m") <= SMALL, 1).otherwise(F.ceil(F.col("m") / (SMALL // 2))).cast("int")
-    return every.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    return every.withColumn("blocks", blocks).withColumn("block", block_of("rid", "blocks"))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,18 +423,27 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def open_nodes(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (path, tree, rid, part, common, m, strays) of the nodes that labels leave apart.
+def open_nodes(parts: DataFrame) -> DataFrame:
+    """path, common, m, strays of the nodes whose documents lie in several parts; parts: path, part, size, x, y.
 
     Of equal nodes that are compared next one stays; those that branch on all do, as each tree is a chance of its own.
     """
-    member = large.select("path", "tree", "rid").join(labels, "rid", "left").select("path", "tree", "rid", F.coalesce("label", "rid").alias("part"))
-    mark = F.xxhash64("rid")
-    parts = member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("y"))
     nodes = parts.groupBy("path").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("m"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"))
     on = F.when(F.col("m") - F.col("top.size") > FEW, F.col("path")).alias("on")
     nodes = nodes.filter("m > top.size").groupBy("m", "x", "y", on).agg(F.min("path").alias("path"), F.min_by("top", "path").alias("top"))
-    return member.join(nodes.select("path", F.col("top.part").alias("common"), "m", (F.col("m") - F.col("top.size")).alias("strays")), "path")
+    return nodes.select("path", F.col("top.part").alias("common"), "m", (F.col("m") - F.col("top.size")).alias("strays"))
+
+
+def clustered(parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Parts (path, part, size, x, y) of blocks, put together by the cluster that their first documents are in."""
+    named = parts.join(labels.withColumnRenamed("rid", "part"), "part", "left").withColumn("part", F.coalesce("label", "part"))
+    return named.groupBy("path", "part").agg(F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"))
+
+
+def parts_of(member: DataFrame) -> DataFrame:
+    """path, part, size, x, y of the nodes of member (path, rid, part)."""
+    mark = F.xxhash64("rid")
+    return member.groupBy("path", "part").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("y"))
 
 
 def among_strays(member: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -389,12 +465,20 @@ def among_strays(member: DataFrame, sketch: DataFrame, percent: int) -> DataFram
     return _within(groups.join(sketch, "rid").select("path", "block", "rid", "n", "sketch", "part", "stray"), _strays, percent)
 
 
-def apart(large: DataFrame, near: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Clusters (rid, label): those of near and of what large nodes (path, tree, rid) hold beyond them."""
+def apart(large: DataFrame, near: DataFrame, parts: DataFrame, groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Clusters (rid, label): those of near and of what large nodes (path, tree, rid) hold beyond them.
+
+    parts: the large nodes' path, part, size, x, y, as near connects them in blocks.  Only the documents of nodes that are
+    left open are looked up one by one, and their children keep what was found.
+    """
     clusters = components(near)
     found = []
     for level in range(LEVELS, DEEPEST + 1, STRIDE):
-        member = cut(open_nodes(large, clusters))
+        if level == LEVELS:
+            member = large.join(open_nodes(clustered(parts, clusters)), "path").join(clusters, "rid", "left")
+            member = cut(member.withColumn("part", F.coalesce("label", "rid")).drop("label"))
+        else:
+            member = cut(large.join(open_nodes(parts_of(large)), "path"))
         if not has_rows(member):
             break
         many = member.filter((F.col("strays") > FEW) & F.lit(level < DEEPEST))
@@ -404,7 +488,7 @@ def apart(large: DataFrame, near: DataFrame, groups: DataFrame, sketch: DataFram
         children = cut(branched(many, groups, level, STRIDE))
         small = children.filter(F.col("m") <= SMALL).select("path", F.lit(0).alias("block"), "rid").join(sketch, "rid")
         found.append(cut(_within(small.select("path", "block", "rid", "n", "sketch"), _node, percent)))
-        large = children.filter(F.col("m") > SMALL)
+        large = children.filter(F.col("m") > SMALL).drop("m")
     if not found:
         return clusters
     links = found[0]
@@ -472,12 +556,9 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str =
     full = signed.filter("n > 0")
     groups = kept_rows(full.groupBy("a", "b", "n").agg(F.min("rid").alias("rid"), F.first("tokens").alias("tokens")))
     nodes = cut(tree_nodes(groups, trees))
-    leaders = nodes.filter("blocks > 1").groupBy("path", "blocks").agg(F.min("rid").alias("rid"))
-    spread = leaders.select("path", "rid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    placed = nodes.select("path", "block", "rid").unionByName(spread.select("path", "block", "rid"))
     sketch = groups.select("rid", "n", _sketch("tokens").alias("sketch"))
-    near = cut(_within(placed.join(sketch, "rid").select("path", "block", "rid", "n", "sketch"), _node, percent))
-    clusters = apart(nodes.filter("blocks > 1").select("path", "tree", "rid"), near, groups, sketch, percent)
+    near, parts = in_blocks(nodes, sketch, percent)
+    clusters = apart(nodes.filter("blocks > 1").select("path", "tree", "rid"), near, parts, groups, sketch, percent)
     sets = kept_rows(
         among(rows.select("rid", "text"), clusters).join(clusters.withColumnRenamed("label", "path"), "rid")
         .mapInArrow(partial(_sets, width=width), "rid long, path long, set array<long>")

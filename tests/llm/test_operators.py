@@ -113,6 +113,51 @@ def test_large_nodes_branch_on(docs, monkeypatch):
     assert rows_of(N.near_dedup(docs(rows))) == near_brute(rows, 2, 80)
 
 
+def test_near_copies_are_looked_up_by_part(docs, monkeypatch):
+    """Nodes of near-copies, up to 64 for each document, look up what their blocks connect and not each document."""
+    monkeypatch.setattr(N, "SMALL", 16)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        text[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    table = docs(rows)
+    looked_up = []
+    joined = type(table).join
+
+    def counted(self, other, on=None, how=None):
+        out = joined(self, other, on, how)
+        if how == "left":
+            looked_up.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(table), "join", counted)
+    got = rows_of(N.near_dedup(table))
+    monkeypatch.undo()
+    assert got == near_brute(rows, 2, 80) and {x[2] for x in got} == {0}
+    assert sum(looked_up) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("few", [4, 512])
+def test_open_nodes_from_block_parts(spark, monkeypatch, few):
+    """Nodes of several clusters are open, with the documents that the blocks counted; equal nodes are compared once."""
+    monkeypatch.setattr(N, "SMALL", 4)
+    monkeypatch.setattr(N, "FEW", few)
+    sketch = spark.createDataFrame([(i, 100, bytes([i // 6]) * N.SKETCH) for i in range(30)], "rid long, n long, sketch binary")
+    held = {7: range(30), 8: range(30), 9: range(6), 10: range(3), 11: range(4, 13)}
+    rows = [(path, rid, len(rids), -(-len(rids) // 2) if len(rids) > 4 else 1) for path, rids in held.items() for rid in rids]
+    nodes = spark.createDataFrame(rows, "path long, rid long, m long, blocks int").withColumn("block", N.block_of("rid", "blocks"))
+    near, parts = N.in_blocks(nodes, sketch, 80)
+    assert {(x.u // 6, x.u < x.v) for x in near.collect()} <= {(x.v // 6, True) for x in near.collect()}
+    size = {x.path: x["sum(size)"] for x in parts.groupBy("path").sum("size").collect()}
+    assert size == {path: len(rids) for path, rids in held.items() if len(rids) > 4}
+    labels = spark.createDataFrame([(i, i - i % 6) for i in range(30)], "rid long, label long")
+    got = {(x.path, x.m, x.strays) for x in N.open_nodes(N.clustered(parts, labels)).collect()}
+    assert got == {(7, 30, 24), (11, 9, 3)} | ({(8, 30, 24)} if few == 4 else set())
+
+
 def thue_morse(n, one, two):
     return [two if bin(i).count("1") % 2 else one for i in range(n)]
 
